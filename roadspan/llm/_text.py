@@ -52,7 +52,7 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values[first : offsets[-1]] if len(offsets) else values, offsets - first
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each has at most ``limit`` bytes of ``column`` (one row at least): bounds numpy's temporaries."""
     for batch in batches:
         if not batch.num_rows:

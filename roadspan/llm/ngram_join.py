@@ -103,7 +103,7 @@ def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                         seen.add(k)
                     held.append(s)
                     size += len(s)
-            if size > 1 << 21:
+            if size > 1 << 20:
                 yield frequent()
                 held, size = [], 0
         if size:
