@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspan.llm import bpe, langid, ngram_join, sst
+from roadspan.llm import bpe, langid, media, ngram_join, sst, url_filter, warc
 from roadspan.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,54 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sst_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the shards."""
     return sst.digests(sst.store(table(spark, sf_dir, "documents"), sst.default_path(spark)))
+
+
+@query
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a grey image in tar shards: sizes, digests and features as read back."""
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_warc_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from the archives."""
+    return warc.archive(table(spark, sf_dir, "pages")).drop("url")
+
+
+def _base32(hexadecimal: str) -> str:
+    """SQL for the base-32 spelling of 40 hexadecimal digits: five digits give four characters."""
+    five = "CAST('0x' || substr({x}, {at}, 5) AS BIGINT)"
+    chars = (f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((({five.format(x=hexadecimal, at=5 * i + 1)} >> {s}) & 31) + 1 AS BIGINT), 1)" for i in range(8) for s in (15, 10, 5, 0))
+    return " || ".join(chars)
+
+
+ORACLE_SQL["op2_warc_chunked_records"] = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS x FROM p),
+f AS (SELECT x, n, min(page_id) AS first FROM h GROUP BY x, n)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_base32("x")} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h JOIN f USING (x, n)
+"""
+
+#: The rules of the URL query: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page."""
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+ORACLE_SQL["op4_url_filters"] = f"""
+WITH r(v, h, p) AS (VALUES {", ".join(map(str, URL_RULES))}),
+n AS MATERIALIZED (SELECT row_number() OVER () AS i, page_id,
+  translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+m AS (SELECT i, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM n
+  JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY i)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM n LEFT JOIN m USING (i)
+"""
