@@ -28,8 +28,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 #: The same pattern for texts of these characters only, where the standard library's faster engine gives equal results.
 PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
-KEPT_WORDS = 200_000  # encoded pre-tokens that a worker keeps, in each of two generations
-KEPT_PAIRS = 400_000
+KEPT_WORDS = 120_000  # encoded pre-tokens that a worker keeps, in each of two generations
+KEPT_PAIRS = 200_000
 LONGEST_KEPT = 48
 
 
@@ -233,6 +233,19 @@ class BpeModel:
         return [spelled[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def _ids(model: BpeModel, column: pa.Array) -> pa.ListArray:
+    rows = [model.encode(t) if t else b"" for t in column.to_pylist()]
+    at = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+
+def _texts(model: BpeModel, column: pa.ListArray) -> pa.Array:
+    column = pc.fill_null(column, []) if column.null_count else column
+    at = column.offsets.to_numpy().astype(np.int64)
+    ids = column.values.to_numpy()[at[0] : at[-1]] if len(at) else np.zeros(0, np.int32)
+    return pa.array(model.decode_batch(ids.astype(np.int64), at - at[0]), pa.string())
+
+
 def _with(df: DataFrame, new: str, kind: str, f, of: str, cut: bool) -> DataFrame:
     """``df`` with column ``new`` (an existing one of that name is replaced), from column ``of``, batch by batch."""
     base = df.drop(new) if new != of else df
@@ -249,31 +262,33 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     """``docs`` with ``ids``, the whole text's token ids. Null and empty texts have no id; other columns stay as they are."""
     model = docs.sparkSession.sparkContext.broadcast(BpeModel.from_file(path))
 
-    def one(column):
-        rows = [model.value.encode(t) if t else b"" for t in column.to_pylist()]
-        at = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(rows), np.int32)))
-
-    return _with(docs, ids_col, "array<int>", one, text_col, True)
+    return _with(docs, ids_col, "array<int>", lambda column: _ids(model.value, column), text_col, True)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``rows`` with ``decoded``, the text that the ids spell. Null and empty lists spell the empty text."""
     model = rows.sparkSession.sparkContext.broadcast(BpeModel.from_file(path))
 
-    def one(column):
-        column = pc.fill_null(column, []) if column.null_count else column
-        at = column.offsets.to_numpy().astype(np.int64)
-        ids = column.values.to_numpy()[at[0] : at[-1]] if len(at) else np.zeros(0, np.int32)
-        return pa.array(model.value.decode_batch(ids.astype(np.int64), at - at[0]), pa.string())
+    return _with(rows, text_col, "string", lambda column: _texts(model.value, column), ids_col, False)
+
 
-    return _with(rows, text_col, "string", one, ids_col, False)
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``docs`` with ``encode``'s ids and what ``decode`` makes of them, in one pass."""
+    model = docs.sparkSession.sparkContext.broadcast(BpeModel.from_file(path))
+    base = docs.drop(ids_col, decoded_col)
+    schema = base.select("*", F.lit(None).cast("array<int>").alias(ids_col), F.lit("").alias(decoded_col)).schema
+
+    def run(batches):
+        for batch in slices(batches, text_col, 1 << 19):
+            ids = _ids(model.value, batch.column(batch.schema.get_field_index(text_col)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, _texts(model.value, ids)], names=[*batch.schema.names, ids_col, decoded_col])
+
+    return base.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_tokens, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded text."""
-    both = decode(encode(docs.select(id_col, text_col), path, text_col).drop(text_col), path)
-    return both.select(
+    return round_trip(docs.select(id_col, text_col), path, text_col).select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
