@@ -13,6 +13,7 @@ Bloom filter, finds the block by binary search in the index and reads that one.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_right
@@ -35,6 +36,7 @@ FOOTER = struct.Struct("<8Q8s")  # index at, index bytes, filter at, filter byte
 ROW = struct.Struct("<HHI")
 ENTRY = struct.Struct("<HQIIQ")
 BLOCK = 1 << 18
+PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 KEPT_WORDS = 250_000  # encoded words that a worker keeps, in each of two generations
 
 
@@ -184,6 +186,7 @@ class WordEncoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.kind = np.dtype("<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.lowers = self.model.encode("Ab", add_special_tokens=False).ids == self.model.encode("ab", add_special_tokens=False).ids
         self.new, self.old = {"": b""}, {}
 
     def __getstate__(self) -> dict:
@@ -197,7 +200,7 @@ class WordEncoder:
     def from_file(cls, path: str) -> WordEncoder:
         with open(path, encoding="utf-8") as f:
             made = cls(f.read())
-        for t in ("A b\n c  d", "é́ x\ńy Σ ΑΣ b", " <|endoftext|> it's 12"):
+        for t in ("A b\n c  d", "é́ x\ńy Σ ΑΣ b", " <|endoftext|> it's 12", "Word, ÉTÉ. x. 'S! a.b, no.. it's."):
             if made.encode([t])[0] != np.array(made.model.encode(t, add_special_tokens=False).ids, made.kind).tobytes():
                 raise ValueError(f"{path}: its ids depend on more than space-delimited pieces")
         return made
@@ -206,9 +209,15 @@ class WordEncoder:
         """Ids of each text as little-endian integers of ``kind``; null and empty texts have none."""
         if len(self.new) > KEPT_WORDS:
             self.old, self.new = self.new, {"": b""}
+        # these characters have no context in lower-casing and are composed already
+        texts = [t.lower() if t and self.lowers and PLAIN.fullmatch(t) else t for t in texts]
         pieces = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         new, old = self.new, self.old
         missing = {w for p in pieces for w in p if w not in new}
+        # letters with one mark at the end are two matches of the pre-tokenizer
+        ended = [w for w in missing if w[-1] in ".,!?" and w[:-1].isalpha()]
+        missing.difference_update(ended)
+        missing.update(x for w in ended for x in (w[:-1], w[-1]) if x not in new)
         for w in [w for w in missing if w in old]:
             new[w] = old[w]
             missing.discard(w)
@@ -217,6 +226,8 @@ class WordEncoder:
             part = todo[i : i + 5000]
             for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 new[w] = np.array(e.ids, self.kind).tobytes()
+        for w in ended:
+            new[w] = new[w[:-1]] + new[w[-1]]
         return [b"".join([new[w] for w in p]) for p in pieces]
 
 
