@@ -17,11 +17,15 @@ WORDS = 8  # 64-bit words in a block
 PROBES = 6  # bits set per key
 
 
+def _bit(h: np.ndarray, i: int) -> np.ndarray:
+    """The i-th of a key's bits in its block."""
+    return (h * np.uint64(2 * i + 1) ^ (h >> np.uint64(5 * i + 3))) & np.uint64(511)
+
+
 def _probes(hashed: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     h = hashed.astype(np.uint64)
     word = (h >> np.uint64(34)) % np.uint64(blocks) * np.uint64(WORDS)
-    bits = [(h * np.uint64(2 * i + 1) ^ (h >> np.uint64(5 * i + 3))) & np.uint64(511) for i in range(PROBES)]
-    return word[:, None], np.stack(bits, axis=1)
+    return word[:, None], np.stack([_bit(h, i) for i in range(PROBES)], axis=1)
 
 
 class BlockedBloom:
@@ -35,10 +39,16 @@ class BlockedBloom:
 
     def probe(self, hashed: np.ndarray) -> np.ndarray:
         """True where the key of a 64-bit hash may be in the filter; never False for a key that is."""
-        if not len(hashed):
-            return np.zeros(0, dtype=bool)
-        base, bits = _probes(hashed.view(np.uint64) if hashed.dtype == np.int64 else hashed, len(self.table) // WORDS)
-        return ((self.table[(base + (bits >> np.uint64(6))).astype(np.int64)] >> (bits & np.uint64(63))) & np.uint64(1)).all(axis=1)
+        h = hashed.view(np.uint64)
+        word = (h >> np.uint64(34)) % np.uint64(len(self.table) // WORDS) * np.uint64(WORDS)
+        at = np.arange(len(h))
+        for i in range(PROBES):  # few are left after the first bit
+            bit = _bit(h, i)
+            on = (self.table[(word + (bit >> np.uint64(6))).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+            at, h, word = at[on], h[on], word[on]
+        found = np.zeros(len(hashed), dtype=bool)
+        found[at] = True
+        return found
 
 
 def build(keys: DataFrame, hashed: Column, log2_bytes: int = 20) -> BlockedBloom:

@@ -15,6 +15,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between words where punctuation doesn't count: all ASCII but letters and digits.
+NOT_ALPHANUMERIC = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 2**64)
 _LANES = (_rng.integers(0, 2**63, 64, dtype=np.uint64) * U64(2)) + U64(1)
@@ -67,13 +69,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
             at = to
 
 
-def word_hashes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased) and each row's offsets into them."""
+def word_hashes(values: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (A-Z lower-cased) and each row's offsets into them.
+
+    ``between`` marks the bytes between words; without it words are ``[^\\x20\\x09-\\x0D]+``.
+    """
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     low = _LOWER[values]
-    solid = ~_SPACE[low]
+    solid = ~between[low]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty(n, dtype=bool)
