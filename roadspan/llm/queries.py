@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspan.llm import bpe, decontam, langid, media, ngram_join, sst, toxicity, url_filter, warc
+from roadspan.llm import bpe, decontam, langid, licenses, media, ngram_join, sst, toxicity, url_filter, warc
 from roadspan.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, contaminated, n_items, item_id, coverage of every document."""
     return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the file ``source/lang/doc_id.txt``: licence, origin, score and the file that it comes from."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), "text")
+    return licenses.scan(files, spark.createDataFrame(licenses.TEMPLATES, "licence string, text string")).drop("text")
+
+
+ORACLE_SQL["op6_license_scan"] = licenses.oracle("SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' AS path, text FROM documents")
