@@ -1,8 +1,57 @@
-"""Corpus pipeline; filled in with its stages."""
+"""Training-corpus pipeline over ``documents``: five stages, each written as Parquet and read again."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from roadspan.llm import bpe, decontam, langid, ngram_join, toxicity
+from roadspan.llm._scratch import written
+from roadspan.ship import ship
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those without text or any letter go."""
+    return langid.identify(docs).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose highest window scores below 0.5."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.assess(docs, labels).where("toxicity < 0.5").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of near copies; of rows with one id the first by text. Rows with a null id stay."""
+    groups = written(ngram_join.jaccard_components(docs), "groups")
+    firsts = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    once = docs.join(firsts.where("__rows = 1").select("doc_id"), "doc_id", "left_semi")
+    order = Window.partitionBy("doc_id").orderBy("text")
+    again = docs.join(firsts.where("__rows > 1").select("doc_id"), "doc_id", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return once.union(again).union(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of token ids and decoded text."""
+    return bpe.digests(docs, bpe.default_path(spark))
+
+
+STAGES = [
+    (name, lambda spark, docs, sf_dir, f=f: f(ship(spark), docs, sf_dir))
+    for name, f in (("language ID", language_id), ("toxicity", not_toxic), ("n-gram Jaccard join", one_of_each_group), ("benchmark decontamination", without_benchmark), ("BPE encoding and decoding", encoded))
+]
+#: Language ID, toxicity and BPE have no SQL form; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage{i}")
+    return docs
