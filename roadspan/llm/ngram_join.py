@@ -10,8 +10,8 @@ boundary is the size with the least estimated cost over the whole histogram of
 sizes. Light sets that may have heavy partners do both.
 
 Exactness does not rest on the order of shingles in prefixes. Shingles that
-tasks see often go last, which keeps lists short; the table of them has a fixed
-largest size, as any total order is valid.
+tasks see often, or whose lists prove long, go last, which keeps lists short;
+the table of them has a fixed largest size, as any total order is valid.
 
 Equal sets are one node from the start. Long lists, which arise where thousands
 of texts are near copies of each other, first give a chain of neighbours; what
@@ -38,7 +38,9 @@ from roadspan.llm._text import _LANES, U64, bytes_of, mix, shingle_sets, slices
 PERCENT = 80  # Jaccard threshold in hundredths
 WORDS = 5
 COMMON = 24  # local counts summed; from here on a shingle goes last in prefixes
-COMMON_KEPT = 1 << 18  # most shingles that go last; bounds the broadcast to 2 MB, links don't depend on it
+COMMON_KEPT = 1 << 19  # most shingles that go last; bounds the broadcast to 4 MB, links don't depend on it
+ROUNDS = 2  # passes that look for long lists and put their shingles last
+CHAINED = 6  # lists of each document, from its prefix and from its common shingles, that give chains
 LONG = 48  # lists above this length are chained first
 LIGHT_MOST = 16  # largest boundary looked at
 EXTRA = 20  # a heavy prefix is longer by n // EXTRA, and a pair must meet that often
@@ -143,6 +145,19 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, x: int, common) -> Da
     return plain.mapInArrow(scan, "id long, n long, need long, kind string, keys array<long>, cold long")
 
 
+def _common(docs: DataFrame, id_col: str, text_col: str, x: int, last: np.ndarray) -> np.ndarray:
+    """``last`` with the shingles whose lists are long under the order that it gives; the most frequent ones if there is no room for all."""
+    for _ in range(ROUNDS):
+        wide = _postings(docs, id_col, text_col, x, docs.sparkSession.sparkContext.broadcast(last)).where("kind = 'h'")
+        keys = wide.select(F.explode(F.slice("keys", 1, F.col("cold").cast("int"))).alias("key"))
+        long = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LONG)
+        new = long.orderBy(F.desc("n"), "key").limit(max(1, COMMON_KEPT - len(last))).select("key").toArrow()["key"].to_numpy().view(np.uint64)
+        if not len(new):
+            break
+        last = np.union1d(last, new)
+    return last
+
+
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, set) of the documents in ``ids``; a filter of fixed size thins the scan, the join makes it exact."""
     spark = docs.sparkSession
@@ -183,8 +198,8 @@ _NEAR_SIZES = f"100 * least(n, n2) >= {PERCENT} * greatest(n, n2)"
 
 
 def _chain(lists: DataFrame) -> DataFrame:
-    """Neighbours by size in lists: long ones in blocks of bounded size, whose first rows form a chain too."""
-    few = lists.where(f"common or cnt > {LONG} or pos < 3")
+    """Neighbours by size in the lists of each document's first keys: long lists in blocks of bounded size, whose first rows form a chain too."""
+    few = lists.where(f"rank < {CHAINED}")
     few = few.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / 4096)))
     w = Window.partitionBy("kind", "key", "block").orderBy("n", "id")
     near = few.withColumns({"id2": F.lead("id").over(w), "n2": F.lead("n").over(w)})
@@ -230,9 +245,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = {r["n"]: r["k"] for r in named.where(f"n <= {2 * LIGHT_MOST}").groupBy("n").agg(F.countDistinct("key").alias("k")).collect()}
     x = boundary(sizes, 0.3)
 
+    last = _common(docs, id_col, text_col, x, last)
     heads = reps.select(F.col("rep").alias("id")).distinct()
     wide = _postings(docs, id_col, text_col, x, spark.sparkContext.broadcast(last)).join(heads, "id", "left_semi")
-    flat = wide.select("id", "n", "need", "kind", "cold", F.posexplode("keys").alias("pos", "key")).withColumn("common", F.expr("pos >= cold")).drop("cold")
+    flat = wide.select("id", "n", "need", "kind", "cold", F.posexplode("keys").alias("pos", "key")).withColumns({"common": F.expr("pos >= cold"), "rank": F.expr("if(pos >= cold, pos - cold, pos)")}).drop("cold", "pos")
     # common keys are dealt over parts, so that a list of many documents is in no one task
     flat = flat.withColumn("part", F.when(F.col("common"), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(F.lit(0)))
     w = Window.partitionBy("key", "kind", "part")
