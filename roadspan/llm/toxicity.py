@@ -23,7 +23,7 @@ WINDOW, STRIDE = 32, 16  # words
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 17, 1 << 18
 ORDERS = (3, 4, 5)  # characters
 DIM, HIDDEN, ATTENTION = 8, 8, 8
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500  # most labelled texts of each kind that are learned from
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 1500  # most labelled texts of each kind that are learned from
 EPOCHS, STEPS, BATCH, RATE = 5, 150, 128, 0.01
 TRAIN_WINDOWS = 48  # windows of a text that are learned from, evenly spread
 SEED = 11
@@ -64,9 +64,12 @@ class Words:
         """Input vector of each word."""
         chars = np.zeros((self.n, DIM), np.float32)
         some = np.flatnonzero(self.counts)
-        if len(some):
-            begin = (np.cumsum(self.counts) - self.counts)[some]
-            chars[some] = np.add.reduceat(net["chars"][self.grams], begin, axis=0) / np.sqrt(self.counts[some, None])
+        begin = (np.cumsum(self.counts) - self.counts)[some]
+        for i in range(0, len(some), 10_000):  # bounds the gathered rows
+            part = begin[i : i + 10_000]
+            end = begin[i + 10_000] if i + 10_000 < len(begin) else len(self.grams)
+            chars[some[i : i + 10_000]] = np.add.reduceat(net["chars"][self.grams[part[0] : end]], part - part[0], axis=0)
+        chars /= np.sqrt(np.maximum(self.counts, 1))[:, None]
         return np.concatenate([net["words"][self.bucket], chars], axis=1)
 
 
@@ -202,12 +205,9 @@ def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[order][begin], np.add.reduceat(values[order], begin, axis=0)
 
 
-def _log_odds(buckets: np.ndarray, docs: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+def _log_odds(ones: np.ndarray, zeros: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Lower confidence bound, not below 0, of the log-odds that a toxic text holds a bucket rather than a clean one."""
-    pairs = np.unique(buckets.astype(np.int64) * len(labels) + docs)
-    bucket, y = pairs // len(labels), labels[pairs % len(labels)]
-    ones = np.bincount(bucket, weights=y, minlength=size) + 0.5
-    zeros = np.bincount(bucket, weights=1 - y, minlength=size) + 0.5
+    ones, zeros = ones + 0.5, zeros + 0.5
     odds = np.log(ones / (labels.sum() + 1)) - np.log(zeros / ((1 - labels).sum() + 1))
     return np.maximum(0, odds - 1.5 * np.sqrt(1 / ones + 1 / zeros)).astype(np.float32)
 
@@ -235,17 +235,20 @@ def fit(texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
     words, numbers, row = windows(values, offsets)
     rng = np.random.default_rng(SEED)
 
-    at, cell = np.nonzero(numbers)
-    seen = np.unique(row[at] * (words.n + 1) + numbers[at, cell])
-    doc, word = seen // (words.n + 1), seen % (words.n + 1) - 1
-    net["words"][:, 0] = _log_odds(words.bucket[word], doc, labels, WORD_BUCKETS)
+    first = np.flatnonzero(np.diff(row, prepend=-1))
     begin = np.cumsum(words.counts) - words.counts
-    n = words.counts[word]
-    grams = words.grams[np.repeat(begin[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    net["chars"][:, 0] = _log_odds(grams, np.repeat(doc, n), labels, CHAR_BUCKETS)
+    held = {n: np.zeros((2, len(net[n]))) for n in ("words", "chars")}
+    for y, rows in zip(labels.astype(int), np.split(numbers, first[1:]), strict=True):
+        own = np.unique(rows)
+        own = own[own > 0] - 1
+        n = words.counts[own]
+        grams = words.grams[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        held["words"][y, np.unique(words.bucket[own])] += 1
+        held["chars"][y, np.unique(grams)] += 1
+    for n, (zeros, ones) in held.items():
+        net[n][:, 0] = _log_odds(ones, zeros, labels)
 
     # long texts are learned from in evenly spread windows
-    first = np.flatnonzero(np.diff(row, prepend=-1))
     count = np.diff(np.append(first, len(row)))
     place = np.arange(len(row)) - first[row]
     kept = place % np.maximum(1, -(-count // TRAIN_WINDOWS))[row] == 0
