@@ -1,7 +1,8 @@
 """Media columns: content-addressed payloads in tar shards.
 
 A payload is stored once, as a grey PNG image of 64 samples a row, under its
-SHA-256. Rows carry digest, shard, offset and length. Metadata columns come
+SHA-256. Rows carry digest, shard, offset and length; a tar member holds one or
+several payloads. Metadata columns come
 from range reads of the header alone; only features read the whole payload.
 """
 
@@ -26,6 +27,7 @@ WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed value of the format
 HEADER_BYTES = 33  # signature and IHDR
 PIECE = 1 << 20  # most bytes in an IDAT chunk
+MEMBER = 1 << 18  # payload bytes from which a tar member is full; small payloads share one, as a tar header outweighs them
 SEEN = 1 << 17  # digests a task remembers so as not to send a payload twice
 
 
@@ -36,7 +38,7 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 def to_png(payload: bytes) -> bytes:
     """8-bit grey image of a payload whose length is a positive multiple of 64."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    packed = zlib.compress(np.pad(rows, ((0, 0), (1, 0))).tobytes(), 6)
+    packed = zlib.compress(np.pad(rows, ((0, 0), (1, 0))).tobytes(), 9)
     header = _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0))
     return SIGNATURE + header + b"".join(_chunk(b"IDAT", packed[i : i + PIECE]) for i in range(0, len(packed), PIECE)) + _chunk(b"IEND", b"")
 
@@ -97,24 +99,35 @@ def store(payloads: DataFrame, target: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(media, pa.binary())], names=["digest", "media"])
 
     def shard(batches):
-        out, before = None, None
+        out, before, held, size = None, None, [], 0
         path = f"{target}/shard-{TaskContext.get().partitionId():06d}.tar"
+
+        def block():
+            """Write what is held as one tar member, and its index rows."""
+            data = b"".join(m for _, m in held)
+            info = tarfile.TarInfo(f"{held[0][0].hex()}-{len(held)}.png")
+            info.size = len(data)
+            out.write(info.tobuf(tarfile.USTAR_FORMAT))
+            start = out.write(data)
+            out.write(b"\0" * (-len(data) % 512))
+            sizes = np.array([len(m) for _, m in held], np.int64)
+            rows = pa.RecordBatch.from_arrays([pa.array([d for d, _ in held], pa.binary()), pa.array([path] * len(held)), pa.array(start + np.cumsum(sizes) - sizes), pa.array(sizes)], names=["digest", "path", "offset", "length"])
+            held.clear()
+            return rows
+
         for batch in batches:
-            rows = ([], [], [], [])
-            for digest, media in zip(batch.column(0), batch.column(1), strict=True):
-                digest = digest.as_py()
+            for digest, media in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if digest == before:
                     continue
                 before = digest
                 out = out or _files.Output(path)
-                info = tarfile.TarInfo(f"{digest.hex()}.png")
-                info.size = len(media.as_buffer())
-                out.write(info.tobuf(tarfile.USTAR_FORMAT))
-                at = out.write(media.as_buffer())
-                out.write(b"\0" * (-info.size % 512))
-                for r, v in zip(rows, (digest, path, at, info.size), strict=True):
-                    r.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64())], names=["digest", "path", "offset", "length"])
+                held.append((digest, media.as_py()))
+                size += len(held[-1][1])
+                if size >= MEMBER:
+                    yield block()
+                    size = 0
+        if held:
+            yield block()
         if out:
             out.write(b"\0" * 1024)
             out.close()
@@ -151,16 +164,17 @@ def metadata(index: DataFrame) -> DataFrame:
 
 
 def features(index: DataFrame) -> DataFrame:
-    """The index with what reading the whole payload gives: sizes, digests, and a feature text (mean and distinct samples)."""
+    """The index with the header's columns, and with what reading the whole payload gives: sizes, digests, and a feature text (mean and distinct samples)."""
 
     def row(file, offset, length):
+        header = png_header(file.read_at(HEADER_BYTES, offset))
         media = file.read_at(length, offset)
         back = from_png(media)
         samples = np.frombuffer(back, np.uint8)
         text = f"mean={samples.mean():.4f};levels={len(np.unique(samples))}"
-        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), text
+        return *header, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), text
 
-    return _per_shard(index, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, samples string", row)
+    return _per_shard(index, "width long, height long, bits long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, samples string", row)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +187,5 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col), F.coalesce(F.octet_length(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("n_bytes"), payload(F.col(text_col)).alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     index = store(rows.select("digest", "payload"), fresh_dir(docs.sparkSession, "media"))
-    size = metadata(index).select("digest", "width", "height", "bits")
-    read = features(index).drop("path", "offset", "length").join(size, "digest")
-    found = read.withColumn("feature", F.format_string("png %dx%d %d-bit;%s", "width", "height", "bits", "samples"))
+    found = features(index).drop("path", "offset", "length").withColumn("feature", F.format_string("png %dx%d %d-bit;%s", "width", "height", "bits", "samples"))
     return rows.drop("payload").join(found, "digest").drop("digest", "samples")
