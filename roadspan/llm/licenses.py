@@ -9,13 +9,13 @@ that has a licence file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadspan.llm._scratch import written
 
 THRESHOLD = 0.6
-KEY_TERMS = 2000  # most terms in the scan's pattern
+TERMS = 20_000  # most terms of all templates together; they are part of the scan's expression
 
 #: Wording of licence notices.
 TEMPLATES = [
@@ -46,15 +46,17 @@ def weights(templates: DataFrame) -> DataFrame:
     return full.join(norm, "licence").select("licence", "term", "idf", (F.col("tf") * F.col("idf") / F.col("norm")).alias("w"), "unknown")
 
 
-def key_terms(weight: DataFrame, threshold: float) -> list[str]:
-    """Terms of which a text must have one to reach the threshold: without a template's heaviest ones, what is left of it is too short a vector."""
-    order = Window.partitionBy("licence").orderBy("w", F.desc("term"))
-    light = F.sqrt(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = weight.withColumn("below", light).where(F.col("below") >= threshold - 1e-9).select("term").distinct()
-    terms = sorted(r[0] for r in found.limit(KEY_TERMS + 1).collect())
-    if len(terms) > KEY_TERMS:
-        raise ValueError(f"templates have over {KEY_TERMS} key terms")
-    return terms
+def _near(terms: Column, vectors: list[list[tuple[str, float]]], threshold: float) -> Column:
+    """True if the terms hold so much of a template that a cosine of ``threshold`` is possible.
+
+    A text's cosine to a unit vector is at most the length of the vector's part
+    on terms that the text has. The terms' expression is evaluated once.
+    """
+    weighed = F.array(*(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(w * w).alias("w")) for t, w in v)) for v in vectors))
+    every = F.array(*map(F.lit, sorted({t for v in vectors for t, _ in v})))
+    length = lambda own, v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.when(F.array_contains(own, x["t"]), x["w"]).otherwise(0.0))
+    some = F.transform(F.array(F.array_intersect(terms, every)), lambda own: F.exists(weighed, lambda v: length(own, v) >= threshold * threshold - 1e-9))
+    return F.coalesce(F.get(some, F.lit(0)), F.lit(False))
 
 
 def scan(files: DataFrame, templates: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -70,13 +72,16 @@ def scan(files: DataFrame, templates: DataFrame, path_col: str = "path", text_co
     """
     base = files.drop("licence", "origin", "licence_score", "licence_path")
     weight = written(weights(templates), "weights")
-    keys = key_terms(weight, threshold)
+    listed = weight.select("licence", "term", "w").orderBy("licence", "term").limit(TERMS + 1).collect()
+    if len(listed) > TERMS:
+        raise ValueError(f"templates have over {TERMS} terms")
+    vectors = [[(r["term"], r["w"]) for r in listed if r["licence"] == n] for n in sorted({r["licence"] for r in listed})]
     path, text = F.col(path_col), F.col(text_col)
-    some = rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(keys)})(?![\p{{L}}\p{{N}}])" if keys else "(?!)"
-    # texts that can reach the threshold at all, each distinct one once
-    texts = written(base.where(text.rlike(some)).select(text.alias("t")).distinct().withColumn("d", F.sha2("t", 256)), "texts")
-    lines = texts.select("d", F.posexplode(F.split("t", "\n")).alias("no", "part"))
-    parts = lines.where(F.col("part").rlike(some)).union(texts.select("d", F.lit(-1).alias("no"), "t"))
+    near = lambda part: _near(_terms(part), vectors, threshold) if vectors else F.lit(False)
+    # the whole text is part 0, its lines follow; no row moves before both filters have left little
+    some = base.where(text.isNotNull()).select(text.alias("t")).where(near(F.col("t")))
+    parts = some.select(F.sha2("t", 256).alias("d"), F.posexplode(F.concat(F.array("t"), F.split("t", "\n"))).alias("no", "part")).where(near(F.col("part")))
+    parts = written(parts.dropDuplicates(["d", "no"]), "parts")
     tf = parts.select("d", "no", F.explode(_terms(F.col("part"))).alias("term")).groupBy("d", "no", "term").agg(F.count("*").alias("tf"))
     idf = weight.select("term", "idf").distinct()
     unknown = weight.agg(F.max("unknown").alias("unknown"))
@@ -84,7 +89,7 @@ def scan(files: DataFrame, templates: DataFrame, path_col: str = "path", text_co
     norm = weighed.groupBy("d", "no").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dot = weighed.where("idf is not null").join(weight.select("licence", "term", "w"), "term").groupBy("d", "no", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     close = dot.join(norm, ["d", "no"]).withColumn("score", F.col("dot") / F.col("norm")).where(F.col("score") >= threshold)
-    close = close.groupBy("d", "licence").agg(F.round(F.max(F.when(F.col("no") >= 0, F.col("score"))), 6).alias("line"), F.round(F.max(F.when(F.col("no") < 0, F.col("score"))), 6).alias("whole"))
+    close = close.groupBy("d", "licence").agg(F.round(F.max(F.when(F.col("no") > 0, F.col("score"))), 6).alias("line"), F.round(F.max(F.when(F.col("no") == 0, F.col("score"))), 6).alias("whole"))
     best = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("s"), F.col("licence").alias("l"))))
     own = written(close.groupBy("d").agg(best("whole").alias("whole"), best("line").alias("line")), "own")
 
