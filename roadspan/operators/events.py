@@ -4,27 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from roadspan.functions.exprs import wrap_degrees
 from roadspan.operators.frames import sampled
 from roadspan.operators.islands import merge_episodes
 from roadspan.operators.joins import interp_asof
 
-TRACE = Window.partitionBy("trace_id").orderBy("t_us", "seq")
-TRACK = Window.partitionBy("trace_id", "obj_id").orderBy("t_us", "obs_ord")
+
+def by_trace() -> WindowSpec:
+    """A trace's poses in order."""
+    return Window.partitionBy("trace_id").orderBy("t_us", "seq")
+
+
+def by_track() -> WindowSpec:
+    """A track's observations in order."""
+    return Window.partitionBy("trace_id", "obj_id").orderBy("t_us", "obs_ord")
 
 
 def braking(ego: DataFrame) -> DataFrame:
     """Deceleration beyond 3 m/s2 for 0.3 s or more; hard from 6 m/s2."""
-    dt = (F.lead("t_us").over(TRACE) - F.col("t_us")) / 1e6
-    pairs = sampled(ego).select("trace_id", F.col("t_us").alias("t_start"), F.lead("t_us").over(TRACE).alias("t_end"), ((F.lead("speed").over(TRACE) - F.col("speed")) / dt).alias("accel"))
+    dt = (F.lead("t_us").over(by_trace()) - F.col("t_us")) / 1e6
+    pairs = sampled(ego).select("trace_id", F.col("t_us").alias("t_start"), F.lead("t_us").over(by_trace()).alias("t_end"), ((F.lead("speed").over(by_trace()) - F.col("speed")) / dt).alias("accel"))
     found = merge_episodes(pairs.where("t_end > t_start and accel < -3"), ["trace_id"], "t_start", "t_end", 0, [F.min("accel").alias("peak")])
     return found.where("t_end - t_start >= 300000").withColumn("severity", F.when(F.col("peak") <= -6, "hard").otherwise("moderate"))
 
 
 def overtakes(obs: DataFrame) -> DataFrame:
     """Changes of side along x, between observations at least 2 m away and at most 8 m aside on average."""
-    x1, y1, t1 = (F.lead(c).over(TRACK).alias(c + "1") for c in ("x_rel", "y_rel", "t_us"))
+    x1, y1, t1 = (F.lead(c).over(by_track()).alias(c + "1") for c in ("x_rel", "y_rel", "t_us"))
     pairs = obs.where(F.abs("x_rel") >= 2).select("trace_id", "obj_id", "t_us", "x_rel", "y_rel", x1, y1, t1)
     found = pairs.where((F.col("x_rel") > 0) != (F.col("x_rel1") > 0)).where(F.abs((F.col("y_rel") + F.col("y_rel1")) / 2) <= 8)
     t = F.col("t_us") + F.floor((F.col("t_us1") - F.col("t_us")) / 2)
@@ -41,7 +49,7 @@ def short_headways(obs: DataFrame, ego: DataFrame, offset_us: int = 0) -> DataFr
 
 def cut_ins(obs: DataFrame) -> DataFrame:
     """From beside into the own lane, up to 25 m ahead."""
-    return obs.withColumn("before", F.lag("y_rel").over(TRACK)).where("abs(before) > 1.9 and abs(y_rel) <= 1.9 and x_rel > 0 and x_rel <= 25").select("trace_id", "obj_id", "t_us", "x_rel")
+    return obs.withColumn("before", F.lag("y_rel").over(by_track())).where("abs(before) > 1.9 and abs(y_rel) <= 1.9 and x_rel > 0 and x_rel <= 25").select("trace_id", "obj_id", "t_us", "x_rel")
 
 
 def standstills(ego: DataFrame) -> DataFrame:

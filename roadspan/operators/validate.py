@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspan.functions import exprs as X
-from roadspan.operators.events import TRACE, TRACK
+from roadspan.operators.events import by_trace, by_track
 from roadspan.operators.frames import sampled
 from roadspan.operators.joins import nearest_within
 
@@ -18,19 +18,19 @@ def _worst(*levels):
 
 def ego_kinematic(ego: DataFrame) -> DataFrame:
     """Sampled pose pairs whose speed or acceleration exceeds the limits."""
-    dt = (F.lead("t_us").over(TRACE) - F.col("t_us")) / 1e6
-    speed = F.hypot(F.lead("x_m").over(TRACE) - F.col("x_m"), F.lead("y_m").over(TRACE) - F.col("y_m")) / dt
-    accel = (F.lead("speed").over(TRACE) - F.col("speed")) / dt
-    rows = sampled(ego).select("trace_id", F.col("t_us").alias("t_start"), F.lead("t_us").over(TRACE).alias("t_end"), speed.alias("speed"), accel.alias("accel")).where("t_end > t_start")
+    dt = (F.lead("t_us").over(by_trace()) - F.col("t_us")) / 1e6
+    speed = F.hypot(F.lead("x_m").over(by_trace()) - F.col("x_m"), F.lead("y_m").over(by_trace()) - F.col("y_m")) / dt
+    accel = (F.lead("speed").over(by_trace()) - F.col("speed")) / dt
+    rows = sampled(ego).select("trace_id", F.col("t_us").alias("t_start"), F.lead("t_us").over(by_trace()).alias("t_end"), speed.alias("speed"), accel.alias("accel")).where("t_end > t_start")
     return rows.withColumn("severity", _worst(X.severity(F.col("speed"), *X.SPEED_LIMITS), X.severity(F.abs("accel"), *X.ACCEL_LIMITS))).where("severity is not null")
 
 
 def track_steps(glob: DataFrame) -> DataFrame:
     """Consecutive observations of a track with a positive time step: dt, speed, yaw_rate."""
-    dt = (F.lead("t_us").over(TRACK) - F.col("t_us")) / 1e6
-    dist = F.hypot(F.lead("gx").over(TRACK) - F.col("gx"), F.lead("gy").over(TRACK) - F.col("gy"))
-    turn = F.abs(X.wrap_degrees(F.lead("heading").over(TRACK) - F.col("heading")))
-    rows = glob.select("trace_id", "obj_id", "obs_ord", F.col("t_us").alias("t_start"), F.lead("t_us").over(TRACK).alias("t_end"), dt.alias("dt"), dist.alias("dist"), turn.alias("turn"))
+    dt = (F.lead("t_us").over(by_track()) - F.col("t_us")) / 1e6
+    dist = F.hypot(F.lead("gx").over(by_track()) - F.col("gx"), F.lead("gy").over(by_track()) - F.col("gy"))
+    turn = F.abs(X.wrap_degrees(F.lead("heading").over(by_track()) - F.col("heading")))
+    rows = glob.select("trace_id", "obj_id", "obs_ord", F.col("t_us").alias("t_start"), F.lead("t_us").over(by_track()).alias("t_end"), dt.alias("dt"), dist.alias("dist"), turn.alias("turn"))
     return rows.where("dt > 0").select("trace_id", "obj_id", "obs_ord", "t_start", "t_end", "dt", (F.col("dist") / F.col("dt")).alias("speed"), (F.col("turn") / F.col("dt")).alias("yaw_rate"))
 
 
@@ -81,8 +81,8 @@ def offroad_runs(rows: DataFrame) -> DataFrame:
     """
     whole = Window.partitionBy("trace_id", "obj_id")
     off = F.col("excursion") > 0
-    new = F.when(off & ~F.coalesce(F.lag(off).over(TRACK), F.lit(False)), 1).otherwise(0)
-    marked = rows.withColumns({"__new": new, "__last": F.max("t_us").over(whole)}).withColumn("__run", F.sum("__new").over(TRACK.rowsBetween(Window.unboundedPreceding, 0)))
+    new = F.when(off & ~F.coalesce(F.lag(off).over(by_track()), F.lit(False)), 1).otherwise(0)
+    marked = rows.withColumns({"__new": new, "__last": F.max("t_us").over(whole)}).withColumn("__run", F.sum("__new").over(by_track().rowsBetween(Window.unboundedPreceding, 0)))
     runs = marked.where(off).groupBy("trace_id", "obj_id", "__run").agg(
         F.min("t_us").alias("t_start"), F.max("t_us").alias("t_end"), F.max("excursion").alias("peak_m"), F.max_by("side", F.struct("excursion", -F.col("obs_ord"))).alias("side"), (F.max("t_us") == F.max("__last")).alias("to_end")
     )

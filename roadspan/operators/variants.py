@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-TRACK = Window.partitionBy("trace_id", "obj_id").orderBy("t_us", "obs_ord")
-WHOLE = Window.partitionBy("trace_id", "obj_id")
+from roadspan.operators.events import by_track
+
+
+def whole_track() -> WindowSpec:
+    return Window.partitionBy("trace_id", "obj_id")
 
 
 def scale_gap(obs: DataFrame, factor: float) -> DataFrame:
@@ -20,7 +24,7 @@ def scale_lateral(obs: DataFrame, factor: float) -> DataFrame:
 
 def windowed_gap(obs: DataFrame, factor: float, start: float, end: float) -> DataFrame:
     """Gaps ahead fall to ``factor`` between two fractions of the track's time, and stay there."""
-    t0, t1 = F.min("t_us").over(WHOLE), F.max("t_us").over(WHOLE)
+    t0, t1 = F.min("t_us").over(whole_track()), F.max("t_us").over(whole_track())
     frac = F.when(t1 > t0, (F.col("t_us") - t0) / (t1 - t0)).otherwise(0.0)
     ramp = F.when(frac <= start, 1.0).when(frac >= end, factor).otherwise(1.0 + (factor - 1.0) * (frac - start) / (end - start))
     return obs.withColumn("x_rel", F.when(F.col("x_rel") > 0, F.greatest(F.lit(1.0), F.col("x_rel") * ramp)).otherwise(F.col("x_rel")))
@@ -31,12 +35,12 @@ def time_warp_lateral(obs: DataFrame, compress: float, tighten: float) -> DataFr
 
     The warped times and the track's own meet in one sorted window, as in an as-of join.
     """
-    t0, t1 = F.min("t_us").over(WHOLE), F.max("t_us").over(WHOLE)
+    t0, t1 = F.min("t_us").over(whole_track()), F.max("t_us").over(whole_track())
     own = obs.withColumns({"__t0": t0, "__span": t1 - t0})
     frac = F.when(F.col("__span") > 0, (F.col("t_us") - F.col("__t0")) / F.col("__span")).otherwise(0.0)
     asked = own.withColumn("__at", F.col("__t0") + F.least(F.lit(1.0), frac / compress) * F.col("__span"))
     point = F.struct(F.col("t_us").cast("double").alias("t"), F.col("y_rel").alias("y"))
-    known = obs.select("trace_id", "obj_id", F.col("t_us").cast("double").alias("__at"), F.lit(0).alias("__k"), "obs_ord", F.struct(point.alias("a"), F.lead(point).over(TRACK).alias("b")).alias("__p"))
+    known = obs.select("trace_id", "obj_id", F.col("t_us").cast("double").alias("__at"), F.lit(0).alias("__k"), "obs_ord", F.struct(point.alias("a"), F.lead(point).over(by_track()).alias("b")).alias("__p"))
     rows = asked.select("trace_id", "obj_id", "__at", F.lit(1).alias("__k"), F.struct(*obs.columns).alias("__o"), "obs_ord")
     w = Window.partitionBy("trace_id", "obj_id").orderBy("__at", "__k", "obs_ord").rowsBetween(Window.unboundedPreceding, 0)
     met = known.unionByName(rows, allowMissingColumns=True).withColumn("__l", F.last("__p", ignorenulls=True).over(w)).where("__k = 1")
@@ -49,7 +53,7 @@ def time_warp_lateral(obs: DataFrame, compress: float, tighten: float) -> DataFr
 def trim_trailing(rows: DataFrame, hit: Column) -> DataFrame:
     """Drop observations at a track's end for which ``hit`` holds; the first observation always stays."""
     back = Window.partitionBy("trace_id", "obj_id").orderBy(F.desc("t_us"), F.desc("obs_ord")).rowsBetween(Window.unboundedPreceding, 0)
-    first = F.row_number().over(TRACK) == 1
+    first = F.row_number().over(by_track()) == 1
     return rows.withColumns({"__all": F.min(hit.cast("int")).over(back), "__first": first}).where("__all = 0 or __first").drop("__all", "__first")
 
 

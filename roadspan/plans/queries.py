@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from roadspan.functions import exprs as X
 from roadspan.operators import events, frames, joins, summaries, validate, variants
 from roadspan.plans import projection as P
+from roadspan.sources import traces
+from roadspan.streaming import sessions as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -405,3 +407,51 @@ def trim_trailing_overlap(spark, sf_dir):
 SELECT trace_id, obj_id, obs_ord, round(CASE WHEN g <= 0 THEN 1 WHEN g >= 500000 THEN 0 ELSE 0.5 * (1 + cos(g * pi() / 500000)) END, 6) AS weight FROM g""")
 def blend_weight(spark, sf_dir):
     return P.obs(spark, sf_dir).select("trace_id", "obj_id", "obs_ord", F.round(variants.blend_weight(F.col("t_us"), F.lit(10_000_000), F.lit(15_000_000)), 6).alias("weight"))
+
+
+# --- files and sessions ---
+
+
+@query("""WITH e AS (SELECT 't' || s_suppkey AS name, 'e/t' || s_suppkey AS ego_path, 't' || s_suppkey AS key FROM supplier),
+n AS (SELECT key, min(path) AS annotation_path FROM (SELECT 't' || s_suppkey AS key, 'a/t' || s_suppkey || '__ref-QC_IND' AS path FROM supplier WHERE s_nationkey < 10 UNION ALL SELECT 't' || (s_suppkey // 10), 'b/' || s_suppkey FROM supplier WHERE s_nationkey >= 20 AND s_suppkey >= 10) z GROUP BY key),
+x AS (SELECT name, ego_path, annotation_path, 'exact' AS how FROM (SELECT *, row_number() OVER (PARTITION BY annotation_path ORDER BY ego_path) AS rn FROM e JOIN n USING (key)) z WHERE rn = 1),
+l AS (SELECT name, ego_path, arg_max(annotation_path, length(n.key)) AS annotation_path FROM e JOIN n ON starts_with(e.key, n.key) WHERE ego_path NOT IN (SELECT ego_path FROM x) AND annotation_path NOT IN (SELECT annotation_path FROM x) GROUP BY name, ego_path)
+SELECT * FROM x UNION ALL SELECT name, ego_path, annotation_path, 'prefix' FROM (SELECT *, row_number() OVER (PARTITION BY annotation_path ORDER BY ego_path) AS rn FROM l) z WHERE rn = 1""")
+def pair_by_name(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    own = F.concat(F.lit("t"), F.col("s_suppkey").cast("string"))
+    ego = s.select(own.alias("name"), F.concat(F.lit("e/"), own).alias("path"))
+    named = s.where("s_nationkey < 10").select(F.concat(own, F.lit("__ref-QC_IND")).alias("stem"), F.concat(F.lit("a/"), own, F.lit("__ref-QC_IND")).alias("path"))
+    short = s.where("s_nationkey >= 20 and s_suppkey >= 10").select(F.concat(F.lit("t"), F.expr("cast(s_suppkey div 10 as string)")).alias("stem"), F.concat(F.lit("b/"), F.col("s_suppkey").cast("string")).alias("path"))
+    return traces.pair_files(ego, named.union(short))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g)
+SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, CAST(epoch_us(max(ts)) + 1800000000 AS BIGINT) AS end_us, count(*) AS n FROM r GROUP BY user_id, run""")
+def events_sessions(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    found = S.sessions(rows, "ts", ["user_id"])
+    return found.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query("""WITH p AS (SELECT s_suppkey AS trace_id, CAST((s_suppkey * 37 % 120) - 60 AS DOUBLE) AS lat, CAST((s_suppkey * 91 % 358) - 179 AS DOUBLE) AS lon FROM supplier),
+k AS (SELECT *, CAST(floor((lon + 180) / 6) + 1 AS INTEGER) AS zone, 1 / 298.257223563::DOUBLE / (2 - 1 / 298.257223563::DOUBLE) AS n FROM p),
+t AS (SELECT *, radians(lat) AS phi, radians(lon - (zone * 6 - 183)) AS lam, 2 * sqrt(n) / (1 + n) AS e FROM k),
+u AS (SELECT *, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS tt FROM t),
+v AS (SELECT *, atan2(tt, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + tt * tt)) AS eta, 6378137 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS a,
+n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 AS a2, 61 * n ** 3 / 240 AS a3 FROM u)
+SELECT trace_id, zone, round(500000 + 0.9996::DOUBLE * a * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS easting,
+round(CASE WHEN lat < 0 THEN 10000000 ELSE 0 END + 0.9996::DOUBLE * a * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) AS northing FROM v""")
+def utm_origin(spark, sf_dir):
+    s = F.col("s_suppkey")
+    p = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(s.alias("trace_id"), (s * 37 % 120 - 60).cast("double").alias("lat"), (s * 91 % 358 - 179).cast("double").alias("lon"))
+    east, north = X.utm(F.col("lat"), F.col("lon"))
+    return p.select("trace_id", X.utm_zone(F.col("lon")).alias("zone"), F.round(east, 3).alias("easting"), F.round(north, 3).alias("northing"))
+
+
+@query()
+def rate_limit(spark, sf_dir):
+    """Lateral corrections of every track, rate-limited both ways."""
+    rows = P.obs(spark, sf_dir).select("trace_id", "obj_id", "t_us", F.col("y_rel").alias("v"))
+    return variants.rate_limited(rows, ["trace_id", "obj_id"], "t_us", "v").select("trace_id", "obj_id", F.explode("points").alias("p")).select("trace_id", "obj_id", "p.t", "p.v")
