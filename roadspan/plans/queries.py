@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspan.functions import exprs as X
-from roadspan.operators import events, frames, joins, summaries, validate, variants
+from roadspan.operators import events, frames, joins, predict, summaries, validate, variants
+from roadspan.operators import reports as R
 from roadspan.plans import projection as P
+from roadspan.ship import ship
 from roadspan.sources import traces
 from roadspan.streaming import sessions as S
 
@@ -455,3 +457,46 @@ def rate_limit(spark, sf_dir):
     """Lateral corrections of every track, rate-limited both ways."""
     rows = P.obs(spark, sf_dir).select("trace_id", "obj_id", "t_us", F.col("y_rel").alias("v"))
     return variants.rate_limited(rows, ["trace_id", "obj_id"], "t_us", "v").select("trace_id", "obj_id", F.explode("points").alias("p")).select("trace_id", "obj_id", "p.t", "p.v")
+
+
+# --- prediction and reports ---
+
+ENDS = """en AS (SELECT *, row_number() OVER (PARTITION BY trace_id, obj_id ORDER BY t_us, obs_ord) AS i, row_number() OVER (PARTITION BY trace_id, obj_id ORDER BY t_us DESC, obs_ord DESC) AS j, count(*) OVER (PARTITION BY trace_id, obj_id) AS n FROM posed)"""
+
+
+@query(f"""{BASE}, {ENDS}, pl AS (SELECT b.trace_id, b.obj_id, b.n, b.t_us, b.gx, b.gy, b.heading, b.x_rel, a.gx AS px, a.gy AS py, (b.t_us - a.t_us) / 1e6 AS dt FROM en b LEFT JOIN en a ON a.trace_id = b.trace_id AND a.obj_id = b.obj_id AND a.j = 2 WHERE b.j = 1),
+sp AS (SELECT *, CASE WHEN n < 2 THEN 25 WHEN dt > 0 THEN sqrt((gx - px) ** 2 + (gy - py) ** 2) / dt ELSE 0 END AS speed FROM pl),
+yw AS (SELECT *, CASE WHEN n >= 2 AND speed > 0.1 THEN atan2(gy - py, gx - px) ELSE radians(heading) END AS yaw, CASE WHEN x_rel < 0 THEN 60 ELSE 20 END AS steps FROM sp)
+SELECT trace_id, obj_id, CAST(s AS INTEGER) AS step, t_us + s * 200000 AS t_us, round(gx + speed * s * 0.2::DOUBLE * cos(yaw), 5) + 0 AS gx, round(gy + speed * s * 0.2::DOUBLE * sin(yaw), 5) + 0 AS gy FROM (SELECT *, unnest(range(1, steps + 1)) AS s FROM yw) z""")
+def predict_ungoverned(spark, sf_dir):
+    out = predict.extrapolate(_glob(spark, sf_dir)).drop("speed")
+    return out.withColumns({c: F.round(F.col(c), 5) + 0.0 for c in ("gx", "gy")})
+
+
+@query()
+def predict_steered(spark, sf_dir):
+    return predict.steered(_glob(ship(spark), sf_dir), P.ego(spark, sf_dir))
+
+
+@query(f"""{BASE}, {ENDS}, f AS (SELECT a.trace_id, a.obj_id, a.t_us, a.gx, a.gy, a.y_rel, a.width, a.lane, CASE WHEN b.t_us > a.t_us THEN sqrt((b.gx - a.gx) ** 2 + (b.gy - a.gy) ** 2) / ((b.t_us - a.t_us) / 1e6) ELSE 0 END AS v FROM en a JOIN en b ON a.trace_id = b.trace_id AND a.obj_id = b.obj_id AND a.i = 1 AND b.i = 2),
+l AS (SELECT a.trace_id, a.obj_id, a.t_us, a.gx, a.gy, a.y_rel, a.width, a.lane, CASE WHEN a.t_us > b.t_us THEN sqrt((b.gx - a.gx) ** 2 + (b.gy - a.gy) ** 2) / ((a.t_us - b.t_us) / 1e6) ELSE 0 END AS v FROM en a JOIN en b ON a.trace_id = b.trace_id AND a.obj_id = b.obj_id AND a.j = 1 AND b.j = 2),
+c AS (SELECT l.trace_id, l.obj_id AS a, f.obj_id AS b, abs(sqrt((f.gx - l.gx) ** 2 + (f.gy - l.gy) ** 2) / ((f.t_us - l.t_us) / 1e6) - (l.v + f.v) / 2) AS error FROM l JOIN f ON l.trace_id = f.trace_id AND l.lane = f.lane AND l.obj_id <> f.obj_id AND f.t_us > l.t_us AND f.t_us <= l.t_us + 3000000 AND abs(f.y_rel - l.y_rel) <= 2 AND abs(f.width - l.width) <= 0.6)
+SELECT trace_id, a, b, round(error, 6) AS error FROM c WHERE error <= 8""")
+def continuation_candidates(spark, sf_dir):
+    return rounded(predict.continuation_candidates(predict.track_ends(_glob(spark, sf_dir))), "error")
+
+
+@query()
+def continuations(spark, sf_dir):
+    return predict.continuations(predict.track_ends(_glob(ship(spark), sf_dir)))
+
+
+@query()
+def reports(spark, sf_dir):
+    phenomena = summaries.count_by(events.all_events(P.obs(spark, sf_dir), P.ego(spark, sf_dir)), "trace_id", "phenomenon")
+    return R.text_report(_issues(spark, sf_dir), phenomena)
+
+
+@query()
+def scene_json(spark, sf_dir):
+    return R.scene_json(P.obs(spark, sf_dir), P.ego(spark, sf_dir))
