@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspan.functions import exprs as X
-from roadspan.operators import events, frames, joins, predict, summaries, validate, variants
+from roadspan.operators import events, frames, joins, predict, repair, road, summaries, validate, variants
 from roadspan.operators import reports as R
 from roadspan.plans import projection as P
 from roadspan.ship import ship
@@ -500,3 +500,37 @@ def reports(spark, sf_dir):
 @query()
 def scene_json(spark, sf_dir):
     return R.scene_json(P.obs(spark, sf_dir), P.ego(spark, sf_dir))
+
+
+# --- repair and road ---
+
+
+@query()
+def smooth_tracks(spark, sf_dir):
+    """Every track, smoothed where its acceleration is flagged."""
+    posed = _glob(ship(spark), sf_dir)
+    flags = validate.centred_acceleration(validate.track_steps(posed)).where("severity = 'high'")
+    windows = flags.select("trace_id", "obj_id", (F.col("t_us") - 500_000).alias("t_start"), (F.col("t_us") + 500_000).alias("t_end"))
+    return repair.smooth_tracks(posed, windows).select("trace_id", "obj_id", "obs_ord", "gx", "gy", "fixed")
+
+
+ARC = f"""sd AS (SELECT *, coalesce(sqrt((x_m - lag(x_m) OVER w) ** 2 + (y_m - lag(y_m) OVER w) ** 2), 0) AS d FROM ego WINDOW w AS (PARTITION BY trace_id ORDER BY t_us)),
+sc AS (SELECT *, sum(d) OVER (PARTITION BY trace_id ORDER BY t_us ROWS UNBOUNDED PRECEDING) AS s FROM sd),
+arc AS (SELECT *, lead(s) OVER w AS s1, lead(x_m) OVER w AS x1, lead(y_m) OVER w AS y1 FROM sc WINDOW w AS (PARTITION BY trace_id ORDER BY t_us))"""
+
+
+@query(f"WITH {P.EGO}, {ARC} SELECT trace_id, seq, round(s, 6) AS s FROM arc")
+def road_ref_arclength(spark, sf_dir):
+    return rounded(road.arc_length(P.ego(spark, sf_dir)).select("trace_id", "seq", "s"), "s")
+
+
+@query(f"""WITH {P.EGO}, {ARC}, g AS (SELECT *, unnest(range(CAST(floor(s / 15) AS BIGINT) + 1, CAST(floor(s1 / 15) AS BIGINT) + 1)) AS k FROM arc WHERE s1 > s)
+SELECT trace_id, k, k * 15.0::DOUBLE AS s, round(x_m + (x1 - x_m) * (k * 15 - s) / (s1 - s), 5) + 0 AS x_m, round(y_m + (y1 - y_m) * (k * 15 - s) / (s1 - s), 5) + 0 AS y_m FROM g""")
+def arc_resample(spark, sf_dir):
+    return road.resample(P.ego(spark, sf_dir)).withColumns({c: F.round(F.col(c), 5) + 0.0 for c in ("x_m", "y_m")})
+
+
+@query(f"""{ALL_ISSUES} SELECT o.trace_id, o.obj_id, o.obs_ord, CASE max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity
+FROM obs o JOIN iss i ON o.trace_id = i.trace_id AND o.obj_id = i.obj_id AND o.t_us BETWEEN i.t_start - 300000 AND i.t_end + 300000 GROUP BY ALL""")
+def worst_active_issue(spark, sf_dir):
+    return road.worst_active(P.obs(spark, sf_dir), _issues(spark, sf_dir))
