@@ -1,24 +1,29 @@
 """Extrapolation of tracks beyond their ends, and the linking of a track to its continuation.
 
-The constant-velocity plan of a track's ends is relational. The step model,
-where each step depends on the one before, is a fold over a sequence of steps
-per track: no rows of other tracks are needed, so tracks are independent.
+The constant-velocity plan of a track's ends is relational. In the step models
+each step depends on the one before; without the governor tracks are
+independent, with it a trace is one group.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadspan.functions import exprs as X
 from roadspan.operators.events import by_track
 
 #: Step (s), least clip distance in frames, default speed, limits of a continuation.
 STEP_S, EDGE_FRAMES, ALONE_SPEED = 0.2, 3, 25.0
 GAP_S, SIDE_M, WIDTH_M, SPEED_ERROR = 3.0, 2.0, 0.6, 8.0
 HORIZON_BEHIND = 3.0
+#: Fixed values of the governor: braking and recovery (m/s2), margin (m), steering share, heading cap (deg/s), nearest box in time (us).
+BRAKE, RECOVER, MARGIN_M, STEER, TURN_CAP, NEAR_US = 5.0, 2.0, 1.0, 0.35, 10.0, 300_000
 
 
 def track_ends(glob: DataFrame) -> DataFrame:
@@ -124,3 +129,117 @@ def steered(glob: DataFrame, ego: DataFrame, horizon_s: float = 4.0, steer: floa
             yield pd.DataFrame(out, columns=["trace_id", "obj_id", "step", "t_us", "gx", "gy"])
 
     return plan.join(path, "trace_id").mapInPandas(run, "trace_id long, obj_id int, step int, t_us long, gx double, gy double")
+
+
+def _corners(x: float, y: float, yaw: float, length: float, width: float) -> list[tuple[float, float]]:
+    c, s = math.cos(yaw), math.sin(yaw)
+    return [(x + a * c - b * s, y + a * s + b * c) for a, b in ((length / 2, width / 2), (length / 2, -width / 2), (-length / 2, -width / 2), (-length / 2, width / 2))]
+
+
+def _touch(a: tuple, b: tuple) -> bool:
+    """Separating-axis test of two boxes (x, y, yaw, length, width)."""
+    if math.hypot(a[0] - b[0], a[1] - b[1]) > (math.hypot(a[3], a[4]) + math.hypot(b[3], b[4])) / 2:
+        return False
+    p, q = _corners(*a), _corners(*b)
+    for yaw in (a[2], a[2] + math.pi / 2, b[2], b[2] + math.pi / 2):
+        c, s = math.cos(yaw), math.sin(yaw)
+        u, v = [x * c + y * s for x, y in p], [x * c + y * s for x, y in q]
+        if max(u) < min(v) or max(v) < min(u):
+            return False
+    return True
+
+
+class _Scene:
+    """Boxes of a trace's tracks by time; predictions are added as they are made."""
+
+    def __init__(self, obs: pd.DataFrame) -> None:
+        self.tracks: dict[int, tuple[list[int], list[tuple]]] = {}
+        for o, rows in obs.sort_values(["t_us", "obs_ord"]).groupby("obj_id"):
+            self.tracks[int(o)] = (rows["t_us"].tolist(), list(zip(rows["gx"], rows["gy"], [math.radians(h) for h in rows["heading"]], rows["length"], rows["width"], strict=True)))
+
+    def add(self, obj: int, t: int, box: tuple) -> None:
+        times, boxes = self.tracks[obj]
+        i = bisect.bisect_right(times, t)
+        times.insert(i, t)
+        boxes.insert(i, box)
+
+    def others(self, obj: int, t: int):
+        for o, (times, boxes) in self.tracks.items():
+            if o == obj:
+                continue
+            i = bisect.bisect_left(times, t)
+            near = min((j for j in (i - 1, i) if 0 <= j < len(times)), key=lambda j: abs(times[j] - t), default=None)
+            if near is not None and abs(times[near] - t) <= NEAR_US:
+                yield boxes[near]
+
+
+def governed(glob: DataFrame, ego: DataFrame, horizon_s: float = 4.0) -> DataFrame:
+    """Forward positions of all tracks of a trace, stepped in the order of time so that each sees the others.
+
+    Before a step, boxes ahead are tested with a margin of 1 m; a blocked track
+    brakes and takes the step at the lower speed, and ends where its box would
+    still touch another. Free tracks regain their speed. Steps are bound to
+    each other across a trace's tracks, so a trace is one group; traces are
+    independent. Nothing is predicted beyond the ego's last pose.
+    """
+    plan = end_plan(track_ends(glob))
+    boxes = glob.select("trace_id", "obj_id", "obs_ord", "t_us", "gx", "gy", "heading", "length", "width")
+    both = boxes.join(plan.select("trace_id", "obj_id", F.col("t_us").alias("end_us"), "speed", "yaw", "reach"), ["trace_id", "obj_id"])
+    poses = ego.select("trace_id", "t_us", "x_m", "y_m", F.pmod(F.col("heading_deg") + 90, F.lit(360.0)).alias("yaw_deg"))
+
+    def run(key, obs: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        names = ["trace_id", "obj_id", "step", "t_us", "gx", "gy", "speed"]
+        if not len(obs) or not len(path):
+            return pd.DataFrame([], columns=names)
+        path = path.sort_values("t_us")
+        pt, px, py, pyaw = (path[c].to_numpy() for c in ("t_us", "x_m", "y_m", "yaw_deg"))
+        scene, out, heap = _Scene(obs), [], []
+        for n, (o, rows) in enumerate(obs.sort_values(["obj_id", "t_us", "obs_ord"]).groupby("obj_id")):
+            r = rows.iloc[-1]
+            state = {"obj": int(o), "x": r.gx, "y": r.gy, "yaw": r.yaw, "box": math.radians(r.heading), "v": r.speed, "cruise": r.speed, "step": 0, "most": max(1, round(horizon_s * r.reach / STEP_S)), "size": (r.length, r.width)}
+            heapq.heappush(heap, (int(r.end_us) + int(STEP_S * 1e6), n, state))
+        count = len(heap)
+        while heap:
+            t, _, s = heapq.heappop(heap)
+            if t > pt[-1]:
+                continue
+            i = int(np.argmin((px - s["x"]) ** 2 + (py - s["y"]) ** 2))
+            a, b = max(0, i - 1), min(len(px) - 1, i + 1)
+            yaw = s["yaw"]
+            if math.hypot(px[b] - px[a], py[b] - py[a]) > 1e-9:
+                tangent = math.atan2(py[b] - py[a], px[b] - px[a])
+                yaw += STEER * math.atan2(math.sin(tangent - yaw), math.cos(tangent - yaw))
+            turn = STEER * math.atan2(math.sin(yaw - s["box"]), math.cos(yaw - s["box"]))
+            cap = math.radians(TURN_CAP) * STEP_S
+            box_yaw = s["box"] + max(-cap, min(cap, turn))
+            j = int(np.searchsorted(pt, t, side="right")) - 1
+            around = [*scene.others(s["obj"], t), (px[max(j, 0)], py[max(j, 0)], math.radians(pyaw[max(j, 0)]), X.EGO_LENGTH, X.EGO_WIDTH)]
+
+            def at(v, s=s, yaw=yaw):
+                return s["x"] + v * STEP_S * math.cos(yaw), s["y"] + v * STEP_S * math.sin(yaw)
+
+            def blocked(v, margin, at=at, yaw=yaw, box_yaw=box_yaw, s=s, around=around):
+                x, y = at(v)
+                own = (x, y, box_yaw, s["size"][0] + 2 * margin, s["size"][1] + 2 * margin)
+                return any((q[0] - x) * math.cos(yaw) + (q[1] - y) * math.sin(yaw) > 0 and _touch(own, q) for q in around)
+
+            v = s["v"]
+            if blocked(v, MARGIN_M):
+                v = max(0.0, v - BRAKE * STEP_S)
+                after = v
+                if blocked(v, 0.0):
+                    continue
+            else:
+                after = min(s["cruise"], v + RECOVER * STEP_S)
+            x, y = at(v)
+            s |= {"x": x, "y": y, "yaw": yaw, "box": box_yaw, "v": after, "step": s["step"] + 1}
+            scene.add(s["obj"], t, (x, y, box_yaw, *s["size"]))
+            out.append((key[0], s["obj"], s["step"], t, x, y, v))
+            if s["step"] < s["most"]:
+                count += 1
+                heapq.heappush(heap, (t + int(STEP_S * 1e6), count, s))
+        return pd.DataFrame(out, columns=names)
+
+    return both.groupBy("trace_id").cogroup(poses.groupBy("trace_id")).applyInPandas(run, "trace_id long, obj_id int, step int, t_us long, gx double, gy double, speed double")

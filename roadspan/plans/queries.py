@@ -478,6 +478,11 @@ def predict_steered(spark, sf_dir):
     return predict.steered(_glob(ship(spark), sf_dir), P.ego(spark, sf_dir))
 
 
+@query()
+def predict_governed(spark, sf_dir):
+    return predict.governed(_glob(ship(spark), sf_dir), P.ego(spark, sf_dir))
+
+
 @query(f"""{BASE}, {ENDS}, f AS (SELECT a.trace_id, a.obj_id, a.t_us, a.gx, a.gy, a.y_rel, a.width, a.lane, CASE WHEN b.t_us > a.t_us THEN sqrt((b.gx - a.gx) ** 2 + (b.gy - a.gy) ** 2) / ((b.t_us - a.t_us) / 1e6) ELSE 0 END AS v FROM en a JOIN en b ON a.trace_id = b.trace_id AND a.obj_id = b.obj_id AND a.i = 1 AND b.i = 2),
 l AS (SELECT a.trace_id, a.obj_id, a.t_us, a.gx, a.gy, a.y_rel, a.width, a.lane, CASE WHEN a.t_us > b.t_us THEN sqrt((b.gx - a.gx) ** 2 + (b.gy - a.gy) ** 2) / ((a.t_us - b.t_us) / 1e6) ELSE 0 END AS v FROM en a JOIN en b ON a.trace_id = b.trace_id AND a.obj_id = b.obj_id AND a.j = 1 AND b.j = 2),
 c AS (SELECT l.trace_id, l.obj_id AS a, f.obj_id AS b, abs(sqrt((f.gx - l.gx) ** 2 + (f.gy - l.gy) ** 2) / ((f.t_us - l.t_us) / 1e6) - (l.v + f.v) / 2) AS error FROM l JOIN f ON l.trace_id = f.trace_id AND l.lane = f.lane AND l.obj_id <> f.obj_id AND f.t_us > l.t_us AND f.t_us <= l.t_us + 3000000 AND abs(f.y_rel - l.y_rel) <= 2 AND abs(f.width - l.width) <= 0.6)

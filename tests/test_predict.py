@@ -55,3 +55,30 @@ def test_report_and_scene(spark):
     tags = spark.createDataFrame([(1, "cut_in", 2), (2, "cut_in", 1)], "trace_id long, phenomenon string, n long")
     got = {r.trace_id: r.report for r in reports.text_report(issues, tags).collect()}
     assert got[1].splitlines()[:3] == ["Trace 1", "Issues: 2 (high 1)", "Events: cut_in=2"] and "0.500  high" in got[1].splitlines()[3] and got[2].endswith("cut_in=1\n")
+
+
+def _boxed(spark, rows):
+    cols = SCHEMA + ", length double"
+    return spark.createDataFrame([(1, o, i, int(t * 1e6), float(x), 0.0, 0.0, 5.0, 0.0, 2.0, "a", float(ln)) for i, (o, t, x, ln) in enumerate(rows)], cols)
+
+
+def _far_ego(spark):
+    return spark.createDataFrame([(1, i, i * 100_000, 10.0, float(i), 500.0, 270.0) for i in range(300)], "trace_id long, seq long, t_us long, speed double, x_m double, y_m double, heading_deg double")
+
+
+def test_governor_stops_before_an_obstacle(spark):
+    parked = [(2, 0.2 * i, 200, 5) for i in range(120)]
+    moving = [(1, 0, 100, 5), (1, 1, 130, 5)]
+    got = [r for r in predict.governed(_boxed(ship(spark), moving + parked), _far_ego(spark), 6.0).where("obj_id = 1").orderBy("step").collect()]
+    assert got and 180 < max(r.gx for r in got) < 200
+    free = predict.governed(_boxed(spark, moving), _far_ego(spark), 6.0).where("obj_id = 1")
+    assert free.agg(F.max("gx")).first()[0] > 220
+
+
+def test_governor_leaves_a_tailgater_alone(spark):
+    rows = [(1, 0, 0, 20), (1, 1, 20, 20), (2, 0, 22, 20), (2, 1, 42, 20)]
+    got = predict.governed(_boxed(ship(spark), rows), _far_ego(spark), 4.0)
+    speeds = {r.obj_id: r.v for r in got.groupBy("obj_id").agg(F.min("speed").alias("v")).collect()}
+    assert math.isclose(speeds[2], 20.0)
+    ends = {r.obj_id: r.x for r in got.groupBy("obj_id").agg(F.max("gx").alias("x")).collect()}
+    assert ends[1] + 20 <= ends[2] + 1e-6
