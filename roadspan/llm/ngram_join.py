@@ -15,8 +15,8 @@ the table of them has a fixed largest size, as any total order is valid.
 
 Equal sets are one node from the start. Long lists, which arise where thousands
 of texts are near copies of each other, first give a chain of neighbours; what
-the chain links is one component, and afterwards only pairs across components
-are formed. No list is expanded into all of its pairs, and no pair of different
+chains link is one component, next neighbours of different components are
+compared, and only then all pairs across components are formed. No list is expanded into all of its pairs, and no pair of different
 components that a list holds is lost.
 """
 
@@ -209,6 +209,14 @@ def _chain(lists: DataFrame) -> DataFrame:
     return near.select("id", "id2", "n", "n2").union(heads.select("id", "id2", "n", "n2")).where(f"id <> id2 and {_NEAR_SIZES}").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
+def _transitions(lists: DataFrame, order: list) -> DataFrame:
+    """Neighbours of different components in long lists, in blocks of bounded size. lists: kind, key, id, n, cnt, c."""
+    long = lists.where(f"cnt > {LONG}").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / 4096)))
+    w = Window.partitionBy("kind", "key", "block").orderBy(*order)
+    near = long.withColumns({"id2": F.lead("id").over(w), "n2": F.lead("n").over(w), "c2": F.lead("c").over(w)})
+    return near.where(f"c <> c2 and {_NEAR_SIZES}").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
 def _across(lists: DataFrame) -> DataFrame:
     """Pairs of different components that meet in as many lists as they must. lists: kind, key, id, n, need, cnt, c."""
     right = lists.select("kind", "key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "need", "c")))
@@ -258,9 +266,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = written(lists, "lists")
 
     links = verify(docs, _chain(lists), id_col, text_col)
-    comp = components(links)
-    near = lists.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    near = written(near.select("kind", "key", "id", "n", "need", "cnt", "c"), "near")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        comp = components(links).withColumnRenamed("node", "id")
+        near = lists.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
+        return written(near.select("kind", "key", "id", "n", "need", "cnt", "c"), "near")
+
+    near = labelled(links)
+    for order in (["n", "id"], [F.xxhash64("id")]):  # what long lists still hold apart is linked piece by piece
+        more = verify(docs, _transitions(near, order), id_col, text_col)
+        if not more.head(1):
+            break
+        links = links.union(more)
+        near = labelled(links)
     more = verify(docs, _across(near), id_col, text_col)
 
     twice = named.join(reps, "key").join(rows.groupBy("id").count().where("count > 1").select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
