@@ -59,6 +59,30 @@ def _near(terms: Column, vectors: list[list[tuple[str, float]]], threshold: floa
     return F.coalesce(F.get(some, F.lit(0)), F.lit(False))
 
 
+def _reachable(terms: Column, idf: dict[str, float], vectors: list[list[tuple[str, float]]], unknown: float, threshold: float) -> Column:
+    """True if the cosine to a template can reach ``threshold``: the product is exact, the text's length a lower bound.
+
+    Terms that no template has count with their weight's square each, which
+    repeated ones exceed. Arrays are bound once and then gone through.
+    """
+    names = sorted(idf)
+    every = F.array(*map(F.lit, names))
+    weights = F.array(*(F.array(*(F.lit(float(dict(v).get(t, 0.0))) for t in names)) for v in vectors))
+    factors = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(idf[t]).alias("i")) for t in names))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+
+    def held(own: Column) -> Column:
+        counts = F.transform(factors, lambda f: (F.size(own["v"]) - F.size(F.array_remove(own["v"], f["t"]))) * f["i"])
+        return F.struct(counts.alias("x"), ((own["n"] - F.size(own["v"])) * (unknown * unknown)).alias("rest"))
+
+    def close(own: Column) -> Column:
+        least = F.sqrt(total(F.transform(own["x"], lambda x: x * x)) + own["rest"])
+        return F.exists(weights, lambda w: total(F.zip_with(own["x"], w, lambda a, b: a * b)) >= threshold * least - 1e-9)
+
+    split = F.transform(F.array(terms), lambda t: F.struct(F.filter(t, lambda x: F.array_contains(every, x)).alias("v"), F.size(t).alias("n")))
+    return F.coalesce(F.get(F.transform(F.transform(split, held), close), F.lit(0)), F.lit(False))
+
+
 def scan(files: DataFrame, templates: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``files`` with licence, origin, licence_score and licence_path; columns of those names are replaced.
 
@@ -72,7 +96,7 @@ def scan(files: DataFrame, templates: DataFrame, path_col: str = "path", text_co
     """
     base = files.drop("licence", "origin", "licence_score", "licence_path")
     weight = written(weights(templates), "weights")
-    listed = weight.select("licence", "term", "w").orderBy("licence", "term").limit(TERMS + 1).collect()
+    listed = weight.select("licence", "term", "idf", "w", "unknown").orderBy("licence", "term").limit(TERMS + 1).collect()
     if len(listed) > TERMS:
         raise ValueError(f"templates have over {TERMS} terms")
     vectors = [[(r["term"], r["w"]) for r in listed if r["licence"] == n] for n in sorted({r["licence"] for r in listed})]
@@ -81,6 +105,8 @@ def scan(files: DataFrame, templates: DataFrame, path_col: str = "path", text_co
     # the whole text is part 0, its lines follow; no row moves before both filters have left little
     some = base.where(text.isNotNull()).select(text.alias("t")).where(near(F.col("t")))
     parts = some.select(F.sha2("t", 256).alias("d"), F.posexplode(F.concat(F.array("t"), F.split("t", "\n"))).alias("no", "part")).where(near(F.col("part")))
+    if listed:
+        parts = parts.where(_reachable(_terms(F.col("part")), {r["term"]: r["idf"] for r in listed}, vectors, listed[0]["unknown"], threshold))
     parts = written(parts.dropDuplicates(["d", "no"]), "parts")
     tf = parts.select("d", "no", F.explode(_terms(F.col("part"))).alias("term")).groupBy("d", "no", "term").agg(F.count("*").alias("tf"))
     idf = weight.select("term", "idf").distinct()
