@@ -187,6 +187,8 @@ class WordEncoder:
         self.model.no_padding()
         self.kind = np.dtype("<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.lowers = self.model.encode("Ab", add_special_tokens=False).ids == self.model.encode("ab", add_special_tokens=False).ids
+        # added tokens match on the raw text and by case; lower-casing must not make one
+        self.added = sorted({t.content.lower() for t in self.model.get_added_tokens_decoder().values()})
         self.new, self.old = {"": b""}, {}
 
     def __getstate__(self) -> dict:
@@ -205,17 +207,23 @@ class WordEncoder:
                 raise ValueError(f"{path}: its ids depend on more than space-delimited pieces")
         return made
 
+    def _lower(self, text: str) -> str:
+        low = text.lower()
+        return text if any(a in low for a in self.added) else low
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``kind``; null and empty texts have none."""
         if len(self.new) > KEPT_WORDS:
             self.old, self.new = self.new, {"": b""}
         # these characters have no context in lower-casing and are composed already
-        texts = [t.lower() if t and self.lowers and PLAIN.fullmatch(t) else t for t in texts]
+        if self.lowers:
+            texts = [self._lower(t) if t and PLAIN.fullmatch(t) else t for t in texts]
         pieces = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         new, old = self.new, self.old
         missing = {w for p in pieces for w in p if w not in new}
-        # letters with one mark at the end are two matches of the pre-tokenizer
-        ended = [w for w in missing if w[-1] in ".,!?" and w[:-1].isalpha()]
+        # plain letters with one mark at the end are two matches of the pre-tokenizer; others may
+        # be normalised to letters and marks, which join it
+        ended = [w for w in missing if w[-1] in ".,!?" and w[:-1].isalpha() and PLAIN.fullmatch(w)]
         missing.difference_update(ended)
         missing.update(x for w in ended for x in (w[:-1], w[-1]) if x not in new)
         for w in [w for w in missing if w in old]:

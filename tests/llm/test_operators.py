@@ -108,6 +108,15 @@ def test_sst_shards(spark, docs):
         assert encoder.encode([t])[0] == np.array(library.encode(t, add_special_tokens=False).ids, encoder.kind).tobytes()
 
 
+def test_sst_ids_where_normalising_matters(spark):
+    from tokenizers import Tokenizer
+
+    path = sst.default_path(spark)
+    library, encoder = Tokenizer.from_file(path), sst.WordEncoder.from_file(path)
+    for t in ("<|ENDOFTEXT|>", "A <|EndOfText|>x B. <|endoftext|> C", "BELED\u0130YES\u0130.", "\u0130,", "<|endoftext|>. ABC! \u00c9T\u00c9? \u0130\u0130! \u01c5. \u1e9e,"):
+        assert encoder.encode([t])[0] == np.array(library.encode(t, add_special_tokens=False).ids, encoder.kind).tobytes(), t
+
+
 def test_media(spark, docs):
     got = media.media_columns(docs).collect()
     assert len(got) == len(ROWS)
