@@ -89,9 +89,12 @@ def offroad_runs(rows: DataFrame) -> DataFrame:
     return runs.drop("__run").withColumn("label", F.when((F.col("peak_m") >= 4) | (F.col("peak_m") >= 2) & F.col("to_end"), "departure").otherwise("noise"))
 
 
-def issues(obs_global: DataFrame, ego: DataFrame) -> DataFrame:
-    """(trace_id, category, severity, obj_id, t_start, t_end) of all rules, with ordinals by (time, vehicle)."""
-    steps = track_steps(obs_global)
+def issues(obs_global: DataFrame, ego: DataFrame, excursions: DataFrame) -> DataFrame:
+    """(trace_id, category, severity, obj_id, t_start, t_end) of all rules; excursions: see ``offroad_runs``.
+
+    A collision of two vehicles is the issue of the one with the smaller number.
+    """
+    steps, runs = track_steps(obs_global), offroad_runs(excursions)
     none = F.lit(None).cast("int")
     one = lambda df, cat, sev, obj, a, b: df.select("trace_id", F.lit(cat).alias("category"), sev.alias("severity"), obj.alias("obj_id"), F.col(a).alias("t_start"), F.col(b).alias("t_end"))
     s, o = F.col("severity"), F.col("obj_id")
@@ -101,6 +104,9 @@ def issues(obs_global: DataFrame, ego: DataFrame) -> DataFrame:
         .unionByName(one(yaw_rate_flags(steps), "kinematic", s, o, "t_start", "t_end"))
         .unionByName(one(centred_acceleration(steps), "kinematic", s, o, "t_us", "t_us"))
         .unionByName(one(ego_overlaps(obs_global), "collision", F.lit("high"), o, "t_us", "t_us"))
+        .unionByName(one(pair_overlaps(obs_global), "collision", F.lit("high"), o, "t_us", "t_us"))
+        .unionByName(one(runs.where("label = 'departure'"), "road_departure", F.lit("low"), o, "t_start", "t_end"))
+        .unionByName(one(runs.where("label = 'noise'"), "off_road", F.lit("medium"), o, "t_start", "t_end"))
     )
     return found
 

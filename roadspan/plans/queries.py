@@ -191,8 +191,13 @@ UNION ALL SELECT trace_id, 'kinematic', severity, obj_id, t_us, t_us FROM accel
 ALL_ISSUES = f"{BASE}, {EGO_KIN}, {STEPS}, {ACCEL}, {HITS}, {ISSUES}"
 
 
+def _excursions(obs):
+    return obs.withColumns({"excursion": F.abs("y_rel") - 2.5, "side": F.when(F.col("y_rel") > 0, "left").otherwise("right")})
+
+
 def _issues(spark, sf_dir):
-    return validate.issues(_glob(spark, sf_dir), P.ego(spark, sf_dir))
+    glob = _glob(spark, sf_dir)
+    return validate.issues(glob, P.ego(spark, sf_dir), _excursions(glob))
 
 
 @query(f"{ALL_ISSUES} SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY t_start, coalesce(obj_id, 0), category, severity, t_end) - 1 AS issue_ord FROM iss")
@@ -223,8 +228,7 @@ orr AS (SELECT *, sum(new) OVER (PARTITION BY trace_id, obj_id ORDER BY t_us, ob
 @query(f"""WITH {P.OBS}, {RUNS} SELECT trace_id, obj_id, min(t_us) AS t_start, max(t_us) AS t_end, round(max(excursion), 6) AS peak_m, first(side ORDER BY excursion DESC, obs_ord) AS side, max(t_us) = max(t_last) AS to_end,
 CASE WHEN max(excursion) >= 4 OR (max(excursion) >= 2 AND max(t_us) = max(t_last)) THEN 'departure' ELSE 'noise' END AS label FROM orr WHERE excursion > 0 GROUP BY trace_id, obj_id, run""")
 def offroad_runs(spark, sf_dir):
-    rows = P.obs(spark, sf_dir).withColumns({"excursion": F.abs("y_rel") - 2.5, "side": F.when(F.col("y_rel") > 0, "left").otherwise("right")})
-    return rounded(validate.offroad_runs(rows), "peak_m")
+    return rounded(validate.offroad_runs(_excursions(P.obs(spark, sf_dir))), "peak_m")
 
 
 # --- events ---

@@ -75,6 +75,15 @@ def test_offroad_runs(spark):
     assert got == [(100_000, 200_000, 1.2, False, "noise"), (500_000, 700_000, 3.0, True, "departure")]
 
 
+def test_issues_of_pairs_and_off_road(spark):
+    ego = _ego(spark, [20] * 20)
+    obs = _obs(spark, [(1, 0.1, 30, 0), (2, 0.1, 32, 0), (3, 0.1, 90, 4), (4, 0.1, 90, -9)])
+    glob = obs.withColumns({"gx": F.col("x_rel"), "gy": F.col("y_rel"), "heading": F.lit(0.0)})
+    out = glob.withColumns({"excursion": F.abs("y_rel") - 3, "side": F.lit("left")})
+    got = sorted((r.category, r.severity, r.obj_id, r.t_start, r.t_end) for r in validate.issues(glob, ego, out).where("category != 'kinematic'").collect())
+    assert got == [("collision", "high", 1, 100_000, 100_000), ("off_road", "medium", 3, 100_000, 100_000), ("road_departure", "low", 4, 100_000, 100_000)]
+
+
 def test_rate_limit_against_fold(spark):
     values = [3.0, 0.0, -2.0, 5.0, 5.0, 0.1]
     df = spark.createDataFrame([(1, i * 1_000_000, v) for i, v in enumerate(values)], "k long, t long, v double")
