@@ -10,6 +10,10 @@ from roadspan.operators.events import by_trace, by_track
 from roadspan.operators.frames import sampled
 from roadspan.operators.joins import nearest_within
 
+#: Least time and length (m) of a course.
+COURSE_US, COURSE_M = 1_000_000, 1.5
+
+
 def _worst(*levels):
     """high if any is, else medium if any is."""
     either = lambda name: F.array_contains(F.array(*(F.coalesce(x, F.lit("")) for x in levels)), name)
@@ -75,18 +79,33 @@ def pair_overlaps(glob: DataFrame) -> DataFrame:
 
 
 def offroad_runs(rows: DataFrame) -> DataFrame:
-    """Runs of consecutive observations with ``excursion`` > 0: bounds, peak, its side, and whether the track ends in it.
+    """Runs of consecutive observations with ``excursion`` > 0: bounds, peak, its side, the turn, and whether the track ends in it.
 
-    A departure peaks at 4 m or more, or at 2 m and lasts to the track's end.
+    A departure peaks at 4 m or more, or at 2 m and lasts to the track's end or
+    turns by 10 degrees. The turn is between the course of at least 1 s before
+    the run and the run's own; where either has under 1.5 m (or ``rows`` has no
+    gx, gy) it is the largest angle to the ego's axis.
     """
     whole = Window.partitionBy("trace_id", "obj_id")
     off = F.col("excursion") > 0
     new = F.when(off & ~F.coalesce(F.lag(off).over(by_track()), F.lit(False)), 1).otherwise(0)
-    marked = rows.withColumns({"__new": new, "__last": F.max("t_us").over(whole)}).withColumn("__run", F.sum("__new").over(by_track().rowsBetween(Window.unboundedPreceding, 0)))
+    placed = {"gx", "gy"} <= set(rows.columns)
+    at = F.struct("t_us", "obs_ord", *(F.col(c) if placed else F.lit(None).cast("double").alias(c) for c in ("gx", "gy")))
+    earlier = Window.partitionBy("trace_id", "obj_id").orderBy("t_us").rangeBetween(Window.unboundedPreceding, -COURSE_US)
+    marked = rows.withColumns({"__new": new, "__last": F.max("t_us").over(whole), "__at": at, "__base": F.coalesce(F.max(at).over(earlier), F.min(at).over(whole))})
+    marked = marked.withColumn("__run", F.sum("__new").over(by_track().rowsBetween(Window.unboundedPreceding, 0)))
     runs = marked.where(off).groupBy("trace_id", "obj_id", "__run").agg(
-        F.min("t_us").alias("t_start"), F.max("t_us").alias("t_end"), F.max("excursion").alias("peak_m"), F.max_by("side", F.struct("excursion", -F.col("obs_ord"))).alias("side"), (F.max("t_us") == F.max("__last")).alias("to_end")
+        F.min("t_us").alias("t_start"), F.max("t_us").alias("t_end"), F.max("excursion").alias("peak_m"), F.max_by("side", F.struct("excursion", -F.col("obs_ord"))).alias("side"), (F.max("t_us") == F.max("__last")).alias("to_end"),
+        F.min(F.struct("__at", "__base")).alias("__a"), F.max("__at").alias("__b"), F.max(X.axis_angle(F.col("zrot"))).alias("__axis"),
     )
-    return runs.drop("__run").withColumn("label", F.when((F.col("peak_m") >= 4) | (F.col("peak_m") >= 2) & F.col("to_end"), "departure").otherwise("noise"))
+
+    def course(a, b):
+        dx, dy = F.col(f"{b}.gx") - F.col(f"{a}.gx"), F.col(f"{b}.gy") - F.col(f"{a}.gy")
+        return F.when(F.hypot(dx, dy) >= COURSE_M, F.degrees(F.atan2(dy, dx)))
+
+    turn = F.coalesce(F.abs(X.wrap_degrees(course("__a.__at", "__b") - course("__a.__base", "__a.__at"))), F.col("__axis"))
+    runs = runs.withColumn("turn_deg", turn).drop("__run", "__a", "__b", "__axis")
+    return runs.withColumn("label", F.when((F.col("peak_m") >= 4) | (F.col("peak_m") >= 2) & (F.col("to_end") | (F.col("turn_deg") >= 10)), "departure").otherwise("noise"))
 
 
 def issues(obs_global: DataFrame, ego: DataFrame, excursions: DataFrame) -> DataFrame:

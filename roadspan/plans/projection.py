@@ -57,3 +57,17 @@ ego_at AS (SELECT trace_id, obj_id, obs_ord, t_us, x_rel, y_rel, length, width,
 
 #: Observations in the global frame.
 GLOBAL = """posed AS (SELECT *, ex + x_rel * cos(eyaw) - y_rel * sin(eyaw) AS gx, ey + x_rel * sin(eyaw) + y_rel * cos(eyaw) AS gy, (degrees(eyaw + zrot) % 360 + 360) % 360 AS heading FROM ego_at)"""
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two road edges of each trace along the ego's x axis, with a snapshot every 10 s; the road widens and narrows by trace and time."""
+    s, n, k = F.col("trace_id"), F.col("line_id"), F.col("snap")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("trace_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("line_id"))
+    rows = rows.withColumn("snap", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    y = F.when(n == 0, 1.0).otherwise(-1.0) * (2.0 + ((s + k * 3) % 5).cast("double") * 0.5)
+    points = F.transform(F.sequence(F.lit(-3), F.lit(42)), lambda i: F.struct((i * 20).cast("double").alias("x"), y.alias("y")))
+    return rows.select("trace_id", "line_id", (k * 10000000).alias("t_us"), points.alias("points"))
+
+
+EDGES = """edges AS (SELECT s_suppkey AS trace_id, n AS line_id, k * 10000000 AS t_us, CASE WHEN n = 0 THEN 1::DOUBLE ELSE -1::DOUBLE END * (2::DOUBLE + CAST((s_suppkey + k * 3) % 5 AS DOUBLE) * 0.5::DOUBLE) AS y
+ FROM supplier CROSS JOIN (SELECT range AS n FROM range(0, 2)) a CROSS JOIN (SELECT range AS k FROM range(0, 5)) b)"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspan.functions import exprs as X
-from roadspan.operators import events, frames, joins, predict, repair, road, summaries, validate, variants
+from roadspan.operators import corridor, events, frames, joins, predict, repair, road, summaries, validate, variants
 from roadspan.operators import reports as R
 from roadspan.plans import projection as P
 from roadspan.ship import ship
@@ -228,7 +228,34 @@ orr AS (SELECT *, sum(new) OVER (PARTITION BY trace_id, obj_id ORDER BY t_us, ob
 @query(f"""WITH {P.OBS}, {RUNS} SELECT trace_id, obj_id, min(t_us) AS t_start, max(t_us) AS t_end, round(max(excursion), 6) AS peak_m, first(side ORDER BY excursion DESC, obs_ord) AS side, max(t_us) = max(t_last) AS to_end,
 CASE WHEN max(excursion) >= 4 OR (max(excursion) >= 2 AND max(t_us) = max(t_last)) THEN 'departure' ELSE 'noise' END AS label FROM orr WHERE excursion > 0 GROUP BY trace_id, obj_id, run""")
 def offroad_runs(spark, sf_dir):
-    return rounded(validate.offroad_runs(_excursions(P.obs(spark, sf_dir))), "peak_m")
+    return rounded(validate.offroad_runs(_excursions(_glob(spark, sf_dir))).drop("turn_deg"), "peak_m")
+
+
+BOUNDS = f"""{P.EDGES}, sn AS (SELECT a.*, line_id, arg_min(y, {{'g': abs(e.t_us - a.t_us), 't': e.t_us}}) AS ly FROM (SELECT trace_id, obj_id, obs_ord, t_us, x_rel, y_rel, width, lane, zrot, ex, ey, eyaw, gx, gy FROM posed) a JOIN edges e USING (trace_id) GROUP BY ALL),
+pt AS (SELECT *, cos(eyaw) * (i * 20 - ex) + sin(eyaw) * (ly - ey) AS px, -sin(eyaw) * (i * 20 - ex) + cos(eyaw) * (ly - ey) AS py, i FROM sn CROSS JOIN (SELECT range AS i FROM range(-3, 43)) r),
+nr AS (SELECT trace_id, obj_id, obs_ord, line_id, arg_min(py, {{'g': abs(px - x_rel), 'i': i}}) AS py FROM pt WHERE abs(px - x_rel) <= 40 GROUP BY ALL),
+sd AS (SELECT trace_id, obj_id, obs_ord, min(py) FILTER (py > 0) AS left_m, max(py) FILTER (py <= 0) AS right_m FROM nr GROUP BY ALL),
+bd AS (SELECT posed.*, left_m, right_m FROM posed LEFT JOIN sd USING (trace_id, obj_id, obs_ord))"""
+
+
+def _bounds(spark, sf_dir):
+    return corridor.bounds(_glob(spark, sf_dir), P.edges(spark, sf_dir))
+
+
+@query(f"{BASE}, {BOUNDS} SELECT trace_id, obj_id, obs_ord, {r6('left_m', 'right_m')} FROM bd")
+def corridor_bounds(spark, sf_dir):
+    return rounded(_bounds(spark, sf_dir).select("trace_id", "obj_id", "obs_ord", "left_m", "right_m"), "left_m", "right_m")
+
+
+@query(f"""{BASE}, {BOUNDS}, sx AS (SELECT *, y_rel + width / 2 - left_m - 0.3::DOUBLE AS l, right_m - y_rel + width / 2 - 0.3::DOUBLE AS r FROM bd)
+SELECT trace_id, obj_id, obs_ord, round(CASE WHEN l > 0.05 THEN l WHEN r > 0.05 THEN r ELSE 0 END, 6) + 0 AS excursion, CASE WHEN l > 0.05 THEN 'left' WHEN r > 0.05 THEN 'right' END AS side FROM sx""")
+def corridor_excursion(spark, sf_dir):
+    return rounded(corridor.excursion(_bounds(spark, sf_dir)).select("trace_id", "obj_id", "obs_ord", "excursion", "side"), "excursion")
+
+
+@query()
+def corridor_runs(spark, sf_dir):
+    return rounded(validate.offroad_runs(corridor.excursion(_bounds(spark, sf_dir))), "peak_m", "turn_deg")
 
 
 # --- events ---

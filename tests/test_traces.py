@@ -75,6 +75,17 @@ def test_offroad_runs(spark):
     assert got == [(100_000, 200_000, 1.2, False, "noise"), (500_000, 700_000, 3.0, True, "departure")]
 
 
+@pytest.mark.parametrize(("turn", "label"), [(9.0, "noise"), (11.0, "departure")])
+def test_offroad_turn(spark, turn, label):
+    a = math.radians(turn)
+    xs = [(i * 1.0, 0.0) for i in range(15)] + [(14 + i * math.cos(a), i * math.sin(a)) for i in range(1, 6)] + [(30.0, 0.0)]
+    rows = _obs(spark, [(1, i / 10, x, y) for i, (x, y) in enumerate(xs)]).withColumns({"gx": F.col("x_rel"), "gy": F.col("y_rel"), "side": F.lit("left"), "excursion": F.when(F.col("obs_ord").between(14, 19), 2.5).otherwise(0.0)})
+    r = validate.offroad_runs(rows).first()
+    assert (r.t_start, r.to_end, r.label) == (1_400_000, False, label) and math.isclose(r.turn_deg, turn)
+    still = validate.offroad_runs(rows.withColumns({"gx": F.lit(0.0), "zrot": F.lit(math.radians(-170))}).withColumn("gy", F.lit(0.0))).first()
+    assert math.isclose(still.turn_deg, 10)
+
+
 def test_issues_of_pairs_and_off_road(spark):
     ego = _ego(spark, [20] * 20)
     obs = _obs(spark, [(1, 0.1, 30, 0), (2, 0.1, 32, 0), (3, 0.1, 90, 4), (4, 0.1, 90, -9)])
