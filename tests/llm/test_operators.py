@@ -286,3 +286,14 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == list(range(60))
+
+
+def test_licence_files_and_blocks(spark):
+    gpl = licenses.GNU.format("", "3")
+    wrapped = "\n".join(" * " + gpl[i : i + 70] for i in range(0, len(gpl), 70)).replace("\n * ", "\n# ")
+    mit = f"MIT License\n\nCopyright (c) 2020 Jo Doe\n\n{licenses.GRANT}\n\n{licenses.AS_IS}\n"
+    prose = "the software of the house is old and the licence to run it under the rules is kept in the office " * 20
+    rows = [("m/LICENSE", mit), ("m/src/a.py", "x = 1"), ("g/a.c", prose + "\n" + wrapped + "\nint main;\n" + prose), ("s/a.c", "// SPDX-License-Identifier: MIT\nint x;"), ("s/b.c", "/* SPDX-License-Identifier: (GPL-2.0-only OR MIT) */"), ("n/a.txt", "Released under the MIT License. See the page on the web for more words of all kinds."), ("p/a.txt", prose), ("v/COPYING", licenses.GNU_FILE.format("", "3, 29 June 2007", "2007") + "\n" + prose), ("v/x.c", "int y;")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: (r.licence, r.origin) for r in licenses.scan(files, spark.createDataFrame(licenses.TEMPLATES, "licence string, text string")).collect()}
+    assert got == {"m/LICENSE": ("MIT", "file"), "m/src/a.py": ("MIT", "inherited"), "g/a.c": ("GPL-3.0", "header"), "s/a.c": ("MIT", "header"), "s/b.c": ("GPL-2.0-only OR MIT", "header"), "n/a.txt": ("MIT", "header"), "p/a.txt": (None, None), "v/COPYING": ("GPL-3.0", "file"), "v/x.c": ("GPL-3.0", "inherited")}
