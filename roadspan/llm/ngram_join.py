@@ -3,25 +3,35 @@
 A document's set holds the hashes of its distinct five-word shingles. Two
 documents link when ``|A & B| >= threshold * |A | B|``. Sets below a size
 boundary are *light*: they emit a key for each fixed-size subset that a partner
-must share, so equal keys are already near certain links. Sets from the
-boundary on are *heavy*: they scan the inverted lists of their prefix, and a
-pair goes on only if it meets in as many lists as a linked pair must. The
-boundary is the size with the least estimated cost over the whole histogram of
-sizes. Light sets that may have heavy partners do both.
-
-Exactness does not rest on the order of shingles in prefixes. Shingles that
-tasks see often, or whose lists prove long, go last, which keeps lists short;
-the table of them has a fixed largest size, as any total order is valid.
-
-Equal sets are one node from the start. Long lists, which arise where thousands
-of texts are near copies of each other, first give a chain of neighbours; what
-chains link is one component, next neighbours of different components are
-compared, and only then all pairs across components are formed. No list is expanded into all of its pairs, and no pair of different
-components that a list holds is lost.
+must share. Sets from the boundary on are *heavy*: they enter the inverted lists
+of their prefix, the first ``n - ceil(0.8 n) + 1`` shingles of one order over all
+shingles, and linked sets meet in one of these lists. The boundary is the size
+with the least estimated cost over the histogram of sizes. Light sets that may
+have heavy partners do both.
+
+The order puts shingles with a hash below ``LOW`` first, by the number of sets
+that hold them, then all others by hash. Only the low ones are counted, so a
+text is hashed once and about a third of its shingles move. Rare shingles first
+keep lists short, and a prefix filled with shingles of one set only needs no list.
+
+A list is not expanded into its pairs. Neighbours in it are compared first, and
+what they link is one component; pairs are formed across components only. Lists
+that are long even so hold near copies of one text by the thousand. Their members
+are described by their difference ``D`` from a common member ``P``, the pivot:
+
+    ``9 |A ^ B| <= |A| + |B|``  is the link, and  ``|A ^ B| = |DA| + |DB| - 2 |DA & DB|``,
+
+so that with ``f(A) = 9 |DA| - |A|`` two members link if ``18 |DA & DB| >= f(A) + f(B)``.
+``f`` is least at the pivot. Hence members that link without a common difference
+link with the pivot too and are in its component, and all others share an item of
+their differences' prefixes, rare items first: short lists again. Lists of
+differences that are still long get a pivot of their own, ``LEVELS`` times; what
+is left then is expanded. No link between different components is lost.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -35,15 +45,17 @@ from roadspan.llm._graph import components
 from roadspan.llm._scratch import written
 from roadspan.llm._text import _LANES, U64, bytes_of, mix, shingle_sets, slices
 
-PERCENT = 80  # Jaccard threshold in hundredths
+PERCENT = 80  # Jaccard threshold in hundredths; the differences' bounds below are those of 80
 WORDS = 5
-COMMON = 24  # local counts summed; from here on a shingle goes last in prefixes
-COMMON_KEPT = 1 << 19  # most shingles that go last; bounds the broadcast to 4 MB, links don't depend on it
-ROUNDS = 2  # passes that look for long lists and put their shingles last
-CHAINED = 6  # lists of each document, from its prefix and from its common shingles, that give chains
-LONG = 48  # lists above this length are chained first
+LOW = U64(3 * (1 << 64) // 10)  # shingles with a smaller hash come first, rare ones before frequent ones
+FREQUENT = 24  # counts of tasks summed; from here on a shingle is dealt over parts and not counted
+FREQUENT_KEPT = 1 << 19  # most of them; bounds the broadcast to 8 MB, links don't depend on it
+PARTS = 64
+TRIED = 2  # neighbours of each document that are compared first
+LONG = 32  # lists above this length get a pivot
+LONG_DIFFERENCE = 512  # and lists of differences above this one
+LEVELS = 3
 LIGHT_MOST = 16  # largest boundary looked at
-EXTRA = 20  # a heavy prefix is longer by n // EXTRA, and a pair must meet that often
 
 
 def _least_partner(n: int) -> int:
@@ -56,10 +68,12 @@ def _subset_sizes(n: int) -> list[int]:
     return sorted({_least_partner(m) for m in range(n, n * 100 // PERCENT + 1)})
 
 
-def _prefix(n: int) -> tuple[int, int]:
-    """(prefix length, lists that a pair must meet in)."""
-    need = 1 + n // EXTRA
-    return min(n, n - _least_partner(n) + need), need
+def _prefix(n: int) -> int:
+    return n - _least_partner(n) + 1
+
+
+_PREFIX = f"n - ({PERCENT} * n + 99) div 100 + 1"
+_NEAR_SIZES = f"100 * least(n, n2) >= {PERCENT} * greatest(n, n2)"
 
 
 def boundary(sizes: dict[int, int], list_length: float) -> int:
@@ -71,7 +85,7 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
             if n < x:
                 total += docs * sum(comb(n, c) for c in _subset_sizes(n))
             if n >= x or n * 100 >= PERCENT * x:
-                total += docs * _prefix(n)[0] * (1 + list_length)
+                total += docs * _prefix(n) * (1 + list_length)
         return total
 
     return min(range(1, LIGHT_MOST + 1), key=cost)
@@ -82,80 +96,80 @@ def _key(s: np.ndarray) -> bytes:
     return b"".join(mix((mix(s ^ U64(c)) if c else s).sum(dtype=np.uint64, keepdims=True) + U64(len(s))).tobytes() for c in (0, 0x5851F42D4C957F2D))
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat))
+
+
 def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n, key) of every document; among them rows (null, count, null, shingle) of what a task saw often."""
+    """Rows (id, n, m, key, low) of every document; among them rows (n, shingle) of what a task saw often.
+
+    ``low`` has the set's low shingles or, if those are fewer, its prefix by
+    hash: its first ``m`` entries. Small sets are there as a whole.
+    """
+    names = ["id", "n", "m", "key", "low", "shingle"]
+
+    def frequent(held):
+        u, c = np.unique(np.concatenate(held), return_counts=True)
+        u, c = u[c >= 3], c[c >= 3]
+        none = [pa.nulls(len(u), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([none[0], pa.array(c, pa.int64()), *none[1:], pa.array(u.view(np.int64))], names=names)
 
     def scan(batches):
         seen: set[bytes] = set()
         held: list[np.ndarray] = []
         size = 0
-
-        def frequent():
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            u, c = u[c >= 3], c[c >= 3]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(c, pa.int64()), pa.nulls(len(u), pa.binary()), pa.array(u.view(np.int64))], names=["id", "n", "key", "shingle"])
-
         for part in slices(batches, "t"):
             sets = shingle_sets(*bytes_of(part.column(1)), WORDS)
             keys = [_key(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(sets), pa.int64())], names=["id", "n", "key", "shingle"])
-            for s, k in zip(sets, keys, strict=True):
+            below = [int(np.searchsorted(s, LOW)) for s in sets]
+            m = [max(b, _prefix(len(s))) if len(s) else 0 for s, b in zip(sets, below, strict=True)]
+            low = [s if len(s) <= 2 * LIGHT_MOST else s[:k] for s, k in zip(sets, m, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(m, pa.int64()), pa.array(keys, pa.binary()), _lists(low), pa.nulls(len(sets), pa.int64())], names=names)
+            for s, b, k in zip(sets, below, keys, strict=True):
                 if k is not None and k not in seen:
-                    if len(seen) < 1 << 18:
+                    if len(seen) < 1 << 17:
                         seen.add(k)
-                    held.append(s)
-                    size += len(s)
-            if size > 1 << 20:
-                yield frequent()
+                    held.append(s[:b])
+                    size += b
+            if size > 1 << 19:
+                yield frequent(held)
                 held, size = [], 0
         if size:
-            yield frequent()
+            yield frequent(held)
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return plain.mapInArrow(scan, "id long, n long, key binary, shingle long")
+    return plain.mapInArrow(scan, "id long, n long, m long, key binary, low array<long>, shingle long")
 
 
-def _postings(docs: DataFrame, id_col: str, text_col: str, x: int, common) -> DataFrame:
-    """One row per document and kind ('h' inverted list, 's' subset): id, n, need, keys, and how many keys are not common."""
+def _prefix_keys(heavy: DataFrame, meta: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(id, n, key): the shingles of each heavy set's prefix that another set holds too."""
+    flat = heavy.select("id", F.explode(F.slice("low", 1, F.col("m").cast("int"))).alias("key")).join(F.broadcast(frequent), "key", "left")
+    part = F.when(F.col("rank").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    flat = flat.withColumn("part", part).withColumn("cnt", F.coalesce(F.col("rank") + (1 << 40), F.count("*").over(Window.partitionBy("key", "part"))))
+    flat = flat.where("rank is not null or cnt > 1").withColumn("high", F.expr(f"key < 0 or key >= {int(LOW)}"))
+    w = Window.partitionBy("id")
+    flat = flat.withColumns({"at": F.row_number().over(w.orderBy("high", F.expr("if(high, 0, cnt)"), F.expr("key < 0"), "key")), "shared": F.count("*").over(w)})
+    # shingles of this set alone come first and need no list
+    return flat.join(meta, "id").where(f"at <= {_PREFIX} - (m - shared)").select("id", "n", "key")
 
-    def scan(batches):
-        last = common.value
-        for part in slices(batches, "t"):
-            rows = ([], [], [], [], [], [])
-            for i, s in zip(part.column(0).to_pylist(), shingle_sets(*bytes_of(part.column(1)), WORDS), strict=True):
-                n = len(s)
-                if i is None or not n:
-                    continue
-                if n >= x or n * 100 >= PERCENT * x:
-                    at = np.searchsorted(last, s)
-                    hot = last[np.minimum(at, len(last) - 1)] == s if len(last) else np.zeros(n, bool)
-                    p, need = _prefix(n)
-                    cold = s[~hot][:p]
-                    keys = np.concatenate([cold, s[hot][: p - len(cold)]])
-                    for r, v in zip(rows, (i, n, need, "h", keys.view(np.int64), len(cold)), strict=True):
-                        r.append(v)
-                if n < x:
-                    keys = [mix(_LANES[c : c + 1] + mix(np.array(sub, np.uint64)).sum(dtype=np.uint64, keepdims=True)) for c in _subset_sizes(n) for sub in combinations(s, c)]
-                    keys = np.concatenate(keys)
-                    for r, v in zip(rows, (i, n, 1, "s", keys.view(np.int64), len(keys)), strict=True):
-                        r.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.string()), pa.array(rows[4], pa.list_(pa.int64())), pa.array(rows[5], pa.int64())], names=["id", "n", "need", "kind", "keys", "cold"])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return plain.mapInArrow(scan, "id long, n long, need long, kind string, keys array<long>, cold long")
+def _subset_keys(light: DataFrame) -> DataFrame:
+    """(id, n, key): a key for each subset of a light set that a partner must share."""
 
+    def scan(batches):
+        for batch in batches:
+            ids, ns, keys = [], [], []
+            for i, n, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                s = low.values.to_numpy().view(np.uint64)
+                for c in _subset_sizes(n):
+                    for sub in combinations(s, c):
+                        ids.append(i)
+                        ns.append(n)
+                        keys.append(mix(_LANES[c : c + 1] + mix(np.array(sub, np.uint64)).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.int64())], names=["id", "n", "key"])
 
-def _common(docs: DataFrame, id_col: str, text_col: str, x: int, last: np.ndarray) -> np.ndarray:
-    """``last`` with the shingles whose lists are long under the order that it gives; the most frequent ones if there is no room for all."""
-    for _ in range(ROUNDS):
-        wide = _postings(docs, id_col, text_col, x, docs.sparkSession.sparkContext.broadcast(last)).where("kind = 'h'")
-        keys = wide.select(F.explode(F.slice("keys", 1, F.col("cold").cast("int"))).alias("key"))
-        long = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LONG)
-        new = long.orderBy(F.desc("n"), "key").limit(max(1, COMMON_KEPT - len(last))).select("key").toArrow()["key"].to_numpy().view(np.uint64)
-        if not len(new):
-            break
-        last = np.union1d(last, new)
-    return last
+    return light.select("id", "n", "low").mapInArrow(scan, "id long, n long, key long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -174,17 +188,18 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
     return plain.withColumn("h", F.xxhash64("id")).mapInArrow(scan, "id long, set binary").join(ids, "id", "left_semi")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _array(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), np.uint64)
+
+
+def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets reach the threshold, by exact intersection."""
-    pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    sets = written(_sets(docs, ids, id_col, text_col), "sets")
 
     def check(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = _array(x), _array(y)
                 both = np.sort(np.concatenate([x, y]))
                 n = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * n >= PERCENT * (len(x) + len(y) - n))
@@ -194,43 +209,113 @@ def verify(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col:
     return written(full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct(), "links")
 
 
-_NEAR_SIZES = f"100 * least(n, n2) >= {PERCENT} * greatest(n, n2)"
+def _neighbours(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of neighbours by size in lists, ``TRIED`` for each document: those that are neighbours most often. Long lists go in blocks."""
+    few = lists.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / 4096)))
+    w = Window.partitionBy("key", "block").orderBy("n", "id")
+    near = few.withColumns({"id2": F.lead("id").over(w), "n2": F.lead("n").over(w)}).where(f"id <> id2 and {_NEAR_SIZES}")
+    near = near.groupBy(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).agg(F.count("*").alias("met"))
+    ends = near.select("a", "b", "met", F.explode(F.array("a", "b")).alias("end"))
+    w = Window.partitionBy("end").orderBy(F.desc("met"), "a", "b")
+    return ends.withColumn("at", F.row_number().over(w)).where(f"at <= {TRIED}").select("a", "b").distinct()
 
 
-def _chain(lists: DataFrame) -> DataFrame:
-    """Neighbours by size in the lists of each document's first keys: long lists in blocks of bounded size, whose first rows form a chain too."""
-    few = lists.where(f"rank < {CHAINED}")
-    few = few.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / 4096)))
-    w = Window.partitionBy("kind", "key", "block").orderBy("n", "id")
-    near = few.withColumns({"id2": F.lead("id").over(w), "n2": F.lead("n").over(w)})
-    heads = few.where("cnt > 4096").groupBy("kind", "key", "block").agg(F.min(F.struct("n", "id")).alias("m")).select("kind", "key", "m.n", "m.id")
-    w = Window.partitionBy("kind", "key").orderBy("n", "id")
-    heads = heads.withColumns({"id2": F.lead("id").over(w), "n2": F.lead("n").over(w)})
-    return near.select("id", "id2", "n", "n2").union(heads.select("id", "id2", "n", "n2")).where(f"id <> id2 and {_NEAR_SIZES}").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-
-
-def _transitions(lists: DataFrame, order: list) -> DataFrame:
-    """Neighbours of different components in long lists, in blocks of bounded size. lists: kind, key, id, n, cnt, c."""
-    long = lists.where(f"cnt > {LONG}").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("cnt") / 4096)))
-    w = Window.partitionBy("kind", "key", "block").orderBy(*order)
-    near = long.withColumns({"id2": F.lead("id").over(w), "n2": F.lead("n").over(w), "c2": F.lead("c").over(w)})
-    return near.where(f"c <> c2 and {_NEAR_SIZES}").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-
-
-def _across(lists: DataFrame) -> DataFrame:
-    """Pairs of different components that meet in as many lists as they must. lists: kind, key, id, n, need, cnt, c."""
-    right = lists.select("kind", "key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "need", "c")))
-    on = ["kind", "key"]
-    short = lists.where(f"cnt <= {LONG}").join(right, on).where(f"id < id2 and c <> c2 and {_NEAR_SIZES}")
-    # a long list: pairs need a member outside of the list's largest component
-    long = lists.where(f"cnt > {LONG}")
-    sizes = long.groupBy(*on, "c").agg(F.count("*").alias("k"))
-    main = sizes.groupBy(*on).agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    long = long.join(main, on)
-    other = long.where("c <> main").join(right, on).where(f"c <> c2 and (c2 = main or id < id2) and {_NEAR_SIZES}")
-    cols = ["kind", F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.least("need", "need2").alias("need")]
-    met = short.select(*cols).union(other.select(*cols)).groupBy("kind", "a", "b").agg(F.count("*").alias("met"), F.max("need").alias("need"))
-    return met.where("met >= need").select("a", "b").distinct()
+def _pairs(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a list and satisfy ``on``."""
+    right = right.select("key", *(F.col(c).alias(f"{c}2") for c in right.columns if c != "key"))
+    met = left.join(right, "key").where(f"c <> c2 and {_NEAR_SIZES} and {on}")
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def _groups(long: DataFrame) -> DataFrame:
+    """(pivot, id) for the members of lists that hold more than one component.
+
+    long: key, id, c, own (component of the pivot that a list of differences comes from, else null).
+    A list's pivot is that of its largest component but ``own``: the member in most lists, as it has least of its own.
+    """
+    sizes = long.groupBy("key", "c", "own").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("key").agg(F.max_by("c", F.struct((~F.col("c").eqNullSafe(F.col("own"))).alias("other"), "k", "c")).alias("main"), F.count("*").alias("parts"))
+    pivots = long.groupBy("c", "id").agg(F.count("*").alias("k")).groupBy("c").agg(F.max_by("id", F.struct("k", -F.col("id"))).alias("pivot"))
+    main = main.where("parts > 1").join(pivots, F.col("main") == F.col("c")).select("key", "pivot")
+    return long.select("key", "id").join(main, "key").select("pivot", "id").distinct()
+
+
+def _differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, id, x, n, linked, short, long, items) per member: its difference from the pivot and the prefixes of it that matter.
+
+    ``short`` is the prefix that meets members without a link to the pivot; those have a longer one, ``long``, that
+    meets members with such a link. x tells apart different sets of one id.
+    """
+
+    def scan(batches):
+        for batch in batches:
+            rows = ([], [], [], [], [])
+            items = []
+            for a, p in zip(batch.column(2), batch.column(3), strict=True):
+                a, p = _array(a), _array(p)
+                d = np.setxor1d(a, p, assume_unique=True)
+                f = 9 * len(d) - len(a)
+                linked = f <= len(p)
+                short = len(d) - -(-(f + len(p) + 1) // 18) + 1
+                values = (int(a.sum(dtype=np.uint64).view(np.int64)), len(a), linked, short, short if linked else len(d) - -(-(f - len(p)) // 18) + 1)
+                for r, v in zip(rows, values, strict=True):
+                    r.append(v)
+                items.append(d)
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True)), _lists(items)], names=["pivot", "id", "x", "n", "linked", "short", "long", "items"])
+
+    counts = groups.groupBy("pivot").agg(F.ceil(F.count("*") / 256).alias("parts"))
+    members = groups.join(counts, "pivot").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).join(sets, "id").select("pivot", "part", "id", "set")
+    pivots = counts.join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("base")), "pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("pivot", "part", "base")
+    both = members.join(pivots, ["pivot", "part"]).select("pivot", "id", "set", "base")
+    return both.mapInArrow(scan, "pivot long, id long, x long, n long, linked boolean, short long, long long, items array<long>")
+
+
+def _difference_lists(differences: DataFrame) -> DataFrame:
+    """(key, pivot, id, n, linked, near, cnt): lists of the prefixes of differences; near: within the short prefix."""
+    who = ["pivot", "id", "x"]
+    flat = differences.select(*who, F.explode("items").alias("item"))
+    shared = flat.join(flat.groupBy("pivot", "item").agg(F.count("*").alias("held")).where("held > 1"), ["pivot", "item"])
+    w = Window.partitionBy(*who)
+    shared = shared.withColumns({"at": F.row_number().over(w.orderBy("held", "item")), "own": F.count("*").over(w)})
+    meta = differences.select(*who, "n", "linked", "short", "long", F.size("items").alias("size"))
+    keys = shared.join(meta, who).withColumn("at", F.expr("at + size - own")).where("at <= long")
+    keys = written(keys.select(F.xxhash64("pivot", "item").alias("key"), "pivot", "id", "n", "linked", F.expr("at <= short").alias("near")), "keys")
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1"), "key")
+
+
+def _across(lists: DataFrame, sets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different components that share a list, and the links known then. lists: key, id, n, cnt."""
+
+    def labelled(lists: DataFrame) -> DataFrame:
+        near = lists.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        if "pivot" in lists.columns:
+            near = near.join(comp.select(F.col("id").alias("pivot"), F.col("component").alias("own")), "pivot", "left").withColumn("own", F.coalesce("own", "pivot"))
+        else:
+            near = near.withColumn("own", F.lit(None).cast("long"))
+        return written(near, "near")
+
+    comp = components(links).withColumnRenamed("node", "id")
+    first, pairs = lists, []
+    near = labelled(lists)
+    long = near.where(f"cnt > {LONG}")
+    for _ in range(LEVELS):
+        groups = written(_groups(long), "groups")
+        if groups.isEmpty():
+            long = None
+            break
+        differences = written(_differences(groups, sets), "differences")
+        links = links.union(differences.where("linked and id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
+        comp = components(links).withColumnRenamed("node", "id")
+        near = labelled(_difference_lists(differences))
+        met = near.where(f"cnt <= {LONG_DIFFERENCE}")
+        pairs.append(written(_pairs(met, met.where("not linked"), "(linked or near and near2 and id < id2)"), "pairs"))
+        long = near.where(f"cnt > {LONG_DIFFERENCE}")
+    if long is not None:
+        pairs.append(_pairs(long, long.where("not linked"), "(linked or near and near2 and id < id2)"))
+    short = labelled(first).where(f"cnt <= {LONG}")
+    pairs.append(_pairs(short, short, "id < id2"))
+    return reduce(DataFrame.union, pairs).distinct(), links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,47 +327,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     in its component. An empty table gives an empty result. Other columns of
     ``docs`` are not looked at, whatever their names.
     """
-    spark = docs.sparkSession
     table = written(nodes(docs, id_col, text_col), "nodes")
-    rows = table.where("shingle is null").drop("shingle")
+    rows = table.where("shingle is null").select("id", "n", "m", "key", "low")
     named = rows.where("id is not null and key is not null")
-    reps = written(named.groupBy("key").agg(F.min("id").alias("rep")), "reps")
-
-    seen = table.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    last = np.sort(seen.orderBy(F.desc("n"), "shingle").limit(COMMON_KEPT).select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64))
-    sizes = {r["n"]: r["k"] for r in named.where(f"n <= {2 * LIGHT_MOST}").groupBy("n").agg(F.countDistinct("key").alias("k")).collect()}
+    reps = written(named.groupBy("key").agg(F.min(F.struct("id", "n", "m")).alias("r")).select("key", F.col("r.id").alias("rep"), "r.n", "r.m"), "reps")
+    sizes = {r["n"]: r["k"] for r in reps.where(f"n <= {2 * LIGHT_MOST}").groupBy("n").agg(F.count("*").alias("k")).collect()}
     x = boundary(sizes, 0.3)
 
-    last = _common(docs, id_col, text_col, x, last)
-    heads = reps.select(F.col("rep").alias("id")).distinct()
-    wide = _postings(docs, id_col, text_col, x, spark.sparkContext.broadcast(last)).join(heads, "id", "left_semi")
-    flat = wide.select("id", "n", "need", "kind", "cold", F.posexplode("keys").alias("pos", "key")).withColumns({"common": F.expr("pos >= cold"), "rank": F.expr("if(pos >= cold, pos - cold, pos)")}).drop("cold", "pos")
-    # common keys are dealt over parts, so that a list of many documents is in no one task
-    flat = flat.withColumn("part", F.when(F.col("common"), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(F.lit(0)))
-    w = Window.partitionBy("key", "kind", "part")
-    lists = written(flat.withColumn("cnt", F.count("*").over(w)).where("common or cnt > 1").drop("part"), "lists")
-    whole = lists.where("common").groupBy("key", "kind").agg(F.count("*").alias("whole"))
-    lists = lists.join(whole, ["key", "kind"], "left").withColumn("cnt", F.coalesce("whole", "cnt")).drop("whole").where("cnt > 1")
-    lists = written(lists, "lists")
-
-    links = verify(docs, _chain(lists), id_col, text_col)
-
-    def labelled(links: DataFrame) -> DataFrame:
-        comp = components(links).withColumnRenamed("node", "id")
-        near = lists.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id"))
-        return written(near.select("kind", "key", "id", "n", "need", "cnt", "c"), "near")
-
-    near = labelled(links)
-    for order in (["n", "id"], [F.xxhash64("id")]):  # what long lists still hold apart is linked piece by piece
-        more = verify(docs, _transitions(near, order), id_col, text_col)
-        if not more.head(1):
-            break
-        links = links.union(more)
-        near = labelled(links)
-    more = verify(docs, _across(near), id_col, text_col)
-
-    twice = named.join(reps, "key").join(rows.groupBy("id").count().where("count > 1").select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    comp = components(links.union(more).union(twice))
-    comp = comp.select(F.col("node").alias("rep"), "component")
-    out = rows.join(reps.join(comp, "rep", "left").select("key", F.coalesce("component", "rep").alias("c")), "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
+    seen = table.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("rank")).where(F.col("rank") >= FREQUENT)
+    frequent = written(seen.orderBy(F.desc("rank"), "shingle").limit(FREQUENT_KEPT).select(F.col("shingle").alias("key"), "rank"), "frequent")
+    heads = named.groupBy("key").agg(F.min(F.struct("id", "n", "m", "low")).alias("r")).select("r.*")
+    heavy = _prefix_keys(heads.where(f"n >= {x} or n * 100 >= {PERCENT * x}"), reps.select(F.col("rep").alias("id"), "n", "m"), frequent)
+    keys = written(heavy.union(_subset_keys(heads.where(f"n < {x}"))), "keys")
+    lists = written(keys.join(keys.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1"), "key"), "lists")
+
+    sets = written(_sets(docs, lists.select("id").distinct(), id_col, text_col), "sets")
+    tried = written(_neighbours(lists), "tried")
+    links = verify(sets, tried)
+    pairs, links = _across(lists, sets, links)
+    links = links.union(verify(sets, pairs.join(tried, ["a", "b"], "left_anti")))
+
+    twice = named.join(reps.select("key", "rep"), "key").join(rows.groupBy("id").count().where("count > 1").select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    comp = components(links.union(twice)).select(F.col("node").alias("rep"), "component")
+    whole = reps.join(comp, "rep", "left").select("key", F.coalesce("component", "rep").alias("c"))
+    return rows.select("id", "n", "key").join(whole, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
