@@ -17,16 +17,16 @@ keep lists short, and a prefix filled with shingles of one set only needs no lis
 A list is not expanded into its pairs. Neighbours in it are compared first, and
 what they link is one component; pairs are formed across components only. Lists
 that are long even so hold near copies of one text by the thousand. Their members
-are described by their difference ``D`` from a common member ``P``, the pivot:
+are described by their difference ``D`` from a common base, what most of them hold:
 
     ``9 |A ^ B| <= |A| + |B|``  is the link, and  ``|A ^ B| = |DA| + |DB| - 2 |DA & DB|``,
 
 so that with ``f(A) = 9 |DA| - |A|`` two members link if ``18 |DA & DB| >= f(A) + f(B)``.
-``f`` is least at the pivot. Hence members that link without a common difference
-link with the pivot too and are in its component, and all others share an item of
-their differences' prefixes, rare items first: short lists again. Lists of
-differences that are still long get a pivot of their own, ``LEVELS`` times; what
-is left then is expanded. No link between different components is lost.
+A sum of 0 or less is a link in any case. All members with such links have one with
+the member of least ``f``, the centre, and so are in its component; all others share
+an item of their differences' prefixes, rare items first: short lists again. Lists of
+differences that are still long form a group of their own, ``LEVELS`` times; what is
+left then is expanded. No link between different components is lost.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ FREQUENT = 24  # counts of tasks summed; from here on a shingle is dealt over pa
 FREQUENT_KEPT = 1 << 19  # most of them; bounds the broadcast to 8 MB, links don't depend on it
 PARTS = 64
 TRIED = 2  # neighbours of each document that are compared first
-LONG = 32  # lists above this length get a pivot
+LONG = 48  # lists above this length form groups
 LONG_DIFFERENCE = 512  # and lists of differences above this one
 LEVELS = 3
 LIGHT_MOST = 16  # largest boundary looked at
@@ -230,8 +230,8 @@ def _pairs(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 def _groups(long: DataFrame) -> DataFrame:
     """(pivot, id) for the members of lists that hold more than one component.
 
-    long: key, id, c, own (component of the pivot that a list of differences comes from, else null).
-    A list's pivot is that of its largest component but ``own``: the member in most lists, as it has least of its own.
+    long: key, id, c, own (component of the centre of the group that a list of differences comes from, else null).
+    A list's pivot is that of its largest component but ``own``: the member in most lists.
     """
     sizes = long.groupBy("key", "c", "own").agg(F.count("*").alias("k"))
     main = sizes.groupBy("key").agg(F.max_by("c", F.struct((~F.col("c").eqNullSafe(F.col("own"))).alias("other"), "k", "c")).alias("main"), F.count("*").alias("parts"))
@@ -240,47 +240,58 @@ def _groups(long: DataFrame) -> DataFrame:
     return long.select("key", "id").join(main, "key").select("pivot", "id").distinct()
 
 
-def _differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """(pivot, id, x, n, linked, short, long, items) per member: its difference from the pivot and the prefixes of it that matter.
-
-    ``short`` is the prefix that meets members without a link to the pivot; those have a longer one, ``long``, that
-    meets members with such a link. x tells apart different sets of one id.
-    """
+def _from_pivot(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, id, x, n, items) per member: its difference from the pivot; x tells apart different sets of one id."""
 
     def scan(batches):
         for batch in batches:
-            rows = ([], [], [], [], [])
-            items = []
+            rows, items = ([], []), []
             for a, p in zip(batch.column(2), batch.column(3), strict=True):
                 a, p = _array(a), _array(p)
-                d = np.setxor1d(a, p, assume_unique=True)
-                f = 9 * len(d) - len(a)
-                linked = f <= len(p)
-                short = len(d) - -(-(f + len(p) + 1) // 18) + 1
-                values = (int(a.sum(dtype=np.uint64).view(np.int64)), len(a), linked, short, short if linked else len(d) - -(-(f - len(p)) // 18) + 1)
-                for r, v in zip(rows, values, strict=True):
-                    r.append(v)
-                items.append(d)
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True)), _lists(items)], names=["pivot", "id", "x", "n", "linked", "short", "long", "items"])
+                rows[0].append(int(a.sum(dtype=np.uint64).view(np.int64)))
+                rows[1].append(len(a))
+                items.append(np.setxor1d(a, p, assume_unique=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(r, pa.int64()) for r in rows), _lists(items)], names=["pivot", "id", "x", "n", "items"])
 
     counts = groups.groupBy("pivot").agg(F.ceil(F.count("*") / 256).alias("parts"))
     members = groups.join(counts, "pivot").withColumn("part", F.pmod(F.xxhash64("id"), "parts")).join(sets, "id").select("pivot", "part", "id", "set")
     pivots = counts.join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("base")), "pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("pivot", "part", "base")
     both = members.join(pivots, ["pivot", "part"]).select("pivot", "id", "set", "base")
-    return both.mapInArrow(scan, "pivot long, id long, x long, n long, linked boolean, short long, long long, items array<long>")
+    return written(both.mapInArrow(scan, "pivot long, id long, x long, n long, items array<long>"), "from-pivot")
+
+
+def _differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, centre, id, x, n, linked, short, long, items) per member: its difference from the group's base and the prefixes of it that matter.
+
+    The base is what most members hold; so few items that most members differ
+    by are collected per group. ``centre`` is the member with the least f,
+    linked says that f(member) + f(centre) <= 0. ``short`` is the prefix that
+    meets members that aren't linked; those have a longer one, ``long``, that
+    meets linked members.
+    """
+    rows = _from_pivot(groups, sets)
+    size = rows.groupBy("pivot").agg(F.count("*").alias("members"))
+    held = rows.select("pivot", F.explode("items").alias("item")).groupBy("pivot", "item").agg(F.count("*").alias("held"))
+    most = held.join(size, "pivot").where("2 * held > members").groupBy("pivot").agg(F.collect_list("item").alias("most"))
+    rows = rows.join(most, "pivot", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
+    rows = rows.withColumn("items", F.concat(F.array_except("items", "most"), F.array_except("most", "items"))).withColumn("f", F.expr("9 * size(items) - n"))
+    rows = written(rows.drop("most"), "from-base")
+    centre = rows.groupBy("pivot").agg(F.min(F.struct("f", "id")).alias("c")).select("pivot", F.col("c.id").alias("centre"), (-F.col("c.f")).alias("r"))
+    rows = rows.join(centre, "pivot").withColumn("linked", F.expr("f <= r"))
+    short = F.expr("size(items) - (f + r + 18) div 18 + 1")
+    return written(rows.select("pivot", "centre", "id", "x", "n", "linked", short.alias("short"), F.when(F.col("linked"), short).otherwise(F.expr("size(items) - (f - r + 17) div 18 + 1")).alias("long"), "items"), "differences")
 
 
 def _difference_lists(differences: DataFrame) -> DataFrame:
-    """(key, pivot, id, n, linked, near, cnt): lists of the prefixes of differences; near: within the short prefix."""
+    """(key, centre, id, n, linked, near, cnt): lists of the prefixes of differences; near: within the short prefix."""
     who = ["pivot", "id", "x"]
     flat = differences.select(*who, F.explode("items").alias("item"))
     shared = flat.join(flat.groupBy("pivot", "item").agg(F.count("*").alias("held")).where("held > 1"), ["pivot", "item"])
     w = Window.partitionBy(*who)
     shared = shared.withColumns({"at": F.row_number().over(w.orderBy("held", "item")), "own": F.count("*").over(w)})
-    meta = differences.select(*who, "n", "linked", "short", "long", F.size("items").alias("size"))
+    meta = differences.select(*who, "centre", "n", "linked", "short", "long", F.size("items").alias("size"))
     keys = shared.join(meta, who).withColumn("at", F.expr("at + size - own")).where("at <= long")
-    keys = written(keys.select(F.xxhash64("pivot", "item").alias("key"), "pivot", "id", "n", "linked", F.expr("at <= short").alias("near")), "keys")
+    keys = written(keys.select(F.xxhash64("pivot", "item").alias("key"), "centre", "id", "n", "linked", F.expr("at <= short").alias("near")), "keys")
     return keys.join(keys.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1"), "key")
 
 
@@ -289,8 +300,8 @@ def _across(lists: DataFrame, sets: DataFrame, links: DataFrame) -> tuple[DataFr
 
     def labelled(lists: DataFrame) -> DataFrame:
         near = lists.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        if "pivot" in lists.columns:
-            near = near.join(comp.select(F.col("id").alias("pivot"), F.col("component").alias("own")), "pivot", "left").withColumn("own", F.coalesce("own", "pivot"))
+        if "centre" in lists.columns:
+            near = near.join(comp.select(F.col("id").alias("centre"), F.col("component").alias("own")), "centre", "left").withColumn("own", F.coalesce("own", "centre"))
         else:
             near = near.withColumn("own", F.lit(None).cast("long"))
         return written(near, "near")
@@ -304,8 +315,8 @@ def _across(lists: DataFrame, sets: DataFrame, links: DataFrame) -> tuple[DataFr
         if groups.isEmpty():
             long = None
             break
-        differences = written(_differences(groups, sets), "differences")
-        links = links.union(differences.where("linked and id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
+        differences = _differences(groups, sets)
+        links = links.union(differences.where("linked and id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
         comp = components(links).withColumnRenamed("node", "id")
         near = labelled(_difference_lists(differences))
         met = near.where(f"cnt <= {LONG_DIFFERENCE}")
