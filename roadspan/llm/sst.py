@@ -13,6 +13,7 @@ Bloom filter, finds the block by binary search in the index and reads that one.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -21,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +39,9 @@ ROW = struct.Struct("<HHI")
 ENTRY = struct.Struct("<HQIIQ")
 BLOCK = 1 << 18
 PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
-KEPT_WORDS = 250_000  # encoded words that a worker keeps, in each of two generations
+#: Fixed value: the pre-tokenizer's pattern, whose matches hold no white space.
+WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+KEPT_WORDS, KEPT_LENGTH = 300_000, 48  # encoded words that a worker keeps in each of two generations, and the longest of them
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -165,11 +169,11 @@ class SstReader:
 
 
 class WordEncoder:
-    """A tokenizers file, applied to each distinct space-delimited piece once.
+    """A tokenizers file, applied to each distinct space-delimited piece of a batch once.
 
     Its pre-tokenizer's matches hold no white space and its normalizer doesn't
     join anything across a space or line feed, so a text's ids are the ids of
-    its pieces in a row. ``from_file`` checks both on a few texts.
+    its pieces in a row. ``from_file`` reads both from the file's declarations.
     """
 
     def __init__(self, spec: str) -> None:
@@ -190,6 +194,11 @@ class WordEncoder:
         # added tokens match on the raw text and by case; lower-casing must not make one
         self.added = sorted({t.content.lower() for t in self.model.get_added_tokens_decoder().values()})
         self.new, self.old = {"": b""}, {}
+        suffix = json.loads(self.spec)["model"].get("end_of_word_suffix")
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
+        for token, i in vocabulary.items() if suffix else ():
+            self.last[i] = token.endswith(suffix)
 
     def __getstate__(self) -> dict:
         return {"spec": self.spec}
@@ -200,43 +209,77 @@ class WordEncoder:
 
     @classmethod
     def from_file(cls, path: str) -> WordEncoder:
+        """Raises for a file whose ids may depend on more than space-delimited pieces."""
         with open(path, encoding="utf-8") as f:
-            made = cls(f.read())
-        for t in ("A b\n c  d", "é́ x\ńy Σ ΑΣ b", " <|endoftext|> it's 12", "Word, ÉTÉ. x. 'S! a.b, no.. it's."):
-            if made.encode([t])[0] != np.array(made.model.encode(t, add_special_tokens=False).ids, made.kind).tobytes():
-                raise ValueError(f"{path}: its ids depend on more than space-delimited pieces")
-        return made
-
-    def _lower(self, text: str) -> str:
-        low = text.lower()
-        return text if any(a in low for a in self.added) else low
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian integers of ``kind``; null and empty texts have none."""
+            text = f.read()
+        spec = json.loads(text)
+        parts = lambda x, many: x[many] if x and x["type"] == "Sequence" else [x] if x else []
+        normal, cut = parts(spec["normalizer"], "normalizers"), parts(spec["pre_tokenizer"], "pretokenizers")
+        spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+        fits = all(x["type"] in ("NFC", "Lowercase") or x == spaces for x in normal) and cut and cut[0]["type"] == "Split" and cut[0].get("pattern") == {"Regex": WORDS_ONLY} and cut[0].get("invert") and cut[0].get("behavior") == "Removed"
+        fits = fits and all(x["type"] == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in cut[1:])
+        if not fits or any(" " in t["content"] or "\n" in t["content"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: its ids may depend on more than space-delimited pieces")
+        return cls(text)
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+        """(offsets of each text's pieces, pieces)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.lowers:
+            # these characters have no context in lower-casing and are composed already
+            plain = pc.match_substring_regex(texts, f"^{PLAIN.pattern}$")
+            low = pc.utf8_lower(pc.if_else(plain, texts, ""))
+            for a in self.added:
+                plain = pc.and_not(plain, pc.match_substring(low, a))
+            texts = pc.if_else(plain, low, texts)
+        found = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        return found.offsets.to_numpy(), found.flatten().dictionary_encode()
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters, which are one match of the pre-tokenizer each: encoded in one text and cut after each word's last token."""
+        ids = np.concatenate([np.array(e.ids, self.kind) for e in self.model.encode_batch_fast([" ".join(words[i : i + 100]) for i in range(0, len(words), 100)], add_special_tokens=False)])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._apart(words)
+        data, at, size = ids.tobytes(), [0, *ends.tolist()], ids.itemsize
+        return [data[a * size : b * size] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _apart(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, as bytes; those of short words are kept for later batches."""
         if len(self.new) > KEPT_WORDS:
             self.old, self.new = self.new, {"": b""}
-        # these characters have no context in lower-casing and are composed already
-        if self.lowers:
-            texts = [self._lower(t) if t and PLAIN.fullmatch(t) else t for t in texts]
-        pieces = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         new, old = self.new, self.old
-        missing = {w for p in pieces for w in p if w not in new}
+        missing = [w for w in words if w not in new]
         # plain letters with one mark at the end are two matches of the pre-tokenizer; others may
         # be normalised to letters and marks, which join it
-        ended = [w for w in missing if w[-1] in ".,!?" and w[:-1].isalpha() and PLAIN.fullmatch(w)]
-        missing.difference_update(ended)
-        missing.update(x for w in ended for x in (w[:-1], w[-1]) if x not in new)
-        for w in [w for w in missing if w in old]:
-            new[w] = old[w]
-            missing.discard(w)
-        todo = list(missing)
-        for i in range(0, len(todo), 5000):
-            part = todo[i : i + 5000]
-            for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                new[w] = np.array(e.ids, self.kind).tobytes()
-        for w in ended:
-            new[w] = new[w[:-1]] + new[w[-1]]
-        return [b"".join([new[w] for w in p]) for p in pieces]
+        ended = {w for w in missing if w[-1] in ".,!?" and w[:-1].isalpha() and PLAIN.fullmatch(w)}
+        todo = dict.fromkeys(x for w in missing for x in ((w[:-1], w[-1]) if w in ended else (w,)) if x not in new)
+        new.update((w, old[w]) for w in todo if w in old)
+        todo = [w for w in todo if w not in new]
+        letters = [w for w in todo if self.last is not None and w.isalpha() and PLAIN.fullmatch(w)]
+        others = list(set(todo).difference(letters))
+        for some, encode in ((letters, self._together), (others, self._apart)):
+            for i in range(0, len(some), 5000):
+                new.update(zip(some[i : i + 5000], encode(some[i : i + 5000]), strict=True))
+        out = [new[w] if w in new else new[w[:-1]] + new[w[-1]] for w in words]
+        for w in todo:
+            if len(w) > KEPT_LENGTH:
+                del new[w]
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, bytes]:
+        """(offsets in bytes, ids as little-endian integers of ``kind``) of texts, each followed by ``end_id``; null and empty texts have no other."""
+        at, pieces = self._pieces(texts)
+        ids, of, at = self._learn(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pieces.indices, at - at[0]
+        if end_id is not None:  # one more piece after each text
+            of = pa.array(np.insert(of.to_numpy(), at[1:], len(ids)))
+            ids, at = [*ids, np.array([end_id], self.kind).tobytes()], at + np.arange(len(at))
+        taken = pa.array(ids, pa.large_binary()).take(of)
+        offsets = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1]
+        return offsets[at], taken.buffers()[2].to_pybytes() if len(taken) else b""
 
 
 def write(docs: DataFrame, encoder: WordEncoder, target: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,13 +299,13 @@ def write(docs: DataFrame, encoder: WordEncoder, target: str, end_id: int, id_co
     def run(batches):
         writer, path = None, f"{target}/part-{TaskContext.get().partitionId():06d}.sst"
         e = model.value
-        end = np.array([end_id], e.kind).tobytes()
         first = None
-        for part in slices(batches, "t", 2 << 20):
+        for part in slices(batches, "t", 4 << 20):
             if writer is None:
                 writer, first = SstWriter(path, e.kind.itemsize), part.column(0)[0].as_py()
-            for k, ids in zip(part.column(0).to_pylist(), e.encode(part.column(1).to_pylist()), strict=True):
-                writer.add(key_of(k), ids + end)
+            at, ids = e.encode(part.column(1), end_id)
+            for k, a, b in zip(part.column(0).to_pylist(), at[:-1], at[1:], strict=True):
+                writer.add(key_of(k), ids[a:b])
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "first": pa.array([first], pa.int64()), "last": pa.array([id_of(writer.last)], pa.int64()), "n_rows": [writer.rows], "n_tokens": [writer.tokens]})
