@@ -1,9 +1,9 @@
 """Media columns: content-addressed payloads in tar shards.
 
 A payload is stored once, as a grey PNG image of 64 samples a row, under its
-SHA-256. Rows carry digest, shard, offset and length; a tar member holds one or
-several payloads. Metadata columns come
-from range reads of the header alone; only features read the whole payload.
+SHA-256, one tar member each. Rows carry digest, shard, offset and length.
+Metadata columns come from range reads of the header alone; only features read
+the whole payload.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadspan.llm import _files
 from roadspan.llm._scratch import fresh_dir, written
@@ -27,8 +28,7 @@ WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed value of the format
 HEADER_BYTES = 33  # signature and IHDR
 PIECE = 1 << 20  # most bytes in an IDAT chunk
-MEMBER = 1 << 18  # payload bytes from which a tar member is full; small payloads share one, as a tar header outweighs them
-SEEN = 1 << 17  # digests a task remembers so as not to send a payload twice
+SEEN = 1 << 17  # digests a task remembers so as not to store a payload twice
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -79,102 +79,81 @@ def payload(text: Column) -> Column:
 def store(payloads: DataFrame, target: str) -> DataFrame:
     """Write tar shards below ``target``; payloads: (digest, payload), repeats allowed. Returns the index.
 
-    The index has digest, path, offset and length of each distinct payload.
-    A task sends a payload it has sent before no second time, so that copies
-    of one payload reach the task that stores it once per sender at most.
+    Each task writes the payloads that it meets into a shard of its own, one
+    member per payload named by its digest, so that no payload is shuffled. A
+    payload is in a shard once as far as the task remembers; of copies in
+    several shards the index (digest, path, offset, length) names the first.
     """
 
-    def pack(batches):
-        seen: set[bytes] = set()
+    def shard(batches):
+        out, path, seen = None, f"{target}/shard-{TaskContext.get().partitionId():06d}.tar", set()
         for part in slices(batches, "payload"):
-            digests, media = [], []
+            digests, offsets, lengths = [], [], []
             for i, digest in enumerate(part.column(0).to_pylist()):
                 if digest in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(digest)
-                digests.append(digest)
-                media.append(to_png(part.column(1)[i].as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(media, pa.binary())], names=["digest", "media"])
-
-    def shard(batches):
-        out, before, held, size = None, None, [], 0
-        path = f"{target}/shard-{TaskContext.get().partitionId():06d}.tar"
-
-        def block():
-            """Write what is held as one tar member, and its index rows."""
-            data = b"".join(m for _, m in held)
-            info = tarfile.TarInfo(f"{held[0][0].hex()}-{len(held)}.png")
-            info.size = len(data)
-            out.write(info.tobuf(tarfile.USTAR_FORMAT))
-            start = out.write(data)
-            out.write(b"\0" * (-len(data) % 512))
-            sizes = np.array([len(m) for _, m in held], np.int64)
-            rows = pa.RecordBatch.from_arrays([pa.array([d for d, _ in held], pa.binary()), pa.array([path] * len(held)), pa.array(start + np.cumsum(sizes) - sizes), pa.array(sizes)], names=["digest", "path", "offset", "length"])
-            held.clear()
-            return rows
-
-        for batch in batches:
-            for digest, media in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if digest == before:
-                    continue
-                before = digest
+                media = to_png(part.column(1)[i].as_py())
                 out = out or _files.Output(path)
-                held.append((digest, media.as_py()))
-                size += len(held[-1][1])
-                if size >= MEMBER:
-                    yield block()
-                    size = 0
-        if held:
-            yield block()
+                info = tarfile.TarInfo(f"{digest.hex()}.png")
+                info.size = len(media)
+                out.write(info.tobuf(tarfile.USTAR_FORMAT))
+                digests.append(digest)
+                offsets.append(out.write(media))
+                lengths.append(len(media))
+                out.write(b"\0" * (-len(media) % tarfile.BLOCKSIZE))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([path] * len(digests), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], names=["digest", "path", "offset", "length"])
         if out:
-            out.write(b"\0" * 1024)
+            out.write(b"\0" * (2 * tarfile.BLOCKSIZE))
             out.close()
 
-    n = int(payloads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = payloads.select("digest", "payload").mapInArrow(pack, "digest binary, media binary")
-    dealt = packed.repartition(n, "digest").sortWithinPartitions("digest")
-    return written(dealt.mapInArrow(shard, "digest binary, path string, offset long, length long"), "media-index")
+    stored = written(payloads.select("digest", "payload").mapInArrow(shard, "digest binary, path string, offset long, length long"), "media-members")
+    return stored.groupBy("digest").agg(F.min(F.struct("path", "offset", "length")).alias("m")).select("digest", "m.*")
 
 
-def _per_shard(index: DataFrame, schema: str, row) -> DataFrame:
-    """``row(file, offset, length)`` for each index row, shard by shard in file order."""
+def by_shard(index: DataFrame) -> DataFrame:
+    """The index with each shard's rows in one task and in file order, as ``metadata`` and ``features`` read best."""
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index.repartition(n, "path").sortWithinPartitions("path", "offset")
+
+
+def _read(index: DataFrame, schema: str, row) -> DataFrame:
+    """``index`` with the columns that ``row(file, offset, length)`` gives."""
+    types = T.StructType.fromDDL(schema)
+    kinds = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.string() for f in types]
 
     def run(batches):
         path, file = None, None
         for batch in batches:
             out = []
-            for p, offset, length in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for p, offset, length in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length")), strict=True):
                 if p != path:
                     path, file = p, _files.open_input(p)
                 out.append(row(file, offset, length))
-            new = [pa.array(list(c)) for c in zip(*out, strict=True)] if out else []
-            if out:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[f.strip().split(" ")[0] for f in ("digest binary, path string, offset long, length long, " + schema).split(",")])
+            new = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *types.names])
 
-    dealt = index.select("digest", "path", "offset", "length").repartition(n, "path").sortWithinPartitions("path", "offset")
-    return dealt.mapInArrow(run, "digest binary, path string, offset long, length long, " + schema)
+    return index.mapInArrow(run, T.StructType([*index.schema, *types]))
 
 
 def metadata(index: DataFrame) -> DataFrame:
-    """The index with width, height and bits, from a 33-byte range read per payload."""
-    return _per_shard(index, "width long, height long, bits long", lambda file, offset, length: png_header(file.read_at(HEADER_BYTES, offset)))
+    """The index with width, height and bits, from a 33-byte range read of each payload's header."""
+    return _read(index, "width long, height long, bits long", lambda file, offset, length: png_header(file.read_at(HEADER_BYTES, offset)))
 
 
 def features(index: DataFrame) -> DataFrame:
-    """The index with the header's columns, and with what reading the whole payload gives: sizes, digests, and a feature text (mean and distinct samples)."""
+    """The index with what reading the whole payload gives: sizes, digests, and a text of mean and distinct samples."""
 
     def row(file, offset, length):
-        header = png_header(file.read_at(HEADER_BYTES, offset))
         media = file.read_at(length, offset)
         back = from_png(media)
         samples = np.frombuffer(back, np.uint8)
-        text = f"mean={samples.mean():.4f};levels={len(np.unique(samples))}"
-        return *header, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), text
+        text = f"mean={samples.mean():.4f};levels={np.count_nonzero(np.bincount(samples, minlength=256))}"
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), text
 
-    return _per_shard(index, "width long, height long, bits long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, samples string", row)
+    return _read(index, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, samples string", row)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,5 +166,5 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col), F.coalesce(F.octet_length(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("n_bytes"), payload(F.col(text_col)).alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     index = store(rows.select("digest", "payload"), fresh_dir(docs.sparkSession, "media"))
-    found = features(index).drop("path", "offset", "length").withColumn("feature", F.format_string("png %dx%d %d-bit;%s", "width", "height", "bits", "samples"))
+    found = features(metadata(by_shard(index))).drop("path", "offset", "length").withColumn("feature", F.format_string("png %dx%d %d-bit;%s", "width", "height", "bits", "samples"))
     return rows.drop("payload").join(found, "digest").drop("digest", "samples")
