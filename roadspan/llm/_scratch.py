@@ -28,6 +28,14 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name`` with as many leading underscores as tell it from ``columns`` without regard to case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession

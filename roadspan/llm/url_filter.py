@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadspan.llm import _bloom
+from roadspan.llm._scratch import unused
 
 LOG2_BYTES = 20
 SMALL = 50_000  # rules up to this number are broadcast to the exact join
@@ -62,6 +63,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
     candidates = candidates.select("host", "path", "h", F.expr("substring(path, 1, n)").alias("p")).withColumn("key", F.xxhash64("h", "p"))
     passed = candidates.mapInArrow(probe, candidates.schema).drop("key")
     hits = passed.join(F.broadcast(listed) if size <= SMALL else listed, ["h", "p"])
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(F.concat("h", "p")), F.length("h"), F.concat("h", "p").alias("rule"), F.col("verdict").alias("v"))).alias("b"))
-    judged = base.join(best, ["host", "path"], "left").withColumns({"rule": F.col("b.rule"), "verdict": F.coalesce("b.v", F.lit(UNLISTED))})
+    won = unused([*base.columns, "rule", "verdict"], "won")
+    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(F.concat("h", "p")), F.length("h"), F.concat("h", "p").alias("rule"), F.col("verdict").alias("v"))).alias(won))
+    judged = base.join(best, ["host", "path"], "left").withColumns({"rule": F.col(f"{won}.rule"), "verdict": F.coalesce(f"{won}.v", F.lit(UNLISTED))})
     return judged.select(*base.columns, "rule", "verdict")
