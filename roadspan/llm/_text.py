@@ -69,10 +69,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
             at = to
 
 
-def word_hashes(values: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(values: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE, unspaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (A-Z lower-cased) and each row's offsets into them.
 
     ``between`` marks the bytes between words; without it words are ``[^\\x20\\x09-\\x0D]+``.
+    With ``unspaced`` every letter of scripts that leave no space between words (CJK, kana, Thai) is a word.
     """
     n = len(values)
     if not n:
@@ -81,6 +82,11 @@ def word_hashes(values: np.ndarray, offsets: np.ndarray, between: np.ndarray = _
     solid = ~between[low]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
+    if unspaced:
+        thai = (values == 0xE0) & np.isin(np.append(values[1:], 0), (0xB8, 0xB9))
+        for first, length in ((thai | (values >= 0xE3) & (values <= 0xE9), 3), ((values == 0xF0) & (np.append(values[1:], 0) >= 0xA0), 4)):
+            at = np.flatnonzero(first)
+            edge[at] = edge[np.minimum(at + length, n)] = True
     before = np.empty(n, dtype=bool)
     before[0] = True
     before[1:] = ~solid[:-1]

@@ -4,11 +4,14 @@ Documents and benchmark items that share a seed (five tokens in a row) are
 compared: the longest matches that don't overlap are marked again and again,
 found by running Karp-Rabin hashes of falling lengths, and the share of the
 item's tokens that end up marked is its coverage. Where a passage's parts stand
-in another order, they are tiles all the same.
+in another order, they are tiles all the same. Tokens are words without regard to
+case and punctuation; Chinese, Japanese and Thai letters are tokens of their own.
 """
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,8 +54,8 @@ def _free(marked: np.ndarray, length: int) -> np.ndarray:
 def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two token sequences: (start in item, start in doc, length), longest first.
 
-    Of equally long matches the first in the item, then in the document, is
-    marked. No two tiles overlap in either sequence, and none is shorter than
+    The longest match of unmarked tokens is marked next; of equally long ones
+    the first in the item, then in the document. No two tiles overlap in either sequence, and none is shorter than
     ``least``.
     """
     out: list[tuple[int, int, int]] = []
@@ -80,24 +83,27 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[in
                         n += 1
                     if n >= length:
                         matches.append((-n, i, j))
-        matches.sort()
-        marked = False
-        for n, i, j in matches:
+        # the longest first; what a tile leaves of a match waits for its turn
+        heapify(matches)
+        while matches:
+            n, i, j = heappop(matches)
             n = -n
-            if not in_item[i : i + n].any() and not in_doc[j : j + n].any():
-                in_item[i : i + n] = True
-                in_doc[j : j + n] = True
+            taken = in_item[i : i + n] | in_doc[j : j + n]
+            if not taken.any():
+                in_item[i : i + n] = in_doc[j : j + n] = True
                 out.append((i, j, n))
-                marked = True
-        if marked:
-            continue  # what a tile has cut off may still match
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if b - a >= length:
+                    heappush(matches, (a - b, i + a, j + a))
         if length == least:
             return out
         length = max(least, length // 2)
 
 
 def _tokens(column: pa.Array) -> list[np.ndarray]:
-    words, at = word_hashes(*bytes_of(column), NOT_ALPHANUMERIC)
+    words, at = word_hashes(*bytes_of(column), NOT_ALPHANUMERIC, unspaced=True)
     return [words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
@@ -129,7 +135,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     def scan(batches):
         for part in slices(batches, "text"):
-            words, at = word_hashes(*bytes_of(part.column(1)), NOT_ALPHANUMERIC)
+            words, at = word_hashes(*bytes_of(part.column(1)), NOT_ALPHANUMERIC, unspaced=True)
             grams = gram_hashes(words, SEED)
             hit = np.flatnonzero(shared.value.probe(grams)) if len(grams) else np.zeros(0, np.int64)
             row = np.searchsorted(at, hit, side="right") - 1
