@@ -25,13 +25,14 @@ LANGUAGES = 512  # most languages; more is an error, as the matrix grows with th
 SMOOTHING = 0.5
 SURE_AFTER = 64  # n-grams counted as independent evidence at most, for the score
 UNKNOWN = "und"
+ROWS = -1  # stands for a bucket where texts are counted
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
     log_p: np.ndarray  # float32, buckets x languages
-    prior: np.ndarray
+    prior: np.ndarray  # float32, log share of each language's texts
 
 
 def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,13 +67,16 @@ def train(docs: DataFrame, text_col: str, label_col: str, key_col: str, sample:
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
+        seen: dict[str, int] = {}
         for part in slices(batches, "t", 1 << 20):
             for label, own in part.to_pandas().groupby("l")["t"]:
+                seen[label] = seen.get(label, 0) + len(own)
                 at = total.setdefault(label, np.zeros(1 << LOG2_BUCKETS, np.int64))
                 for b in ngrams(list(own))[0]:
                     at += np.bincount(b, minlength=1 << LOG2_BUCKETS)
         for label, at in total.items():
             some = np.flatnonzero(at)
+            yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([ROWS], pa.int32()), pa.array([seen[label]], pa.int64())], names=["l", "b", "n"])
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(some)), pa.array(some.astype(np.int32)), pa.array(at[some])], names=["l", "b", "n"])
 
     counts = rows.mapInArrow(count, "l string, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
@@ -80,15 +84,23 @@ def train(docs: DataFrame, text_col: str, label_col: str, key_col: str, sample:
     if len(languages) > LANGUAGES:
         raise ValueError(f"{len(languages)} languages; at most {LANGUAGES} are handled")
     table = np.zeros((1 << LOG2_BUCKETS, len(languages)))
+    prior = np.zeros(len(languages))
     if languages:
         column = pc.index_in(counts["l"].combine_chunks(), pa.array(languages)).to_numpy(zero_copy_only=False)
-        table[counts["b"].to_numpy(), column] = counts["n"].to_numpy()
+        bucket, n = counts["b"].to_numpy(), counts["n"].to_numpy()
+        texts = bucket == ROWS
+        table[bucket[~texts], column[~texts]] = n[~texts]
+        prior[column[texts]] = np.log(n[texts] / n[texts].sum())
     table += SMOOTHING
-    return LanguageModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32), np.zeros(len(languages), np.float32))
+    return LanguageModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32), prior.astype(np.float32))
 
 
 def score(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the best language, its probability) per text, by one sparse product per order."""
+    """(index of the best language, its probability) per text, by one sparse product per order.
+
+    Neighbouring n-grams overlap and aren't independent: more than
+    ``SURE_AFTER`` of them weigh as much as that many, next to the prior.
+    """
     total = np.zeros((len(texts), len(model.languages)))
     n = np.zeros(len(texts))
     for buckets, rows in zip(*ngrams(texts), strict=True):
@@ -136,6 +148,11 @@ def held_out(id_col: str = "doc_id"):
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score``, learned from the rows of ``docs`` that aren't held out."""
+    """``docs`` with ``lang_pred`` and ``lang_score``, learned from the rows of ``docs`` that aren't held out.
+
+    Rows with a null id, label or text, and empty texts, are not learned from;
+    rows that repeat count as often as they stand there. All rows are judged:
+    see ``predict`` for nulls and ties. An empty table gives an empty result.
+    """
     known = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col))
     return predict(docs, train(known, text_col, label_col, id_col, sample), text_col)
