@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspan.llm._sample import bounded
@@ -25,7 +25,7 @@ ORDERS = (3, 4, 5)  # characters
 DIM, HIDDEN, ATTENTION = 8, 8, 8
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000  # most labelled texts of each kind that are learned from
 EPOCHS, STEPS, BATCH, RATE = 5, 150, 128, 0.01
-TRAIN_WINDOWS = 48  # windows of a text that are learned from, evenly spread
+SAMPLE_BYTES = 1 << 25  # and of their texts together, of each kind
 SEED = 11
 
 
@@ -255,14 +255,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
     for n, (zeros, ones) in held.items():
         net[n][:, 0] = _log_odds(ones, zeros, labels)
 
-    # long texts are learned from in evenly spread windows
     count = np.diff(np.append(first, len(row)))
-    place = np.arange(len(row)) - first[row]
-    kept = place % np.maximum(1, -(-count // TRAIN_WINDOWS))[row] == 0
-    numbers, row = numbers[kept], row[kept]
-    first = np.flatnonzero(np.diff(row, prepend=-1))
-    count = np.diff(np.append(first, len(row)))
-
     moment = {n: np.zeros_like(v) for n, v in net.items()}
     square = {n: np.zeros_like(v) for n, v in net.items()}
     positive = np.float32(max(1.0, (labels == 0).sum() / (labels == 1).sum() / 2))
@@ -319,15 +312,18 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> dict[str, np.ndarray]:
-    """Fit on at most ``toxic`` and ``clean`` labelled texts of each kind that aren't held out; those few reach the driver.
+    """Fit on at most ``toxic`` and ``clean`` labelled texts of each kind that aren't held out, of ``SAMPLE_BYTES`` together; those few reach the driver.
 
     A document that is labelled more than once counts as toxic if any label
-    says so. Null labels, ids and texts are left out.
+    says so; of texts with one id the smallest is learned from. Null labels,
+    ids and texts are left out. All windows of a text are learned from.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).cast("int").alias("y"))
     kept = bounded(known.where("y = 1"), F.col("k"), toxic).union(bounded(known.where("y = 0"), F.col("k"), clean))
     # a few thousand ids: the join's small side, of a proven bound
-    found = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("binary").alias("t")).where("t is not null").join(F.broadcast(kept), "k").toArrow().sort_by([("k", "ascending"), ("t", "ascending")])
+    found = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("binary").alias("t")).where("t is not null").join(F.broadcast(kept), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
+    before = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("bytes", F.sum(F.octet_length("t")).over(before)).where(F.col("bytes") <= SAMPLE_BYTES).select("k", "y", "t").toArrow().sort_by("k")
     return fit(found["t"].to_pylist(), found["y"].to_numpy())
 
 
@@ -349,5 +345,10 @@ def score(docs: DataFrame, net: dict[str, np.ndarray], text_col: str = "text", s
 
 
 def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``toxicity``, learned from ``labels`` of documents that aren't held out."""
+    """``docs`` with the column ``toxicity``, learned from ``labels`` of documents that aren't held out.
+
+    Every row is scored: see ``score`` for null, empty and equal texts and
+    ``train`` for nulls and repeats in what is learned from. Without labels of
+    both kinds all scores are low. An empty table gives an empty result.
+    """
     return score(docs, train(docs, labels, id_col, text_col), text_col)
