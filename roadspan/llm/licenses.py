@@ -16,7 +16,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadspan.llm._scratch import written
+from roadspan.llm._scratch import unused, written
 
 THRESHOLD = 0.6
 TERMS = 20_000  # most terms of all templates together; they are part of the scan's expression
@@ -197,22 +197,23 @@ def scan(files: DataFrame, templates: DataFrame, path_col: str = "path", text_co
     best = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("s"), F.col("licence").alias("l"))))
     own = written(close.groupBy("d").agg(best("whole").alias("whole"), best("line").alias("line")), "own")
 
-    rows = base.withColumn("__d", F.sha2(text, 256)).withColumn("__dir", F.regexp_extract(path, "^(.*)/[^/]*$", 1))
-    judged = rows.join(own.withColumnRenamed("d", "__d"), "__d", "left")
-    own_licence = F.coalesce("whole", "line")
+    digest, folder, whole, line, g = (unused(base.columns, n) for n in ("__digest", "__folder", "__whole", "__line", "__governing"))
+    rows = base.withColumn(digest, F.sha2(text, 256)).withColumn(folder, F.regexp_extract(path, "^(.*)/[^/]*$", 1))
+    judged = rows.join(own.select(F.col("d").alias(digest), F.col("whole").alias(whole), F.col("line").alias(line)), digest, "left")
+    own_licence = F.coalesce(whole, line)
     # licence files by directory, and for each directory the nearest one above
-    governed = judged.where("whole is not null").where(path.isNotNull()).groupBy(F.col("__dir").alias("dir")).agg(F.min(F.struct("whole.s", "whole.l", path.alias("p"))).alias("g"))
-    dirs = rows.where(path.isNotNull()).select(F.col("__dir").alias("d")).distinct()
+    governed = judged.where(F.col(whole).isNotNull() & path.isNotNull()).groupBy(F.col(folder).alias("dir")).agg(F.min(F.struct(f"{whole}.s", f"{whole}.l", path.alias("p"))).alias("g"))
+    dirs = rows.where(path.isNotNull()).select(F.col(folder).alias("d")).distinct()
     steps = F.split("d", "/")
     above = dirs.select("d", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(steps, F.lit(1), i), "/").alias("dir")))).alias("a")).select("d", "a.depth", "a.dir")
-    nearest = above.join(governed, "dir").groupBy(F.col("d").alias("__dir")).agg(F.max_by("g", "depth").alias("g"))
-    out = judged.join(nearest, "__dir", "left").withColumn("g", F.when(path.isNotNull() & own_licence.isNull(), F.col("g")))
+    nearest = above.join(governed, "dir").groupBy(F.col("d").alias(folder)).agg(F.max_by("g", "depth").alias(g))
+    out = judged.join(nearest, folder, "left").withColumn(g, F.when(path.isNotNull() & own_licence.isNull(), F.col(g)))
     return out.select(
         *base.columns,
-        F.coalesce(own_licence["l"], F.col("g.l")).alias("licence"),
-        F.when(F.col("whole").isNotNull(), "file").when(F.col("line").isNotNull(), "header").when(F.col("g").isNotNull(), "inherited").alias("origin"),
-        (-F.coalesce(own_licence["s"], F.col("g.s"))).alias("licence_score"),
-        F.when(own_licence.isNotNull(), path).otherwise(F.col("g.p")).alias("licence_path"),
+        F.coalesce(own_licence["l"], F.col(f"{g}.l")).alias("licence"),
+        F.when(F.col(whole).isNotNull(), "file").when(F.col(line).isNotNull(), "header").when(F.col(g).isNotNull(), "inherited").alias("origin"),
+        (-F.coalesce(own_licence["s"], F.col(f"{g}.s"))).alias("licence_score"),
+        F.when(own_licence.isNotNull(), path).otherwise(F.col(f"{g}.p")).alias("licence_path"),
     )
 
 
