@@ -1,4 +1,9 @@
-"""Training-corpus pipeline over ``documents``: five stages, each written as Parquet and read again."""
+"""Training-corpus pipeline over ``documents``: five stages, each written as Parquet and read again.
+
+All stages but the last return the columns of ``documents``, whatever further
+columns there are, take an empty table to an empty one, and judge rows that
+repeat an id and text alike.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +16,12 @@ from roadspan.ship import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without text or any letter go."""
+    """Documents with a language; those with a null or empty text or without any letter go. Null ids and languages are kept, and not learned from."""
     return langid.identify(docs).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose highest window scores below 0.5."""
+    """Documents whose highest window scores below 0.5; null texts, null ids and unlabelled ones are judged as any other. Without labels of both kinds nothing goes."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.assess(docs, labels).where("toxicity < 0.5").select(*docs.columns)
 
@@ -32,12 +37,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none. A null id is an id as any other."""
     return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of token ids and decoded text."""
+    """doc_id, n_tokens and digests of token ids and decoded text, one row per row; a null text is encoded as the empty one."""
     return bpe.digests(docs, bpe.default_path(spark))
 
 
@@ -45,7 +50,7 @@ STAGES = [
     (name, lambda spark, docs, sf_dir, f=f: f(ship(spark), docs, sf_dir))
     for name, f in (("language ID", language_id), ("toxicity", not_toxic), ("n-gram Jaccard join", one_of_each_group), ("benchmark decontamination", without_benchmark), ("BPE encoding and decoding", encoded))
 ]
-#: Language ID, toxicity and BPE have no SQL form; tests hold the stages against brute-force versions.
+#: Language ID, toxicity and BPE have no SQL form; tests hold the stages against plain versions of their own.
 ORACLE_SQL = None
 
 
