@@ -308,9 +308,8 @@ def _across(lists: DataFrame, sets: DataFrame, links: DataFrame) -> tuple[DataFr
 
     comp = components(links).withColumnRenamed("node", "id")
     first, pairs = lists, []
-    near = labelled(lists)
-    long = near.where(f"cnt > {LONG}")
-    for _ in range(LEVELS):
+    long = labelled(lists).where(f"cnt > {LONG}")
+    for level in range(LEVELS + 1):
         groups = written(_groups(long), "groups")
         if groups.isEmpty():
             long = None
@@ -318,6 +317,9 @@ def _across(lists: DataFrame, sets: DataFrame, links: DataFrame) -> tuple[DataFr
         differences = _differences(groups, sets)
         links = links.union(differences.where("linked and id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
         comp = components(links).withColumnRenamed("node", "id")
+        if not level:  # the links to centres alone: with them, most lists of one text's copies get one base
+            long = labelled(first).where(f"cnt > {LONG}")
+            continue
         near = labelled(_difference_lists(differences))
         met = near.where(f"cnt <= {LONG_DIFFERENCE}")
         pairs.append(written(_pairs(met, met.where("not linked"), "(linked or near and near2 and id < id2)"), "pairs"))
