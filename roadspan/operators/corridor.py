@@ -45,10 +45,15 @@ def bounds(obs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def excursion(rows: DataFrame) -> DataFrame:
-    """``rows`` with excursion (0 up to 5 cm) and side. A lane label of the road says that the vehicle is on it; left is tested first."""
+    """``rows`` with excursion and side: how far the box is outside as a whole but for the margin, 0 below 5 cm.
+
+    The box's edge towards the road decides. A lane label of the road says that
+    the vehicle is on it. A box out to the left isn't tested to the right.
+    """
     half = F.col("width") / 2
-    left = F.col("y_rel") + half - F.col("left_m") - MARGIN_M
-    right = F.col("right_m") - F.col("y_rel") + half - MARGIN_M
+    left = F.col("y_rel") - half - (F.col("left_m") - MARGIN_M)
+    right = F.col("right_m") + MARGIN_M - (F.col("y_rel") + half)
     on = F.coalesce(F.col("lane").isin(ON_ROAD), F.lit(False))
-    side = F.when(on, None).when(left > FLOOR_M, "left").when(right > FLOOR_M, "right")
-    return rows.withColumn("side", side).withColumn("excursion", F.when(F.col("side") == "left", left).when(F.col("side") == "right", right).otherwise(0.0))
+    side = F.when(on, None).when(left > 0, "left").when(right > 0, "right")
+    out = F.when(side == "left", left).when(side == "right", right)
+    return rows.withColumns({"excursion": F.when(out >= FLOOR_M, out).otherwise(0.0), "side": F.when(out >= FLOOR_M, side)})

@@ -49,8 +49,8 @@ def yaw_rate_flags(steps: DataFrame) -> DataFrame:
 def centred_acceleration(steps: DataFrame) -> DataFrame:
     """Speed change between the two steps around an inner observation, over their mean duration. Both must belong to it."""
     w = Window.partitionBy("trace_id", "obj_id").orderBy("t_start", "obs_ord")
-    rows = steps.withColumns({"s1": F.lead("speed").over(w), "dt1": F.lead("dt").over(w), "t1": F.lead("t_start").over(w)}).where("t1 = t_end")
-    rows = rows.select("trace_id", "obj_id", F.col("t_end").alias("t_us"), ((F.col("s1") - F.col("speed")) / ((F.col("dt") + F.col("dt1")) / 2)).alias("accel"))
+    rows = steps.withColumns({"s1": F.lead("speed").over(w), "dt1": F.lead("dt").over(w), "t1": F.lead("t_start").over(w), "t_next": F.lead("t_end").over(w)}).where("t1 = t_end")
+    rows = rows.select("trace_id", "obj_id", F.col("t_end").alias("t_us"), "t_next", ((F.col("s1") - F.col("speed")) / ((F.col("dt") + F.col("dt1")) / 2)).alias("accel"))
     return rows.withColumn("severity", X.severity(F.abs("accel"), *X.ACCEL_LIMITS)).where("severity is not null")
 
 
@@ -121,7 +121,7 @@ def issues(obs_global: DataFrame, ego: DataFrame, excursions: DataFrame) -> Data
         one(ego_kinematic(ego), "kinematic", s, none, "t_start", "t_end")
         .unionByName(one(speed_flags(steps), "kinematic", s, o, "t_start", "t_end"))
         .unionByName(one(yaw_rate_flags(steps), "kinematic", s, o, "t_start", "t_end"))
-        .unionByName(one(centred_acceleration(steps), "kinematic", s, o, "t_us", "t_us"))
+        .unionByName(one(centred_acceleration(steps), "kinematic", s, o, "t_us", "t_next"))
         .unionByName(one(ego_overlaps(obs_global), "collision", F.lit("high"), o, "t_us", "t_us"))
         .unionByName(one(pair_overlaps(obs_global), "collision", F.lit("high"), o, "t_us", "t_us"))
         .unionByName(one(runs.where("label = 'departure'"), "road_departure", F.lit("low"), o, "t_start", "t_end"))

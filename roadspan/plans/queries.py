@@ -138,13 +138,13 @@ def yaw_rate_flags(spark, sf_dir):
     return rounded(validate.yaw_rate_flags(validate.track_steps(_glob(spark, sf_dir))), "yaw_rate")
 
 
-ACCEL = f"""ca AS (SELECT trace_id, obj_id, t_end AS t_us, (lead(speed) OVER w - speed) / ((dt + lead(dt) OVER w) / 2) AS accel, lead(t_start) OVER w AS t1, t_end FROM steps WINDOW w AS (PARTITION BY trace_id, obj_id ORDER BY t_start, obs_ord)),
-accel AS (SELECT trace_id, obj_id, t_us, accel, {_sev('abs(accel)', X.ACCEL_LIMITS)} AS severity FROM ca WHERE t1 = t_end AND abs(accel) > 6)"""
+ACCEL = f"""ca AS (SELECT trace_id, obj_id, t_end AS t_us, (lead(speed) OVER w - speed) / ((dt + lead(dt) OVER w) / 2) AS accel, lead(t_start) OVER w AS t1, lead(t_end) OVER w AS t_next, t_end FROM steps WINDOW w AS (PARTITION BY trace_id, obj_id ORDER BY t_start, obs_ord)),
+accel AS (SELECT trace_id, obj_id, t_us, t_next, accel, {_sev('abs(accel)', X.ACCEL_LIMITS)} AS severity FROM ca WHERE t1 = t_end AND abs(accel) > 6)"""
 
 
 @query(f"{BASE}, {STEPS}, {ACCEL} SELECT trace_id, obj_id, t_us, {r6('accel')}, severity FROM accel")
 def centred_accel(spark, sf_dir):
-    return rounded(validate.centred_acceleration(validate.track_steps(_glob(spark, sf_dir))), "accel")
+    return rounded(validate.centred_acceleration(validate.track_steps(_glob(spark, sf_dir))), "accel").drop("t_next")
 
 
 def _sat(x1, y1, a1, l1, w1, x2, y2, a2, l2, w2) -> str:
@@ -179,16 +179,39 @@ def nearest_within_300ms(spark, sf_dir):
     return joins.nearest_within(asked, others, ["trace_id", "other"]).select("trace_id", "obj_id", "obs_ord", "other", F.col("near.ord").alias("near_ord"))
 
 
-@query(f"{BASE}, {NEAR} SELECT DISTINCT trace_id, obj_id, other, t_us FROM pr WHERE rn = 1 AND {_sat('gx', 'gy', 'radians(heading)', 'length', 'width', 'gx2', 'gy2', 'radians(heading2)', 'length2', 'width2')}")
+PAIRS = f"pairs AS (SELECT DISTINCT trace_id, obj_id, other, t_us FROM pr WHERE rn = 1 AND {_sat('gx', 'gy', 'radians(heading)', 'length', 'width', 'gx2', 'gy2', 'radians(heading2)', 'length2', 'width2')})"
+
+
+@query(f"{BASE}, {NEAR}, {PAIRS} SELECT * FROM pairs")
 def collision_pairs(spark, sf_dir):
     return validate.pair_overlaps(_glob(spark, sf_dir))
 
 
+def _course(a: str, b: str) -> str:
+    return f"CASE WHEN sqrt(({b}.x - {a}.x) ** 2 + ({b}.y - {a}.y) ** 2) >= 1.5 THEN degrees(atan2({b}.y - {a}.y, {b}.x - {a}.x)) END"
+
+
+def _runs(rows: str) -> str:
+    """CTEs up to runs: spells of excursion > 0 in ``rows`` with their turn and label."""
+    return f"""ex AS (SELECT *, {{'t': t_us, 'o': obs_ord, 'x': gx, 'y': gy}} AS p, abs({WRAP.format('degrees(zrot)')}) AS axis FROM ({rows}) z),
+om AS (SELECT *, coalesce(max(p) OVER (PARTITION BY trace_id, obj_id ORDER BY t_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1000000 PRECEDING), min(p) OVER (PARTITION BY trace_id, obj_id)) AS base, max(t_us) OVER (PARTITION BY trace_id, obj_id) AS t_last,
+CASE WHEN excursion > 0 AND NOT coalesce(lag(excursion > 0) OVER (PARTITION BY trace_id, obj_id ORDER BY t_us, obs_ord), false) THEN 1 ELSE 0 END AS new FROM ex),
+orr AS (SELECT *, sum(new) OVER (PARTITION BY trace_id, obj_id ORDER BY t_us, obs_ord ROWS UNBOUNDED PRECEDING) AS run FROM om),
+og AS (SELECT trace_id, obj_id, min(t_us) AS t_start, max(t_us) AS t_end, max(excursion) AS peak_m, first(side ORDER BY excursion DESC, obs_ord) AS side, max(t_us) = max(t_last) AS to_end, min(p) AS a, arg_min(base, p) AS b, max(p) AS z, max(least(axis, 180 - axis)) AS axis
+FROM orr WHERE excursion > 0 GROUP BY trace_id, obj_id, run),
+oc AS (SELECT *, {_course('b', 'a')} AS c0, {_course('a', 'z')} AS c1 FROM og),
+ot AS (SELECT *, coalesce(abs({WRAP.format('(c1 - c0)')}), axis) AS turn_deg FROM oc),
+runs AS (SELECT *, CASE WHEN peak_m >= 4 OR (peak_m >= 2 AND (to_end OR turn_deg >= 10)) THEN 'departure' ELSE 'noise' END AS label FROM ot)"""
+
+
+RUNS = _runs("SELECT *, abs(y_rel) - 2.5::DOUBLE AS excursion, CASE WHEN y_rel > 0 THEN 'left' ELSE 'right' END AS side FROM posed")
 ISSUES = """iss AS (SELECT trace_id, 'kinematic' AS category, severity, NULL AS obj_id, t_start, t_end FROM ego_kin WHERE severity IS NOT NULL
 UNION ALL SELECT trace_id, 'kinematic', CASE WHEN speed > 60 THEN 'high' ELSE 'medium' END, obj_id, t_start, t_end FROM steps WHERE speed > 45
 UNION ALL SELECT trace_id, 'kinematic', CASE WHEN yaw_rate > 40 THEN 'high' ELSE 'medium' END, obj_id, t_start, t_end FROM steps WHERE yaw_rate > 15
-UNION ALL SELECT trace_id, 'kinematic', severity, obj_id, t_us, t_us FROM accel UNION ALL SELECT trace_id, 'collision', 'high', obj_id, t_us, t_us FROM hits)"""
-ALL_ISSUES = f"{BASE}, {EGO_KIN}, {STEPS}, {ACCEL}, {HITS}, {ISSUES}"
+UNION ALL SELECT trace_id, 'kinematic', severity, obj_id, t_us, t_next FROM accel UNION ALL SELECT trace_id, 'collision', 'high', obj_id, t_us, t_us FROM hits
+UNION ALL SELECT trace_id, 'collision', 'high', obj_id, t_us, t_us FROM pairs
+UNION ALL SELECT trace_id, CASE label WHEN 'departure' THEN 'road_departure' ELSE 'off_road' END, CASE label WHEN 'departure' THEN 'low' ELSE 'medium' END, obj_id, t_start, t_end FROM runs)"""
+ALL_ISSUES = f"{BASE}, {EGO_KIN}, {STEPS}, {ACCEL}, {HITS}, {NEAR}, {PAIRS}, {RUNS}, {ISSUES}"
 
 
 def _excursions(obs):
@@ -220,15 +243,9 @@ def issue_rollup(spark, sf_dir):
     return summaries.severity_rollup(_issues(spark, sf_dir))
 
 
-RUNS = """ex AS (SELECT *, abs(y_rel) - 2.5::DOUBLE AS excursion, CASE WHEN y_rel > 0 THEN 'left' ELSE 'right' END AS side FROM obs),
-om AS (SELECT *, max(t_us) OVER (PARTITION BY trace_id, obj_id) AS t_last, CASE WHEN excursion > 0 AND NOT coalesce(lag(excursion > 0) OVER (PARTITION BY trace_id, obj_id ORDER BY t_us, obs_ord), false) THEN 1 ELSE 0 END AS new FROM ex),
-orr AS (SELECT *, sum(new) OVER (PARTITION BY trace_id, obj_id ORDER BY t_us, obs_ord ROWS UNBOUNDED PRECEDING) AS run FROM om)"""
-
-
-@query(f"""WITH {P.OBS}, {RUNS} SELECT trace_id, obj_id, min(t_us) AS t_start, max(t_us) AS t_end, round(max(excursion), 6) AS peak_m, first(side ORDER BY excursion DESC, obs_ord) AS side, max(t_us) = max(t_last) AS to_end,
-CASE WHEN max(excursion) >= 4 OR (max(excursion) >= 2 AND max(t_us) = max(t_last)) THEN 'departure' ELSE 'noise' END AS label FROM orr WHERE excursion > 0 GROUP BY trace_id, obj_id, run""")
+@query(f"{BASE}, {RUNS} SELECT trace_id, obj_id, t_start, t_end, {r6('peak_m')}, side, to_end, {r6('turn_deg')}, label FROM runs")
 def offroad_runs(spark, sf_dir):
-    return rounded(validate.offroad_runs(_excursions(_glob(spark, sf_dir))).drop("turn_deg"), "peak_m")
+    return rounded(validate.offroad_runs(_excursions(_glob(spark, sf_dir))), "peak_m", "turn_deg")
 
 
 BOUNDS = f"""{P.EDGES}, sn AS (SELECT a.*, line_id, arg_min(y, {{'g': abs(e.t_us - a.t_us), 't': e.t_us}}) AS ly FROM (SELECT trace_id, obj_id, obs_ord, t_us, x_rel, y_rel, width, lane, zrot, ex, ey, eyaw, gx, gy FROM posed) a JOIN edges e USING (trace_id) GROUP BY ALL),
@@ -247,13 +264,18 @@ def corridor_bounds(spark, sf_dir):
     return rounded(_bounds(spark, sf_dir).select("trace_id", "obj_id", "obs_ord", "left_m", "right_m"), "left_m", "right_m")
 
 
-@query(f"""{BASE}, {BOUNDS}, sx AS (SELECT *, y_rel + width / 2 - left_m - 0.3::DOUBLE AS l, right_m - y_rel + width / 2 - 0.3::DOUBLE AS r FROM bd)
-SELECT trace_id, obj_id, obs_ord, round(CASE WHEN l > 0.05 THEN l WHEN r > 0.05 THEN r ELSE 0 END, 6) + 0 AS excursion, CASE WHEN l > 0.05 THEN 'left' WHEN r > 0.05 THEN 'right' END AS side FROM sx""")
+ON_ROAD = f"lane IN ({', '.join(repr(x) for x in corridor.ON_ROAD)})"
+OUT = f"""sx AS (SELECT *, y_rel - width / 2 - (left_m - 0.3::DOUBLE) AS l, right_m + 0.3::DOUBLE - (y_rel + width / 2) AS r FROM bd),
+sy AS (SELECT *, CASE WHEN {ON_ROAD} THEN NULL WHEN l > 0 THEN l WHEN r > 0 THEN r END AS o FROM sx),
+cx AS (SELECT * EXCLUDE (l, r, o), CASE WHEN o >= 0.05 THEN o ELSE 0 END AS excursion, CASE WHEN o >= 0.05 THEN CASE WHEN l > 0 THEN 'left' ELSE 'right' END END AS side FROM sy)"""
+
+
+@query(f"{BASE}, {BOUNDS}, {OUT} SELECT trace_id, obj_id, obs_ord, {r6('excursion')}, side FROM cx")
 def corridor_excursion(spark, sf_dir):
     return rounded(corridor.excursion(_bounds(spark, sf_dir)).select("trace_id", "obj_id", "obs_ord", "excursion", "side"), "excursion")
 
 
-@query()
+@query(f"{BASE}, {BOUNDS}, {OUT}, {_runs('SELECT * FROM cx')} SELECT trace_id, obj_id, t_start, t_end, {r6('peak_m')}, side, to_end, {r6('turn_deg')}, label FROM runs")
 def corridor_runs(spark, sf_dir):
     return rounded(validate.offroad_runs(corridor.excursion(_bounds(spark, sf_dir))), "peak_m", "turn_deg")
 

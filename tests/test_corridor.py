@@ -17,11 +17,14 @@ def _lines(spark, *ys, t=0):
 
 def test_innermost_bounds_and_sides(spark):
     r = corridor.excursion(corridor.bounds(_obs(spark, 5), _lines(spark, 4, 9, -3, -8))).first()
-    assert (r.left_m, r.right_m, r.side) == (4.0, -3.0, "left") and math.isclose(r.excursion, 5 + 0.9 - 4 - 0.3)
+    assert (r.left_m, r.right_m, r.side) == (4.0, -3.0, "left") and math.isclose(r.excursion, 0.4)
     r = corridor.excursion(corridor.bounds(_obs(spark, -2), _lines(spark, 4, -3))).first()
     assert r.side is None and r.excursion == 0
     r = corridor.excursion(corridor.bounds(_obs(spark, 8, lane="EGO lane"), _lines(spark, 4))).first()
     assert r.side is None and r.excursion == 0 and r.right_m is None
+    for y, out, side in ((3.6, 0, None), (4.0, 0, None), (4.64, 0, None), (4.66, 0.06, "left"), (-3.5, 0, None), (-4.0, 0.4, "right")):
+        r = corridor.excursion(corridor.bounds(_obs(spark, y), _lines(spark, 4, -3))).first()
+        assert r.side == side and math.isclose(r.excursion, out, abs_tol=1e-9)
 
 
 def test_nearest_snapshot_and_rotation(spark):
