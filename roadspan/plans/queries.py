@@ -467,18 +467,50 @@ def blend_weight(spark, sf_dir):
 # --- files and sessions ---
 
 
-@query("""WITH e AS (SELECT 't' || s_suppkey AS name, 'e/t' || s_suppkey AS ego_path, 't' || s_suppkey AS key FROM supplier),
-n AS (SELECT key, min(path) AS annotation_path FROM (SELECT 't' || s_suppkey AS key, 'a/t' || s_suppkey || '__ref-QC_IND' AS path FROM supplier WHERE s_nationkey < 10 UNION ALL SELECT 't' || (s_suppkey // 10), 'b/' || s_suppkey FROM supplier WHERE s_nationkey >= 20 AND s_suppkey >= 10) z GROUP BY key),
-x AS (SELECT name, ego_path, annotation_path, 'exact' AS how FROM (SELECT *, row_number() OVER (PARTITION BY annotation_path ORDER BY ego_path) AS rn FROM e JOIN n USING (key)) z WHERE rn = 1),
-l AS (SELECT name, ego_path, arg_max(annotation_path, length(n.key)) AS annotation_path FROM e JOIN n ON starts_with(e.key, n.key) WHERE ego_path NOT IN (SELECT ego_path FROM x) AND annotation_path NOT IN (SELECT annotation_path FROM x) GROUP BY name, ego_path)
-SELECT * FROM x UNION ALL SELECT name, ego_path, annotation_path, 'prefix' FROM (SELECT *, row_number() OVER (PARTITION BY annotation_path ORDER BY ego_path) AS rn FROM l) z WHERE rn = 1""")
+FILES = """e AS (SELECT 't' || s_suppkey AS name, min('e/t' || s_suppkey) AS ego_path FROM supplier GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY lower(name)) AS rn FROM e),
+n AS (SELECT 't' || s_suppkey || '__ref-QC_IND' AS stem, 'a/' || s_suppkey AS path FROM supplier WHERE s_nationkey < 10 UNION ALL SELECT 'T' || s_suppkey || '_cut', 'b/' || s_suppkey FROM supplier WHERE s_nationkey BETWEEN 8 AND 14 UNION ALL SELECT 'x' || s_suppkey, 'c/' || s_suppkey FROM supplier WHERE s_nationkey >= 23),
+x AS (SELECT path, name, ego_path, 'exact' AS how FROM n JOIN e ON name = regexp_replace(stem, '(?i)__ref-?qc_ind$', '')),
+i AS (SELECT path, stem, (SELECT count(*) FROM r WHERE lower(name) <= lower(stem)) AS idx FROM n WHERE path NOT IN (SELECT path FROM x)),
+p AS (SELECT path, arg_max(name, rn) AS name, arg_max(ego_path, rn) AS ego_path, 'prefix' AS how FROM i JOIN r ON rn <= idx AND rn > idx - 5 AND starts_with(lower(stem), lower(name)) GROUP BY path),
+c AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY how, path) = 1 AS won FROM (SELECT * FROM x UNION ALL SELECT * FROM p) z)"""
+
+
+def _files(spark, sf_dir):
+    """(ego files, annotations) named after suppliers: with the usual ending, with a longer name, and of no trace."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    k = F.col("s_suppkey").cast("string")
+    ego = s.select(F.concat(F.lit("t"), k).alias("name"), F.concat(F.lit("e/t"), k).alias("path"))
+    kinds = (("s_nationkey < 10", "t", "__ref-QC_IND", "a/"), ("s_nationkey between 8 and 14", "T", "_cut", "b/"), ("s_nationkey >= 23", "x", "", "c/"))
+    notes = [s.where(c).select(F.concat(F.lit(a), k, F.lit(b)).alias("stem"), F.concat(F.lit(p), k).alias("path")) for c, a, b, p in kinds]
+    return ego, notes[0].union(notes[1]).union(notes[2])
+
+
+@query(f"WITH {FILES} SELECT name, ego_path, path AS annotation_path, how FROM c WHERE won")
 def pair_by_name(spark, sf_dir):
+    return traces.pair_files(*_files(spark, sf_dir))
+
+
+UNMATCHED = "u AS (SELECT 'ego' AS kind, name FROM e WHERE name NOT IN (SELECT name FROM c) UNION ALL SELECT 'annotation', path FROM n WHERE path NOT IN (SELECT path FROM c))"
+
+
+@query(f"WITH {FILES}, {UNMATCHED} SELECT * FROM u")
+def unmatched_names(spark, sf_dir):
+    return traces.unmatched(*_files(spark, sf_dir))
+
+
+@query(f"""WITH {FILES}, {UNMATCHED}, s AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY name) AS rn FROM u)
+SELECT (SELECT count(*) FROM supplier) AS ego_files, (SELECT count(*) FROM e) AS traces, (SELECT count(*) FROM n) AS annotation_files, (SELECT count(*) FROM c WHERE won) AS matched, (SELECT count(*) FROM c WHERE NOT won) AS duplicates,
+(SELECT count(*) FROM u WHERE kind = 'annotation') AS unmatched_annotations, (SELECT count(*) FROM supplier) - (SELECT count(*) FROM e) AS name_collisions, (SELECT count(*) FROM u WHERE kind = 'ego') AS unmatched_traces,
+(SELECT coalesce(string_agg(name, ',' ORDER BY name), '') FROM s WHERE kind = 'ego' AND rn <= 10) AS ego_examples, (SELECT coalesce(string_agg(name, ',' ORDER BY name), '') FROM s WHERE kind = 'annotation' AND rn <= 10) AS annotation_examples""")
+def scan_counts(spark, sf_dir):
+    return traces.scan_counts(*_files(spark, sf_dir))
+
+
+@query("SELECT CASE WHEN contains(substr(p, 3), '/') THEN split_part(p, '/', 2) ELSE '.' END AS subtree, count(*) AS n FROM (SELECT 'c/' || CASE WHEN s_nationkey = 0 THEN '' ELSE 'n' || s_nationkey || '/d/' END || s_suppkey AS p FROM supplier) z GROUP BY 1")
+def files_by_subtree(spark, sf_dir):
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    own = F.concat(F.lit("t"), F.col("s_suppkey").cast("string"))
-    ego = s.select(own.alias("name"), F.concat(F.lit("e/"), own).alias("path"))
-    named = s.where("s_nationkey < 10").select(F.concat(own, F.lit("__ref-QC_IND")).alias("stem"), F.concat(F.lit("a/"), own, F.lit("__ref-QC_IND")).alias("path"))
-    short = s.where("s_nationkey >= 20 and s_suppkey >= 10").select(F.concat(F.lit("t"), F.expr("cast(s_suppkey div 10 as string)")).alias("stem"), F.concat(F.lit("b/"), F.col("s_suppkey").cast("string")).alias("path"))
-    return traces.pair_files(ego, named.union(short))
+    below = F.when(F.col("s_nationkey") == 0, "").otherwise(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/d/")))
+    return traces.files_by_subtree(s.select(F.concat(F.lit("c/"), below, F.col("s_suppkey").cast("string")).alias("path")), "c")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -514,7 +546,7 @@ def rate_limit(spark, sf_dir):
 
 # --- prediction and reports ---
 
-ENDS = """en AS (SELECT *, row_number() OVER (PARTITION BY trace_id, obj_id ORDER BY t_us, obs_ord) AS i, row_number() OVER (PARTITION BY trace_id, obj_id ORDER BY t_us DESC, obs_ord DESC) AS j, count(*) OVER (PARTITION BY trace_id, obj_id) AS n FROM posed)"""
+ENDS = """en AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY trace_id, obj_id ORDER BY t_us, obs_ord) AS i, row_number() OVER (PARTITION BY trace_id, obj_id ORDER BY t_us DESC, obs_ord DESC) AS j, count(*) OVER (PARTITION BY trace_id, obj_id) AS n FROM posed)"""
 
 
 @query(f"""{BASE}, {ENDS}, pl AS (SELECT b.trace_id, b.obj_id, b.n, b.t_us, b.gx, b.gy, b.heading, b.x_rel, a.gx AS px, a.gy AS py, (b.t_us - a.t_us) / 1e6 AS dt FROM en b LEFT JOIN en a ON a.trace_id = b.trace_id AND a.obj_id = b.obj_id AND a.j = 2 WHERE b.j = 1),
@@ -536,8 +568,8 @@ def predict_governed(spark, sf_dir):
     return predict.governed(_glob(ship(spark), sf_dir), P.ego(spark, sf_dir))
 
 
-@query(f"""{BASE}, {ENDS}, f AS (SELECT a.trace_id, a.obj_id, a.t_us, a.gx, a.gy, a.y_rel, a.width, a.lane, CASE WHEN b.t_us > a.t_us THEN sqrt((b.gx - a.gx) ** 2 + (b.gy - a.gy) ** 2) / ((b.t_us - a.t_us) / 1e6) ELSE 0 END AS v FROM en a JOIN en b ON a.trace_id = b.trace_id AND a.obj_id = b.obj_id AND a.i = 1 AND b.i = 2),
-l AS (SELECT a.trace_id, a.obj_id, a.t_us, a.gx, a.gy, a.y_rel, a.width, a.lane, CASE WHEN a.t_us > b.t_us THEN sqrt((b.gx - a.gx) ** 2 + (b.gy - a.gy) ** 2) / ((a.t_us - b.t_us) / 1e6) ELSE 0 END AS v FROM en a JOIN en b ON a.trace_id = b.trace_id AND a.obj_id = b.obj_id AND a.j = 1 AND b.j = 2),
+@query(f"""{BASE}, {ENDS}, f AS MATERIALIZED (SELECT a.trace_id, a.obj_id, a.t_us, a.gx, a.gy, a.y_rel, a.width, a.lane, CASE WHEN b.t_us > a.t_us THEN sqrt((b.gx - a.gx) ** 2 + (b.gy - a.gy) ** 2) / ((b.t_us - a.t_us) / 1e6) ELSE 0 END AS v FROM en a JOIN en b ON a.trace_id = b.trace_id AND a.obj_id = b.obj_id AND a.i = 1 AND b.i = 2),
+l AS MATERIALIZED (SELECT a.trace_id, a.obj_id, a.t_us, a.gx, a.gy, a.y_rel, a.width, a.lane, CASE WHEN a.t_us > b.t_us THEN sqrt((b.gx - a.gx) ** 2 + (b.gy - a.gy) ** 2) / ((a.t_us - b.t_us) / 1e6) ELSE 0 END AS v FROM en a JOIN en b ON a.trace_id = b.trace_id AND a.obj_id = b.obj_id AND a.j = 1 AND b.j = 2),
 c AS (SELECT l.trace_id, l.obj_id AS a, f.obj_id AS b, abs(sqrt((f.gx - l.gx) ** 2 + (f.gy - l.gy) ** 2) / ((f.t_us - l.t_us) / 1e6) - (l.v + f.v) / 2) AS error FROM l JOIN f ON l.trace_id = f.trace_id AND l.lane = f.lane AND l.obj_id <> f.obj_id AND f.t_us > l.t_us AND f.t_us <= l.t_us + 3000000 AND abs(f.y_rel - l.y_rel) <= 2 AND abs(f.width - l.width) <= 0.6)
 SELECT trace_id, a, b, round(error, 6) AS error FROM c WHERE error <= 8""")
 def continuation_candidates(spark, sf_dir):

@@ -153,10 +153,47 @@ def test_annotation_file(spark, tmp_path):
 
 
 def test_pairing(spark):
-    ego = spark.createDataFrame([("Trace_A", "1"), ("trace_b_long", "2"), ("other", "3"), ("trace_b_longer", "4")], "name string, path string")
-    notes = spark.createDataFrame([("trace_a__ref-QC_IND", "x"), ("trace_b", "y"), ("trace_", "z"), ("unused", "u")], "stem string, path string")
-    got = sorted((r.name, r.annotation_path, r.how) for r in traces.pair_files(ego, notes).collect())
-    assert got == [("Trace_A", "x", "exact"), ("trace_b_long", "y", "prefix")]
+    ego = spark.createDataFrame([("Trace_A", "1"), ("Trace_A", "0"), ("trace_b", "2"), ("other", "3"), *((f"q{i}", f"9{i}") for i in ("", 0, 1, 2, 3))], "name string, path string")
+    notes = [("Trace_A__ref-QC_IND", "x"), ("Trace_A", "w"), ("trace_a__refQC_IND", "k"), ("TRACE_B_cut", "y"), ("trace_b", "z"), ("trac", "u"), ("q_long", "p"), ("q2_long", "r")]
+    found = traces.claims(ego, spark.createDataFrame(notes, "stem string, path string")).collect()
+    assert {r.annotation_path: (r.name, r.ego_path, r.how, r.won) for r in found} == {
+        "w": ("Trace_A", "0", "exact", True), "x": ("Trace_A", "0", "exact", False), "k": ("Trace_A", "0", "prefix", False), "z": ("trace_b", "2", "exact", True), "y": ("trace_b", "2", "prefix", False),
+        "u": (None, None, None, None), "p": ("q", "9", "prefix", True), "r": ("q2", "92", "prefix", True),
+    }
+    more = ego.union(spark.createDataFrame([("q4", "94")], "name string, path string"))
+    assert {r.annotation_path: r.name for r in traces.claims(more, spark.createDataFrame(notes, "stem string, path string")).collect()}["p"] is None
+
+
+def test_names_of_traces(spark):
+    rows = [("/c/run1/ADMA/adma.csv", "run1"), ("/c/data/raw/adma.csv", "raw"), ("/c/x/y/gps/adma.csv", "y")]
+    df = spark.createDataFrame(rows, "path string, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", traces.trace_name(F.col("path"), "/c")).collect())
+
+
+def test_corpus_with_mixed_headers_and_annotations_in_one_folder(spark, tmp_path):
+    values = dict(zip(traces.CSV_COLUMNS, range(1, 8), strict=True))
+    for name, order in (("t1", traces.CSV_COLUMNS), ("t2", ["extra", *traces.CSV_COLUMNS[::-1]])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "adma.csv").write_text(",".join(order) + "\n" + ",".join(str(values.get(c, "z")) for c in order) + "\n")
+    got = traces.read_ego(spark, f"{tmp_path}/*/adma.csv").collect()
+    assert sorted((r.trace_id, r.t_us, round(r.v_vert, 3)) for r in got) == [("t1", 1, 0.035), ("t2", 1, 0.035)]
+    (tmp_path / "t3").mkdir()
+    (tmp_path / "t3" / "adma.csv").write_text(",".join(traces.CSV_COLUMNS[:-1]) + "\n1,2,3,4,5,6\n")
+    with pytest.raises(ValueError, match="INS_Vel_Frame_Z"):
+        traces.read_ego(spark, f"{tmp_path}/*/adma.csv")
+    box = "<bounding_box><{0}><coordinates><xp>5</xp><zrot>90</zrot></coordinates></{0}></bounding_box>"
+    (tmp_path / "Annotations").mkdir()
+    for name in ("t1", "t2"):
+        (tmp_path / "Annotations" / f"{name}__ref-QC_IND.xml").write_text(
+            f"<root><vehicles><rect_vehicle><id>7</id><timestamps><rect_vehicle_timestamp chunktime='1'>{box.format('vehicle_bb')}</rect_vehicle_timestamp></timestamps></rect_vehicle></vehicles>"
+            f"<static_objects><rect_static><id>3</id><obj_type>Sign</obj_type><timestamps><rect_static_timestamp frame='1' chunktime='9'>{box.format('rect_static_geom')}</rect_static_timestamp><rect_static_timestamp chunktime='4'/></timestamps></rect_static></static_objects></root>"
+        )
+    path = f"{tmp_path}/Annotations/*.xml"
+    assert sorted((r.trace_id, r.obj_id) for r in traces.read_vehicles(spark, path).collect()) == [("t1", 7), ("t2", 7)]
+    assert sorted((r.trace_id, r.obj_id, r.obj_type, r.t_us, round(r.zrot, 4)) for r in traces.read_static(spark, path).collect()) == [("t1", 3, "Sign", 9, 1.5708), ("t2", 3, "Sign", 9, 1.5708)]
+    files = spark.read.format("binaryFile").load(path).select("path")
+    pairs = files.select(F.concat(F.lit("run-"), traces.stem(F.col("path"))).alias("name"), F.col("path").alias("annotation_path"))
+    assert sorted({r.trace_id for r in traces.read_vehicles(spark, path, pairs).collect()}) == ["run-t1__ref-QC_IND", "run-t2__ref-QC_IND"]
 
 
 def test_streaming_sessions_equal_batch(spark, tmp_path):
