@@ -106,3 +106,62 @@ def utm(lat: Column, lon: Column) -> tuple[Column, Column]:
         east = east + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return 500000.0 + 0.9996 * a * east, F.when(lat < 0, 1e7).otherwise(0.0) + 0.9996 * a * north
+
+
+#: Words in an object's type, reference sizes (m) of models, categories, OpenDRIVE types of static objects.
+PEDESTRIAN_WORDS, TRAILER_WORDS = ["pedestrian", "person"], ["trailer"]
+MOTORCYCLE_WORDS = ["motorcycle", "motorbike", "bike", "bicycle", "scooter"]
+TRUCK_WORDS, TRUCK_LENGTH = ["truck", "trailer", "semi"], 9.0
+CAR_SIZE, MOTORBIKE_SIZE, TRUCK_WIDTH, PEDESTRIAN_HEIGHT = (4.10, 1.80), (1.95, 1.80), 1.8, 1.8
+CATEGORIES = ["car", "truck", "van", "bus", "motorbike"]
+STATIC_TYPES = {"Traffic Sign": "pole", "Highly Reflective Marker": "pole", "Highway Accessories": "none"}
+
+
+def _any_word(text: Column, words: list[str]) -> Column:
+    found = F.lit(False)
+    for w in words:
+        found = found | F.lower(text).contains(w)
+    return found
+
+
+def actor_type(obj_type: Column) -> Column:
+    """PEDESTRIAN, TRAILER, UNKNOWN or VEHICLE by words in the type."""
+    return F.when(_any_word(obj_type, PEDESTRIAN_WORDS), "PEDESTRIAN").when(_any_word(obj_type, TRAILER_WORDS), "TRAILER").when(_any_word(obj_type, ["unknown"]), "UNKNOWN").otherwise("VEHICLE")
+
+
+def model_guess(obj_type: Column, length: Column, width: Column) -> Column:
+    """struct(model, scale_x, scale_y): a box for pedestrians, else an asset scaled to the object's size, four decimals."""
+    scaled = lambda name, size: F.struct(F.lit(name).alias("model"), F.round(length / size[0], 4).alias("scale_x"), F.round(width / size[1], 4).alias("scale_y"))
+    none = F.lit(None).cast("double")
+    return (
+        F.when(_any_word(obj_type, PEDESTRIAN_WORDS), F.struct(F.lit("box").alias("model"), none.alias("scale_x"), none.alias("scale_y")))
+        .when(_any_word(obj_type, TRUCK_WORDS) | (length > TRUCK_LENGTH), F.struct(F.lit("CONFIGURABLE_SEMI_TRUCK").alias("model"), none.alias("scale_x"), F.round(width / TRUCK_WIDTH, 4).alias("scale_y")))
+        .when(_any_word(obj_type, MOTORCYCLE_WORDS), scaled("GENERIC_DAELIM_MOTORBIKE", MOTORBIKE_SIZE))
+        .otherwise(scaled("GENERIC_YARIS", CAR_SIZE))
+    )
+
+
+def scenario_category(obj_type: Column) -> Column:
+    low = F.lower(F.trim(obj_type))
+    return F.when(low.isin(CATEGORIES), low).otherwise("car")
+
+
+def static_type(obj_type: Column) -> Column:
+    kinds = F.create_map(*(F.lit(x) for kv in STATIC_TYPES.items() for x in kv))
+    return F.coalesce(F.try_element_at(kinds, obj_type), F.lit("none"))
+
+
+def slug(name: Column) -> Column:
+    """Letters, digits, ``_`` and ``-``; runs of anything else are one ``-``, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(name, "[^a-zA-Z0-9_-]+", "-"), "^-+|-+$", "")
+
+
+def moved_m(x: Column, y: Column, orig_x: Column, orig_y: Column) -> Column:
+    """Distance from the place as recorded; 0 where nothing was moved."""
+    return F.coalesce(F.hypot(x - orig_x, y - orig_y), F.lit(0.0))
+
+
+def line_side(points: Column) -> Column:
+    """left or right of the ego by the mean y of points in its frame; null without points."""
+    mean = F.aggregate(points, F.lit(0.0), lambda acc, p: acc + p["y"]) / F.size(points)
+    return F.when(F.size(points) > 0, F.when(mean > 0, "left").otherwise("right"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Budget factor per strength, its base per point, least points, largest and least shift (m).
 STRENGTHS = {"off": 0.0, "light": 0.4, "standard": 1.0, "strong": 2.5}
-BUDGET, LEAST, CAP_M, FIXED_M = 0.25, 5, 1.0, 0.05
+BUDGET, LEAST, CAP_M, FIXED_M, TANGENT_M = 0.25, 5, 1.0, 0.05, 1e-3
 TAPER_US = 500_000
 
 
@@ -70,7 +70,7 @@ def _weight(t: np.ndarray, windows) -> np.ndarray:
 
 
 def smooth_tracks(posed: DataFrame, windows: DataFrame, strength: str = "standard") -> DataFrame:
-    """Positions of flagged windows (trace_id, obj_id, t_start, t_end) moved toward a smoothing spline, by 1 m at most.
+    """Positions of flagged windows (trace_id, obj_id, t_start, t_end) moved toward a smoothing spline, by 1 m at most, and their headings to the tangent.
 
     Tracks with fewer than five observations or times, and observations
     outside of the windows and their half-second tapers, stay. ``fixed`` marks
@@ -81,23 +81,32 @@ def smooth_tracks(posed: DataFrame, windows: DataFrame, strength: str = "standar
         raise ValueError(f"strength must be one of {', '.join(STRENGTHS)}")
     factor = BUDGET * STRENGTHS[strength]
     own = windows.groupBy("trace_id", "obj_id").agg(F.collect_list(F.struct("t_start", "t_end")).alias("w"))
-    flagged = posed.select("trace_id", "obj_id", "obs_ord", "t_us", "gx", "gy").join(own, ["trace_id", "obj_id"])
+    flagged = posed.select("trace_id", "obj_id", "obs_ord", "t_us", "gx", "gy", "heading").join(own, ["trace_id", "obj_id"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t_us", "obs_ord"])
         mean = pdf.groupby("t_us")[["gx", "gy"]].mean()
-        out = pdf[["trace_id", "obj_id", "obs_ord"]].assign(sx=pdf["gx"], sy=pdf["gy"], fixed=False)
+        out = pdf[["trace_id", "obj_id", "obs_ord"]].assign(sx=pdf["gx"], sy=pdf["gy"], fixed=False, sh=pdf["heading"])
         if len(mean) < LEAST or factor == 0:
             return out
         t = mean.index.to_numpy() / 1e6
         at = np.searchsorted(mean.index.to_numpy(), pdf["t_us"].to_numpy())
         weight = _weight(pdf["t_us"].to_numpy(), pdf["w"].iloc[0])
-        dx, dy = (weight * (smooth(t, mean[c].to_numpy(), factor * len(t))[at] - pdf[c].to_numpy()) for c in ("gx", "gy"))
+        if not weight.any():
+            return out
+        dx, dy = (smooth(t, mean[c].to_numpy(), factor * len(t))[at] - pdf[c].to_numpy() for c in ("gx", "gy"))
         far = np.hypot(dx, dy)
-        scale = np.minimum(1, CAP_M / np.maximum(far, 1e-12))
-        return out.assign(sx=pdf["gx"] + dx * scale, sy=pdf["gy"] + dy * scale, fixed=far * scale > FIXED_M)
-
-    moved = flagged.groupBy("trace_id", "obj_id").applyInPandas(run, "trace_id long, obj_id int, obs_ord long, sx double, sy double, fixed boolean")
+        scale = weight * np.minimum(1, CAP_M / np.maximum(far, 1e-12))
+        x, y, fixed = pdf["gx"].to_numpy() + dx * scale, pdf["gy"].to_numpy() + dy * scale, far * scale > FIXED_M
+        # headings of moved places turn to the path's tangent as far as the places' weight goes
+        before, after = np.maximum(np.arange(len(x)) - 1, 0), np.minimum(np.arange(len(x)) + 1, len(x) - 1)
+        tx, ty = x[after] - x[before], y[after] - y[before]
+        old = pdf["heading"].to_numpy()
+        turn = (np.degrees(np.arctan2(ty, tx)) - old + 180) % 360 - 180
+        return out.assign(sx=x, sy=y, fixed=fixed, sh=np.where(fixed & (np.hypot(tx, ty) >= TANGENT_M), (old + weight * turn) % 360, old))
+
+    moved = flagged.groupBy("trace_id", "obj_id").applyInPandas(run, "trace_id long, obj_id int, obs_ord long, sx double, sy double, fixed boolean, sh double")
     both = posed.join(moved, ["trace_id", "obj_id", "obs_ord"], "left")
-    cols = [F.coalesce("sx", "gx").alias(c) if c == "gx" else F.coalesce("sy", "gy").alias(c) if c == "gy" else F.col(c) for c in posed.columns]
+    new = {"gx": "sx", "gy": "sy", "heading": "sh"}
+    cols = [F.coalesce(new[c], c).alias(c) if c in new else F.col(c) for c in posed.columns]
     return both.select(*cols, F.col("gx").alias("orig_x_m"), F.col("gy").alias("orig_y_m"), F.coalesce("fixed", F.lit(False)).alias("fixed"))

@@ -88,3 +88,39 @@ def trail(ego: DataFrame, seconds: float = 3.0) -> DataFrame:
     rows = ego.withColumn("step", step)
     back = order.rangeBetween(-int(seconds * 1_000_000), 0)
     return rows.select("trace_id", "seq", "t_us", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("travelled_m"), (F.sum("step").over(back) - F.first("step").over(back)).alias("trail_m"))
+
+
+#: Fixed value: margin (m) of a trace's surroundings.
+MARGIN_M = 100.0
+
+
+def extents(ego: DataFrame) -> DataFrame:
+    """(trace_id, n, t0, t1, duration_s, lat0, lon0, and the box min_lat .. max_lon with 100 m around it) per trace."""
+    g = ego.groupBy("trace_id").agg(F.count("*").alias("n"), F.min("t_us").alias("t0"), F.max("t_us").alias("t1"), F.min_by("lat", "seq").alias("lat0"), F.min_by("lon", "seq").alias("lon0"), *(f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("lat", "lon")))
+    dlat, dlon = F.lit(MARGIN_M / 111320.0), MARGIN_M / (111320.0 * F.greatest(F.lit(0.1), F.cos(F.radians("lat0"))))
+    wider = {"min_lat": F.col("min_lat") - dlat, "max_lat": F.col("max_lat") + dlat, "min_lon": F.col("min_lon") - dlon, "max_lon": F.col("max_lon") + dlon}
+    return g.withColumns({"duration_s": (F.col("t1") - F.col("t0")) / 1e6, **wider})
+
+
+def provenance(obs: DataFrame) -> DataFrame:
+    """(trace_id, suffix): ``fixed`` and ``predicted`` joined by ``__`` if any observation is, else empty."""
+    flag = lambda c, name: F.when(F.bool_or(c), name)
+    return obs.groupBy("trace_id").agg(F.concat_ws("__", flag("fixed", "fixed"), flag("synthetic", "predicted")).alias("suffix"))
+
+
+def page(names: DataFrame, key: str, text: str, limit: int, offset: int = 0) -> DataFrame:
+    """(key, total): a page of the keys that hold ``text`` without regard to case, in lower-cased order, each with the count of all such keys."""
+    found = names.select(key).distinct().where(F.lower(key).contains(text.lower()))
+    total = found.agg(F.count("*").alias("total"))
+    return found.orderBy(F.lower(key), key).offset(offset).limit(limit).join(total, F.lit(True))  # a one-row side
+
+
+def scene_poses(ego: DataFrame) -> DataFrame:
+    """Poses as a scene shows them: seconds since the start, yaw and bearing in degrees, speed forward and to the left."""
+    t0 = F.min("t_us").over(Window.partitionBy("trace_id"))
+    yaw = F.radians(F.pmod(F.col("heading_deg") + 90.0, F.lit(360.0)))
+    east, north = F.col("v_east"), F.col("v_north")
+    return ego.select(
+        "trace_id", "seq", ((F.col("t_us") - t0) / 1e6).alias("t_s"), F.pmod(F.col("heading_deg") + 90.0, F.lit(360.0)).alias("yaw_deg"), F.pmod("heading_deg", F.lit(360.0)).alias("bearing_deg"),
+        F.hypot(north, east).alias("speed_mps"), (east * F.cos(yaw) + north * F.sin(yaw)).alias("v_fwd_mps"), (north * F.cos(yaw) - east * F.sin(yaw)).alias("v_lat_mps"),
+    )

@@ -63,22 +63,14 @@ def blend_weight(t_us: Column, start: Column, end: Column, taper_us: int = 500_0
     return F.when(gap <= 0, 1.0).when(gap >= taper_us, 0.0).otherwise(0.5 * (1 + F.cos(gap * 3.141592653589793 / taper_us)))
 
 
-def rate_limited(corrections: DataFrame, keys: list[str], time: str, value: str, per_second: float = 0.5) -> DataFrame:
-    """Corrections that change by at most ``per_second``, forward and then backward; signs stay. Returns keys and an array of (t, v).
+def rate_limited(corrections: DataFrame, keys: list[str], time: str, value: str, order: list[str] | None = None, per_second: float = 0.5) -> DataFrame:
+    """``corrections`` with ``value`` changing by at most ``per_second``, forward and then backward; signs stay.
 
-    A fold over each track's few corrections; the first one is unconstrained in its direction.
+    A size is the least, over all rows before (then after) it, of that row's
+    size and what may be gained since: a running minimum each way.
     """
-
-    def fold(points: Column) -> Column:
-        def step(acc: Column, p: Column) -> Column:
-            before = F.element_at(acc, -1)
-            most = F.abs(before["v"]) + per_second * F.abs(p["t"] - before["t"]) / 1e6
-            limited = F.signum(p["v"]) * F.least(F.abs(p["v"]), most)
-            return F.concat(acc, F.array(F.when(F.size(acc) == 0, p).otherwise(F.struct(p["t"].alias("t"), limited.alias("v")))))
-
-        empty = F.slice(points, 1, 0)
-        return F.aggregate(points, empty, lambda acc, p: F.when(F.size(acc) == 0, F.array(p)).otherwise(step(acc, p)))
-
-    points = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(value).alias("v"))))
-    grouped = corrections.groupBy(*keys).agg(points.alias("p"))
-    return grouped.select(*keys, F.reverse(fold(F.reverse(fold(F.col("p"))))).alias("points"))
+    w = Window.partitionBy(*keys).orderBy(time, *(order or []))
+    gain = F.col(time) / 1e6 * per_second
+    forward = F.min(F.abs(F.col(value)) - gain).over(w.rowsBetween(Window.unboundedPreceding, 0)) + gain
+    backward = F.min(F.col("__size") + gain).over(w.rowsBetween(0, Window.unboundedFollowing)) - gain
+    return corrections.withColumn("__size", forward).withColumn(value, F.signum(value) * backward).drop("__size")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspan.functions import exprs as X
-from roadspan.operators import corridor, events, frames, joins, predict, repair, road, summaries, validate, variants
+from roadspan.operators import corridor, events, fixes, frames, joins, predict, repair, road, summaries, validate, variants
 from roadspan.operators import reports as R
 from roadspan.plans import projection as P
 from roadspan.ship import ship
@@ -537,11 +537,104 @@ def utm_origin(spark, sf_dir):
     return p.select("trace_id", X.utm_zone(F.col("lon")).alias("zone"), F.round(east, 3).alias("easting"), F.round(north, 3).alias("northing"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {P.OBS}, o AS MATERIALIZED (SELECT trace_id, obj_id, obs_ord, t_us, y_rel AS v, row_number() OVER w AS i, count(*) OVER (PARTITION BY trace_id, obj_id) AS n FROM obs WINDOW w AS (PARTITION BY trace_id, obj_id ORDER BY t_us, obs_ord)),
+f AS (SELECT trace_id, obj_id, i, t_us, v FROM o WHERE i = 1 UNION ALL SELECT o.trace_id, o.obj_id, o.i, o.t_us, sign(o.v) * least(abs(o.v), abs(f.v) + 0.5::DOUBLE * (o.t_us - f.t_us) / 1000000) FROM f JOIN o ON o.trace_id = f.trace_id AND o.obj_id = f.obj_id AND o.i = f.i + 1),
+g AS MATERIALIZED (SELECT f.*, o.obs_ord, o.n FROM f JOIN o USING (trace_id, obj_id, i)),
+b AS (SELECT trace_id, obj_id, obs_ord, i, t_us, v FROM g WHERE i = n UNION ALL SELECT g.trace_id, g.obj_id, g.obs_ord, g.i, g.t_us, sign(g.v) * least(abs(g.v), abs(b.v) + 0.5::DOUBLE * (b.t_us - g.t_us) / 1000000) FROM b JOIN g ON g.trace_id = b.trace_id AND g.obj_id = b.obj_id AND g.i = b.i - 1)
+SELECT trace_id, obj_id, obs_ord, {r6('v')} FROM b""")
 def rate_limit(spark, sf_dir):
     """Lateral corrections of every track, rate-limited both ways."""
-    rows = P.obs(spark, sf_dir).select("trace_id", "obj_id", "t_us", F.col("y_rel").alias("v"))
-    return variants.rate_limited(rows, ["trace_id", "obj_id"], "t_us", "v").select("trace_id", "obj_id", F.explode("points").alias("p")).select("trace_id", "obj_id", "p.t", "p.v")
+    rows = P.obs(spark, sf_dir).select("trace_id", "obj_id", "obs_ord", "t_us", F.col("y_rel").alias("v"))
+    return rounded(variants.rate_limited(rows, ["trace_id", "obj_id"], "t_us", "v", ["obs_ord"]).drop("t_us"), "v")
+
+
+# --- fixes ---
+
+CLAMP = f"""{BASE}, {BOUNDS}, {OUT}, {_runs('SELECT * FROM cx')},
+lb AS (SELECT c.*, r.label FROM cx c LEFT JOIN runs r ON c.trace_id = r.trace_id AND c.obj_id = r.obj_id AND c.excursion > 0 AND c.t_us BETWEEN r.t_start AND r.t_end),
+dl AS (SELECT *, coalesce(label = 'departure', false) AS departed, CASE WHEN side = 'left' THEN -excursion WHEN side = 'right' THEN excursion ELSE 0 END AS signed FROM lb),
+de AS (SELECT *, NOT departed AND abs(signed) > 1.5 AS too_large, CASE WHEN departed OR abs(signed) > 1.5 THEN 0 ELSE signed END AS delta FROM dl),
+l1 AS (SELECT *, min(abs(delta) - t_us / 2000000.0::DOUBLE) OVER (PARTITION BY trace_id, obj_id ORDER BY t_us, obs_ord ROWS UNBOUNDED PRECEDING) + t_us / 2000000.0::DOUBLE AS s1 FROM de),
+l2 AS (SELECT *, sign(delta) * (min(s1 + t_us / 2000000.0::DOUBLE) OVER (PARTITION BY trace_id, obj_id ORDER BY t_us, obs_ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - t_us / 2000000.0::DOUBLE) AS d FROM l1),
+cl AS (SELECT * EXCLUDE (y_rel), abs(d) >= 0.05 AS clamped, y_rel + CASE WHEN abs(d) >= 0.05 THEN d ELSE 0 END AS y_rel FROM l2)"""
+
+
+@query(f"""{CLAMP} SELECT trace_id, obj_id, obs_ord, {r6('y_rel')}, round(CASE WHEN clamped THEN ey + x_rel * sin(eyaw) + y_rel * cos(eyaw) ELSE gy END, 6) + 0 AS gy, clamped, departed, too_large FROM cl""")
+def clamp_offroad(spark, sf_dir):
+    return rounded(fixes.clamp_offroad(_bounds(spark, sf_dir)).select("trace_id", "obj_id", "obs_ord", "y_rel", "gy", "clamped", "departed", "too_large"), "y_rel", "gy")
+
+
+@query(f"""{CLAMP}, tr AS (SELECT *, abs(x_rel) < 20 AS hit FROM cl), tb AS (SELECT *, bool_and(hit) OVER (PARTITION BY trace_id, obj_id ORDER BY t_us DESC, obs_ord DESC ROWS UNBOUNDED PRECEDING) AS tail, row_number() OVER (PARTITION BY trace_id, obj_id ORDER BY t_us, obs_ord) AS n FROM tr),
+sm AS (SELECT trace_id, obj_id, count(*) FILTER (clamped AND (NOT tail OR n = 1)) AS n_fixed, count(*) FILTER (tail AND n > 1) AS dropped, count(*) FILTER (departed AND (NOT tail OR n = 1)) AS departures, count(*) FILTER (too_large AND (NOT tail OR n = 1)) AS too_large FROM tb GROUP BY 1, 2)
+SELECT * FROM sm WHERE n_fixed + dropped + departures + too_large > 0""")
+def fix_summary(spark, sf_dir):
+    bounded = _bounds(spark, sf_dir)
+    after = variants.trim_trailing(fixes.clamp_offroad(bounded).withColumn("fixed", F.col("clamped")), F.abs("x_rel") < 20)
+    return fixes.fix_summary(bounded, after)
+
+
+@query()
+def apply_fixes(spark, sf_dir):
+    """All fixes of every trace: smoothing, clamp and trimming."""
+    posed = _glob(ship(spark), sf_dir)
+    fixed = fixes.apply_fixes(posed, _issues(spark, sf_dir), P.edges(spark, sf_dir))
+    return fixed.select("trace_id", "obj_id", "obs_ord", "x_rel", "y_rel", "gx", "gy", "heading", "fixed", "departed", "too_large")
+
+
+# --- scene, catalog and classes ---
+
+LATLON = f"WITH {P.EGO}, ll AS (SELECT *, 48 + y_m / 111320 AS lat, 9 + x_m / 111320 AS lon, speed * cos(radians(heading_deg)) AS v_north, -speed * sin(radians(heading_deg)) AS v_east FROM ego)"
+
+
+def _latlon(spark, sf_dir):
+    h = F.radians("heading_deg")
+    return P.ego(spark, sf_dir).withColumns({"lat": 48 + F.col("y_m") / 111320, "lon": 9 + F.col("x_m") / 111320, "v_north": F.col("speed") * F.cos(h), "v_east": -F.col("speed") * F.sin(h)})
+
+
+@query(f"""{LATLON} SELECT trace_id, seq, (t_us - min(t_us) OVER (PARTITION BY trace_id)) / 1000000.0::DOUBLE AS t_s, (heading_deg + 90) % 360 AS yaw_deg, heading_deg % 360 AS bearing_deg, round(sqrt(v_north ** 2 + v_east ** 2), 6) AS speed_mps,
+round(v_east * cos(radians(heading_deg + 90)) + v_north * sin(radians(heading_deg + 90)), 6) + 0 AS v_fwd_mps, round(v_north * cos(radians(heading_deg + 90)) - v_east * sin(radians(heading_deg + 90)), 6) + 0 AS v_lat_mps FROM ll""")
+def scene_poses(spark, sf_dir):
+    return rounded(summaries.scene_poses(_latlon(spark, sf_dir)), "speed_mps", "v_fwd_mps", "v_lat_mps")
+
+
+@query(f"""{LATLON}, g AS (SELECT trace_id, count(*) AS n, min(t_us) AS t0, max(t_us) AS t1, arg_min(lat, seq) AS lat0, arg_min(lon, seq) AS lon0, min(lat) AS a, min(lon) AS b, max(lat) AS c, max(lon) AS d FROM ll GROUP BY 1)
+SELECT trace_id, n, t0, t1, (t1 - t0) / 1000000.0::DOUBLE AS duration_s, round(lat0, 6) AS lat0, round(lon0, 6) AS lon0, round(a - 100 / 111320.0::DOUBLE, 6) AS min_lat, round(c + 100 / 111320.0::DOUBLE, 6) AS max_lat,
+round(b - 100 / (111320 * greatest(0.1, cos(radians(lat0)))), 6) AS min_lon, round(d + 100 / (111320 * greatest(0.1, cos(radians(lat0)))), 6) AS max_lon FROM g""")
+def trace_extents(spark, sf_dir):
+    return rounded(summaries.extents(_latlon(spark, sf_dir)), "lat0", "lon0", "min_lat", "max_lat", "min_lon", "max_lon")
+
+
+@query(f"WITH {P.OBS}, f AS (SELECT trace_id, bool_or(x_rel > 35 AND trace_id % 2 = 0) AS a, bool_or(y_rel > 3.5 AND trace_id % 3 = 0) AS b FROM obs GROUP BY 1) SELECT trace_id, concat_ws('__', CASE WHEN a THEN 'fixed' END, CASE WHEN b THEN 'predicted' END) AS suffix FROM f")
+def provenance(spark, sf_dir):
+    t = F.col("trace_id")
+    return summaries.provenance(P.obs(spark, sf_dir).withColumns({"fixed": (F.col("x_rel") > 35) & (t % 2 == 0), "synthetic": (F.col("y_rel") > 3.5) & (t % 3 == 0)}))
+
+
+@query("SELECT s_name, count(*) OVER () AS total FROM supplier WHERE contains(lower(s_name), 'r#00000000') ORDER BY lower(s_name), s_name LIMIT 5 OFFSET 2")
+def trace_page(spark, sf_dir):
+    return summaries.page(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_name", "R#00000000", 5, 2)
+
+
+#: Words of part types stand for object types.
+TYPES = "t AS (SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN ' Car ' WHEN 1 THEN 'Semi-Trailer' WHEN 2 THEN 'Pedestrian' WHEN 3 THEN 'unknown' WHEN 4 THEN 'Motorbike' WHEN 5 THEN 'Traffic Sign' WHEN 6 THEN 'Van' WHEN 7 THEN 'Highly Reflective Marker' ELSE 'Truck' END AS k, 3 + p_size % 8 + 0.25::DOUBLE AS ln, 1.5::DOUBLE + p_size % 3 * 0.25::DOUBLE AS wd FROM part)"
+
+
+@query(f"""WITH {TYPES}, m AS (SELECT *, lower(k) AS w FROM t) SELECT p_partkey, CASE WHEN w LIKE '%pedestrian%' OR w LIKE '%person%' THEN 'PEDESTRIAN' WHEN w LIKE '%trailer%' THEN 'TRAILER' WHEN w LIKE '%unknown%' THEN 'UNKNOWN' ELSE 'VEHICLE' END AS actor,
+CASE WHEN trim(w) IN ('car', 'truck', 'van', 'bus', 'motorbike') THEN trim(w) ELSE 'car' END AS category, CASE WHEN k IN ('Traffic Sign', 'Highly Reflective Marker') THEN 'pole' ELSE 'none' END AS static,
+CASE WHEN w LIKE '%pedestrian%' THEN 'box' WHEN w LIKE '%truck%' OR w LIKE '%trailer%' OR ln > 9 THEN 'CONFIGURABLE_SEMI_TRUCK' WHEN w LIKE '%motorbike%' THEN 'GENERIC_DAELIM_MOTORBIKE' ELSE 'GENERIC_YARIS' END AS model,
+CASE WHEN w LIKE '%pedestrian%' OR w LIKE '%truck%' OR w LIKE '%trailer%' OR ln > 9 THEN NULL WHEN w LIKE '%motorbike%' THEN round(ln / 1.95::DOUBLE, 4) ELSE round(ln / 4.1::DOUBLE, 4) END AS scale_x, CASE WHEN w NOT LIKE '%pedestrian%' THEN round(wd / 1.8::DOUBLE, 4) END AS scale_y,
+trim(regexp_replace(k, '[^a-zA-Z0-9_-]+', '-', 'g'), '-') AS slug FROM m""")
+def object_classes(spark, sf_dir):
+    kinds = F.array(*map(F.lit, (" Car ", "Semi-Trailer", "Pedestrian", "unknown", "Motorbike", "Traffic Sign", "Van", "Highly Reflective Marker", "Truck")))
+    k, size = F.element_at(kinds, (F.col("p_partkey") % 9 + 1).cast("int")), F.col("p_size")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", k.alias("k"), (3 + size % 8 + 0.25).alias("ln"), (1.5 + size % 3 * 0.25).alias("wd"))
+    rows = rows.withColumn("g", X.model_guess(F.col("k"), F.col("ln"), F.col("wd")))
+    return rows.select("p_partkey", X.actor_type(F.col("k")).alias("actor"), X.scenario_category(F.col("k")).alias("category"), X.static_type(F.col("k")).alias("static"), "g.*", X.slug(F.col("k")).alias("slug"))
+
+
+@query(f"WITH {P.EDGES} SELECT trace_id, line_id, t_us, CASE WHEN y > 0 THEN 'left' ELSE 'right' END AS side FROM edges")
+def line_sides(spark, sf_dir):
+    return P.edges(spark, sf_dir).select("trace_id", "line_id", "t_us", X.line_side(F.col("points")).alias("side"))
 
 
 # --- prediction and reports ---
@@ -597,11 +690,11 @@ def scene_json(spark, sf_dir):
 
 @query()
 def smooth_tracks(spark, sf_dir):
-    """Every track, smoothed where its acceleration is flagged."""
+    """Every track, smoothed where a kinematic issue flags it."""
     posed = _glob(ship(spark), sf_dir)
-    flags = validate.centred_acceleration(validate.track_steps(posed)).where("severity = 'high'")
-    windows = flags.select("trace_id", "obj_id", (F.col("t_us") - 500_000).alias("t_start"), (F.col("t_us") + 500_000).alias("t_end"))
-    return repair.smooth_tracks(posed, windows).select("trace_id", "obj_id", "obs_ord", "gx", "gy", "fixed")
+    flags = _issues(spark, sf_dir).where("category = 'kinematic' and obj_id is not null")
+    windows = flags.select("trace_id", "obj_id", (F.col("t_start") - 500_000).alias("t_start"), (F.col("t_end") + 500_000).alias("t_end"))
+    return repair.smooth_tracks(posed, windows).select("trace_id", "obj_id", "obs_ord", "gx", "gy", "heading", "fixed")
 
 
 ARC = f"""sd AS (SELECT *, coalesce(sqrt((x_m - lag(x_m) OVER w) ** 2 + (y_m - lag(y_m) OVER w) ** 2), 0) AS d FROM ego WINDOW w AS (PARTITION BY trace_id ORDER BY t_us)),
@@ -624,3 +717,64 @@ def arc_resample(spark, sf_dir):
 FROM obs o JOIN iss i ON o.trace_id = i.trace_id AND o.obj_id = i.obj_id AND o.t_us BETWEEN i.t_start - 300000 AND i.t_end + 300000 GROUP BY ALL""")
 def worst_active_issue(spark, sf_dir):
     return road.worst_active(P.obs(spark, sf_dir), _issues(spark, sf_dir))
+
+
+LINE = f"""WITH RECURSIVE {P.EGO}, sd AS (SELECT *, coalesce(sqrt((x_m - lag(x_m) OVER w) ** 2 + (y_m - lag(y_m) OVER w) ** 2), 0) AS d FROM ego WINDOW w AS (PARTITION BY trace_id ORDER BY t_us)),
+sc AS MATERIALIZED (SELECT trace_id, seq, t_us, x_m, y_m, heading_deg, sum(d) OVER (PARTITION BY trace_id ORDER BY t_us ROWS UNBOUNDED PRECEDING) AS s FROM sd),
+nx AS MATERIALIZED (SELECT a.trace_id, a.seq, min(b.seq) AS after FROM sc a JOIN sc b ON a.trace_id = b.trace_id AND b.seq > a.seq AND b.s >= a.s + 5 GROUP BY 1, 2),
+jump AS (SELECT trace_id, CAST(0 AS BIGINT) AS seq FROM supplier JOIN (SELECT DISTINCT trace_id FROM sc) z ON trace_id = s_suppkey UNION ALL SELECT nx.trace_id, nx.after FROM jump JOIN nx USING (trace_id, seq)),
+line AS MATERIALIZED (SELECT sc.* FROM sc JOIN (SELECT trace_id, seq FROM jump UNION SELECT trace_id, max(seq) FROM sc GROUP BY 1) k USING (trace_id, seq))"""
+
+
+@query(f"{LINE} SELECT trace_id, seq, {r6('s')} FROM line")
+def reference_line(spark, sf_dir):
+    return rounded(road.reference_line(P.ego(ship(spark), sf_dir)).select("trace_id", "seq", "s"), "s")
+
+
+@query(f"""{LINE}, pv AS (SELECT *, radians((heading_deg + 90) % 360) AS hdg, lead(s) OVER w - s AS length, radians({WRAP.format('(lead(heading_deg) OVER w - heading_deg)')}) AS turn FROM line WINDOW w AS (PARTITION BY trace_id ORDER BY seq))
+SELECT trace_id, {r6('s', 'hdg', 'length')}, round(turn / length, 6) + 0 AS curvature, CASE WHEN abs(turn / length) < 0.0001 THEN 'line' ELSE 'arc' END AS shape FROM pv WHERE length > 0.000001""")
+def plan_view(spark, sf_dir):
+    return rounded(road.plan_view(road.reference_line(P.ego(ship(spark), sf_dir))).drop("x_m", "y_m"), "s", "hdg", "length", "curvature")
+
+
+@query(f"""{BASE}, {LINE.removeprefix(f'WITH RECURSIVE {P.EGO}, ')}, pq AS (SELECT p.trace_id, obj_id, obs_ord, gx, gy, arg_min({{'s': s, 'x': l.x_m, 'y': l.y_m, 'h': radians((heading_deg + 90) % 360)}}, {{'d': (l.x_m - gx) ** 2 + (l.y_m - gy) ** 2, 'q': seq}}) AS r
+FROM (SELECT trace_id, obj_id, obs_ord, gx, gy FROM posed) p JOIN line l USING (trace_id) GROUP BY ALL)
+SELECT trace_id, obj_id, obs_ord, round(r.s + cos(r.h) * (gx - r.x) + sin(r.h) * (gy - r.y), 5) + 0 AS s, round(cos(r.h) * (gy - r.y) - sin(r.h) * (gx - r.x), 5) + 0 AS t FROM pq""".replace("WITH ego", "WITH RECURSIVE ego", 1))
+def project_to_road(spark, sf_dir):
+    points = _glob(ship(spark), sf_dir).select("trace_id", "obj_id", "obs_ord", F.col("gx").alias("x"), F.col("gy").alias("y"))
+    out = road.project_to_road(points, road.reference_line(P.ego(spark, sf_dir)))
+    return out.select("trace_id", "obj_id", "obs_ord", *((F.round(c, 5) + 0.0).alias(c) for c in ("s", "t")))
+
+
+@query(f"""{BASE}, cs AS (SELECT *, (coalesce(lead(t_us) OVER w, t_us) - coalesce(lag(t_us) OVER w, t_us)) / 1e6 AS dt, sqrt((coalesce(lead(gx) OVER w, gx) - coalesce(lag(gx) OVER w, gx)) ** 2 + (coalesce(lead(gy) OVER w, gy) - coalesce(lag(gy) OVER w, gy)) ** 2) AS d FROM posed WINDOW w AS (PARTITION BY trace_id, obj_id ORDER BY t_us, obs_ord))
+SELECT trace_id, obj_id, obs_ord, round(CASE WHEN dt > 0 THEN d / dt ELSE 0 END, 5) AS speed_mps FROM cs""")
+def central_speeds(spark, sf_dir):
+    out = road.central_speeds(_glob(spark, sf_dir), ["trace_id", "obj_id"], "gx", "gy")
+    return out.select("trace_id", "obj_id", "obs_ord", F.round("speed_mps", 5).alias("speed_mps"))
+
+
+@query(f"""{LINE}, fm AS (SELECT s_suppkey AS trace_id, k AS ord, k * 3700000 AS t_us, CAST((s_suppkey + k * k) % 4 AS INTEGER) AS num_lanes FROM supplier CROSS JOIN (SELECT range AS k FROM range(0, 12)) r),
+fp AS (SELECT f.*, coalesce((SELECT min(seq) FROM ego e WHERE e.trace_id = f.trace_id AND e.t_us >= f.t_us), 399) AS seq FROM fm f WHERE num_lanes > 0),
+fq AS (SELECT f.trace_id, f.ord, f.num_lanes, e.x_m AS gx, e.y_m AS gy, arg_min({{'s': s, 'x': l.x_m, 'y': l.y_m, 'h': radians((l.heading_deg + 90) % 360)}}, {{'d': (l.x_m - e.x_m) ** 2 + (l.y_m - e.y_m) ** 2, 'q': l.seq}}) AS r FROM fp f JOIN ego e USING (trace_id, seq) JOIN line l USING (trace_id) GROUP BY ALL),
+fw AS (SELECT trace_id, CAST(floor((r.s + cos(r.h) * (gx - r.x) + sin(r.h) * (gy - r.y)) / 30) AS BIGINT) AS "window", num_lanes, count(*) AS n, min(ord) AS f FROM fq GROUP BY ALL)
+SELECT trace_id, "window", arg_min(num_lanes, {{'n': -n, 'f': f}}) AS num_lanes FROM fw GROUP BY 1, 2""")
+def lanes_by_window(spark, sf_dir):
+    s = F.col("s_suppkey")
+    meta = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(s.alias("trace_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("ord"))
+    meta = meta.withColumns({"t_us": F.col("ord") * 3_700_000, "num_lanes": ((F.col("trace_id") + F.col("ord") * F.col("ord")) % 4).cast("int")})
+    ego = P.ego(ship(spark), sf_dir)
+    return road.lanes_by_window(meta, ego, road.reference_line(ego))
+
+
+@query(f"""{LINE}, wy AS (SELECT s_suppkey AS trace_id, w AS way_id, k AS ord, CAST(k * 40 AS DOUBLE) AS x, CAST((w - 2) * 12 + (s_suppkey + w * k) % 7 * 3 AS DOUBLE) AS y FROM supplier CROSS JOIN (SELECT range AS w FROM range(0, 5)) a CROSS JOIN (SELECT range AS k FROM range(0, 21)) b WHERE s_suppkey % 6 <> 0),
+sa AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY trace_id) AS n FROM line),
+sm AS (SELECT trace_id, seq, way_id, min(sqrt((x_m - x) ** 2 + (y_m - y) ** 2)) AS d FROM sa JOIN wy USING (trace_id) WHERE i % greatest(1, n // 30) = 0 GROUP BY ALL),
+wm AS (SELECT trace_id, way_id, avg(d) AS m FROM sm GROUP BY ALL), wb AS (SELECT trace_id, arg_min(way_id, {{'m': round(m, 9), 'w': way_id}}) AS way_id, min(m) AS mean_m FROM wm GROUP BY 1)
+SELECT trace_id, way_id, {r6('mean_m')} FROM wb WHERE mean_m <= 20""")
+def match_way(spark, sf_dir):
+    s = F.col("s_suppkey")
+    ways = spark.read.parquet(f"{sf_dir}/supplier.parquet").where(s % 6 != 0).select(s.alias("trace_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("way_id"))
+    ways = ways.withColumn("ord", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long"))))
+    w, k = F.col("way_id"), F.col("ord")
+    ways = ways.withColumns({"x": (k * 40).cast("double"), "y": ((w - 2) * 12 + (F.col("trace_id") + w * k) % 7 * 3).cast("double")})
+    return rounded(road.match_way(road.reference_line(P.ego(ship(spark), sf_dir)), ways), "mean_m")
