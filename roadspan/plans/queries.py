@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspan.functions import exprs as X
-from roadspan.operators import corridor, events, fixes, frames, joins, predict, repair, road, summaries, validate, variants
+from roadspan.operators import corridor, events, fixes, frames, joins, lanes, predict, repair, road, summaries, validate, variants
 from roadspan.operators import reports as R
 from roadspan.plans import projection as P
 from roadspan.ship import ship
@@ -778,3 +778,18 @@ def match_way(spark, sf_dir):
     w, k = F.col("way_id"), F.col("ord")
     ways = ways.withColumns({"x": (k * 40).cast("double"), "y": ((w - 2) * 12 + (F.col("trace_id") + w * k) % 7 * 3).cast("double")})
     return rounded(road.match_way(road.reference_line(P.ego(ship(spark), sf_dir)), ways), "mean_m")
+
+
+@query()
+def lane_sections(spark, sf_dir):
+    """Lane sections of every trace, from markings every metre whose number and distance vary along the road."""
+    ego = P.ego(ship(spark), sf_dir)
+    line = road.reference_line(ego)
+    s = F.col("trace_id")
+    marks = ego.select("trace_id", F.col("x_m").alias("x"), F.explode(F.array(*map(F.lit, (-2, -1, 0, 1)))).alias("n"))
+    marks = marks.withColumn("k", F.floor(F.col("x") / 120)).where((F.col("n") > -2) | ((s + F.col("k")) % 3 > 0))
+    marks = marks.select("trace_id", "x", (F.col("n") * (3.2 + (s + F.col("k")) % 2 * 0.4) + 1.7).alias("y"))
+    posed = _glob(spark, sf_dir).select("trace_id", F.col("gx").alias("x"), F.col("gy").alias("y"), "lane")
+    meta = ego.where("seq % 40 = 0").select("trace_id", "t_us", F.col("seq").alias("ord"), (F.lit(3) + 0 * s).cast("int").alias("num_lanes"))
+    majority = ego.select("trace_id").distinct().select("trace_id", F.lit(3).alias("num_lanes"), (s % 3).cast("int").alias("ego_lane"), F.when(s % 5 == 0, 4).alias("hint"))
+    return lanes.lane_sections(line, marks, posed, road.lanes_by_window(meta, ego, line), majority)
