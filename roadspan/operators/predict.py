@@ -176,11 +176,12 @@ class _Scene:
 def governed(glob: DataFrame, ego: DataFrame, horizon_s: float = 4.0) -> DataFrame:
     """Forward positions of all tracks of a trace, stepped in the order of time so that each sees the others.
 
-    Before a step, boxes ahead are tested with a margin of 1 m; a blocked track
+    Before a step, a box along the direction of travel is tested with a margin
+    of 1 m against boxes ahead, the ego's at that very time; a blocked track
     brakes and takes the step at the lower speed, and ends where its box would
     still touch another. Free tracks regain their speed. Steps are bound to
     each other across a trace's tracks, so a trace is one group; traces are
-    independent. Nothing is predicted beyond the ego's last pose.
+    independent. Nothing is predicted from the ego's last pose on.
     """
     plan = end_plan(track_ends(glob))
     boxes = glob.select("trace_id", "obj_id", "obs_ord", "t_us", "gx", "gy", "heading", "length", "width")
@@ -203,7 +204,7 @@ def governed(glob: DataFrame, ego: DataFrame, horizon_s: float = 4.0) -> DataFra
         count = len(heap)
         while heap:
             t, _, s = heapq.heappop(heap)
-            if t > pt[-1]:
+            if t >= pt[-1]:
                 continue
             i = int(np.argmin((px - s["x"]) ** 2 + (py - s["y"]) ** 2))
             a, b = max(0, i - 1), min(len(px) - 1, i + 1)
@@ -214,15 +215,18 @@ def governed(glob: DataFrame, ego: DataFrame, horizon_s: float = 4.0) -> DataFra
             turn = STEER * math.atan2(math.sin(yaw - s["box"]), math.cos(yaw - s["box"]))
             cap = math.radians(TURN_CAP) * STEP_S
             box_yaw = s["box"] + max(-cap, min(cap, turn))
-            j = int(np.searchsorted(pt, t, side="right")) - 1
-            around = [*scene.others(s["obj"], t), (px[max(j, 0)], py[max(j, 0)], math.radians(pyaw[max(j, 0)]), X.EGO_LENGTH, X.EGO_WIDTH)]
+            j = max(0, int(np.searchsorted(pt, t, side="right")) - 1)
+            k = min(j + 1, len(pt) - 1)
+            f = (t - pt[j]) / (pt[k] - pt[j]) if t > pt[j] and k > j else 0.0
+            ego_yaw = pyaw[j] + ((pyaw[k] - pyaw[j] + 180) % 360 - 180) * f
+            around = [*scene.others(s["obj"], t), (px[j] + (px[k] - px[j]) * f, py[j] + (py[k] - py[j]) * f, math.radians(ego_yaw), X.EGO_LENGTH, X.EGO_WIDTH)]
 
             def at(v, s=s, yaw=yaw):
                 return s["x"] + v * STEP_S * math.cos(yaw), s["y"] + v * STEP_S * math.sin(yaw)
 
-            def blocked(v, margin, at=at, yaw=yaw, box_yaw=box_yaw, s=s, around=around):
+            def blocked(v, margin, at=at, yaw=yaw, s=s, around=around):
                 x, y = at(v)
-                own = (x, y, box_yaw, s["size"][0] + 2 * margin, s["size"][1] + 2 * margin)
+                own = (x, y, yaw, s["size"][0] + 2 * margin, s["size"][1] + 2 * margin)
                 return any((q[0] - x) * math.cos(yaw) + (q[1] - y) * math.sin(yaw) > 0 and _touch(own, q) for q in around)
 
             v = s["v"]
