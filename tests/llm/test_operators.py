@@ -461,7 +461,8 @@ def test_licences(spark):
 def test_licences_of_odd_rows(spark):
     templates = spark.createDataFrame(licenses.TEMPLATES, "licence string, text string")
     mit, isc = "Released under the MIT License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
-    rows = [("b/LICENSE", mit), ("b/COPYING", mit), ("b/x", "y"), ("b/x", "y"), ("c/long", "word " * 60_000 + "\n" + mit), ("c/both", f"{isc}\n{mit}"), ("c/both", f"{mit}\n{isc}"), ("c/none", None)]
+    code = "def run of several other words that no template holds at all\n" * 8
+    rows = [("b/LICENSE", mit), ("b/COPYING", mit), ("b/x", "y"), ("b/x", "y"), ("c/long", "word " * 60_000 + "\n" + mit), ("c/both", f"{isc}\n{mit}\n{code}"), ("c/both", f"{code}{mit}\n{isc}"), ("c/none", None)]
     files = spark.createDataFrame(rows, "path string, text string")
     got = _rows(licenses.scan(files, templates), "path", "licence", "origin", "licence_path")
     assert got == sorted([("b/LICENSE", "MIT", "file", "b/LICENSE"), ("b/COPYING", "MIT", "file", "b/COPYING"), ("b/x", "MIT", "inherited", "b/COPYING"), ("b/x", "MIT", "inherited", "b/COPYING"), ("c/long", "MIT", "header", "c/long"), ("c/both", "ISC", "header", "c/both"), ("c/both", "ISC", "header", "c/both"), ("c/none", None, None, None)], key=str)
