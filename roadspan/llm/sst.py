@@ -41,7 +41,7 @@ BLOCK = 1 << 18
 PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 #: Fixed value: the pre-tokenizer's pattern, whose matches hold no white space.
 WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-KEPT_WORDS, KEPT_LENGTH = 300_000, 48  # encoded words that a worker keeps in each of two generations, and the longest of them
+KEPT_WORDS, KEPT_LENGTH = 200_000, 48  # encoded words that a worker keeps in each of two generations, and the longest of them
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -300,7 +300,7 @@ def write(docs: DataFrame, encoder: WordEncoder, target: str, end_id: int, id_co
         writer, path = None, f"{target}/part-{TaskContext.get().partitionId():06d}.sst"
         e = model.value
         first = None
-        for part in slices(batches, "t", 4 << 20):
+        for part in slices(batches, "t", 2 << 20):
             if writer is None:
                 writer, first = SstWriter(path, e.kind.itemsize), part.column(0)[0].as_py()
             at, ids = e.encode(part.column(1), end_id)
