@@ -27,38 +27,19 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000  # most labelled texts of each kind that
 EPOCHS, STEPS, BATCH, RATE = 5, 150, 128, 0.01
 SAMPLE_BYTES = 1 << 25  # and of their texts together, of each kind
 SEED = 11
+PART = 10_000  # words or windows worked out at once
 
 
 class Words:
     """The distinct words of some texts: word bucket, character n-gram buckets, and where each word's begin."""
 
     def __init__(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
-        size = ends - starts
-        total = size + 2
-        at = np.cumsum(total) - total
-        n = int(total.sum())
-        flat = np.full(n, 2, np.uint32)
-        owner = np.repeat(np.arange(len(size)), size)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        flat[at[owner] + 1 + inner] = _LOWER[values[starts[owner] + inner]]
-        row = np.repeat(np.arange(len(size), dtype=np.int32), total)
-        grams, rows, h = [], [], np.zeros(n, np.uint32)
-        for k in range(1, max(ORDERS) + 1):
-            m = n - k + 1
-            if m <= 0:
-                break
-            h = h[:m] * np.uint32(0x01000193) + (flat[k - 1 :] + np.uint32(k * 257)) * np.uint32(0x9E3779B1)
-            if k in ORDERS:
-                inside = row[:m] == row[k - 1 :]
-                mixed = (h ^ (h >> np.uint32(16))) * np.uint32(0x45D9F3B)
-                grams.append(((mixed ^ (mixed >> np.uint32(15))) % np.uint32(CHAR_BUCKETS))[inside])
-                rows.append(row[:m][inside])
-        self.n = len(size)
-        grams, rows = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (grams, rows))
-        order = np.argsort(rows, kind="stable")
-        self.grams, self.rows = grams[order].astype(np.int64), rows[order]
-        self.counts = np.bincount(self.rows, minlength=self.n)
-        self.bucket = (hashes % U64(WORD_BUCKETS)).astype(np.int64)
+        self.n = len(starts)
+        parts = [_grams(values, starts[i : i + PART], ends[i : i + PART]) for i in range(0, self.n, PART)]  # bounds the temporaries
+        self.grams = np.concatenate([np.zeros(0, np.int32), *(g for g, _ in parts)])
+        self.counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)])
+        self.rows = np.repeat(np.arange(self.n, dtype=np.int32), self.counts)
+        self.bucket = (hashes % U64(WORD_BUCKETS)).astype(np.int32)
 
     def inputs(self, net: dict) -> np.ndarray:
         """Input vector of each word."""
@@ -73,6 +54,32 @@ class Words:
         return np.concatenate([net["words"][self.bucket], chars], axis=1)
 
 
+def _grams(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Character n-gram buckets of some words, word by word, and how many each word has."""
+    size = ends - starts
+    total = size + 2
+    at = np.cumsum(total) - total
+    n = int(total.sum())
+    flat = np.full(n, 2, np.uint32)
+    owner = np.repeat(np.arange(len(size)), size)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    flat[at[owner] + 1 + inner] = _LOWER[values[starts[owner] + inner]]
+    row = np.repeat(np.arange(len(size), dtype=np.int32), total)
+    grams, rows, h = [], [], np.zeros(n, np.uint32)
+    for k in range(1, max(ORDERS) + 1):
+        m = n - k + 1
+        if m <= 0:
+            break
+        h = h[:m] * np.uint32(0x01000193) + (flat[k - 1 :] + np.uint32(k * 257)) * np.uint32(0x9E3779B1)
+        if k in ORDERS:
+            inside = row[:m] == row[k - 1 :]
+            mixed = (h ^ (h >> np.uint32(16))) * np.uint32(0x45D9F3B)
+            grams.append(((mixed ^ (mixed >> np.uint32(15))) % np.uint32(CHAR_BUCKETS))[inside])
+            rows.append(row[:m][inside])
+    grams, rows = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (grams, rows))
+    return grams[np.argsort(rows, kind="stable")].astype(np.int32), np.bincount(rows, minlength=len(size))
+
+
 def windows(values: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
     """(distinct words, windows as word numbers from 1 with 0 for padding, row of each window).
 
@@ -86,10 +93,12 @@ def windows(values: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
     per = np.maximum(1, -(-(n - STRIDE) // STRIDE))
     row = np.repeat(np.arange(len(n)), per)
     begin = (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * STRIDE
-    where = begin[:, None] + np.arange(WINDOW)
-    inside = where < n[row][:, None]
-    numbers = np.zeros(where.shape, np.int32)
-    numbers[inside] = inverse[(at[row][:, None] + where)[inside]] + 1
+    numbers = np.zeros((len(row), WINDOW), np.int32)
+    for i in range(0, len(row), PART):
+        own = row[i : i + PART]
+        where = begin[i : i + PART, None] + np.arange(WINDOW)
+        inside = where < n[own][:, None]
+        numbers[i : i + PART][inside] = inverse[(at[own][:, None] + where)[inside]] + 1
     return words, numbers, row
 
 
