@@ -269,7 +269,7 @@ def _differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
     meets members that aren't linked; those have a longer one, ``long``, that
     meets linked members.
     """
-    rows = _from_pivot(groups, sets)
+    rows = _from_pivot(groups, sets).repartition("pivot", "id")  # a large group's members go to all tasks
     size = rows.groupBy("pivot").agg(F.count("*").alias("members"))
     held = rows.select("pivot", F.explode("items").alias("item")).groupBy("pivot", "item").agg(F.count("*").alias("held"))
     most = held.join(size, "pivot").where("2 * held > members").groupBy("pivot").agg(F.collect_list("item").alias("most"))
@@ -285,7 +285,7 @@ def _differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
 def _difference_lists(differences: DataFrame) -> DataFrame:
     """(key, centre, id, n, linked, near, cnt): lists of the prefixes of differences; near: within the short prefix."""
     who = ["pivot", "id", "x"]
-    flat = differences.select(*who, F.explode("items").alias("item"))
+    flat = differences.repartition(*who).select(*who, F.explode("items").alias("item"))
     shared = flat.join(flat.groupBy("pivot", "item").agg(F.count("*").alias("held")).where("held > 1"), ["pivot", "item"])
     w = Window.partitionBy(*who)
     shared = shared.withColumns({"at": F.row_number().over(w.orderBy("held", "item")), "own": F.count("*").over(w)})
