@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspan.llm import bpe, decontam, langid, licenses, media, ngram_join, sst, toxicity, url_filter, warc
+from roadspan.llm import bpe, decontam, langid, licenses, media, ngram_join, quality, sst, toxicity, url_filter, warc
 from roadspan.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op6_license_scan"] = licenses.oracle("SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' AS path, text FROM documents")
+
+
+@query
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; learned from labels that aren't held out."""
+    found = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return found.select("doc_id", quality.held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
