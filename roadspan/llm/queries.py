@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspan.llm import bpe, decontam, langid, licenses, media, ngram_join, quality, sst, toxicity, url_filter, warc
+from roadspan.llm import bpe, decontam, langid, lexical, licenses, media, ngram_join, quality, sst, toxicity, url_filter, warc
 from roadspan.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,24 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; learned from labels that aren't held out."""
     found = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return found.select("doc_id", quality.held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id, score: the 50 documents that score highest for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+ORACLE_SQL["op13_ranked_search"] = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, {_TERMS} AS t FROM documents),
+n AS (SELECT i, doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM n),
+q AS MATERIALIZED (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark)),
+p AS MATERIALIZED (SELECT i, t, count(*) AS tf FROM (SELECT i, unnest(t) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY i, t),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, g GROUP BY t, docs),
+s AS (SELECT item_id, i, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // l))))::BIGINT AS score
+  FROM q JOIN p USING (t) JOIN w USING (t) JOIN n USING (i), g GROUP BY item_id, i)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score
+FROM s JOIN n USING (i) WHERE score > 0 QUALIFY rank <= 50
+"""
