@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspan.llm import bpe, decontam, langid, lexical, licenses, media, ngram_join, quality, sst, toxicity, url_filter, warc
+from roadspan.llm import bpe, decontam, langid, lexical, licenses, media, ngram_join, quality, sst, toxicity, trie, url_filter, warc
 from roadspan.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,29 @@ s AS (SELECT item_id, i, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score
 FROM s JOIN n USING (i) WHERE score > 0 QUALIFY rank <= 50
 """
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per node of the trie of all rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of the decimal id: a table of 256 entries made by its rule, then one step a digit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)"
+ORACLE_SQL["op12_conversation_trie"] = f"""
+WITH tab AS (SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+t AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, own, {_CRC} % 6 AS h FROM t, tab),
+c AS MATERIALIZED (SELECT h.conv_id, coalesce(b.own[1:h.h], []) || h.own[h.h + 1:] AS s FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 100),
+m AS MATERIALIZED (SELECT conv_id, len(s) AS n, d AS depth, sha256(s[1:d]::VARCHAR) AS node, CASE WHEN d > 0 THEN sha256(s[1:d - 1]::VARCHAR) END AS up, CASE WHEN d > 0 THEN length(s[d].t) ELSE 0 END AS chars
+  FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM c)),
+g AS MATERIALIZED (SELECT depth, node, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars, coalesce(string_agg(CASE WHEN n = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ends FROM m GROUP BY depth, node),
+k AS MATERIALIZED (SELECT g.*, (SELECT count(*) FROM g x WHERE x.depth = g.depth + 1 AND x.up = g.node) AS kids FROM g),
+-- a node's chain upwards is that of its smallest member
+a AS (SELECT k.depth, k.node, x.depth AS top_depth, x.node AS top, k.kids, (k.n - 1) * k.chars AS saved FROM k JOIN m x ON x.conv_id = k.conv_id AND x.depth <= k.depth),
+r AS (SELECT top_depth AS depth, top AS node, count(*) FILTER (kids = 0) AS leaves, sum(saved) AS saved FROM a GROUP BY ALL)
+SELECT k.conv_id, k.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n AS n_convs, k.kids AS n_children, r.leaves AS n_leaves, r.saved::BIGINT AS saved_tokens, sha256(k.ends) AS ends_sha256
+FROM k JOIN r USING (depth, node) LEFT JOIN k p ON p.depth = k.depth - 1 AND p.node = k.up
+"""
