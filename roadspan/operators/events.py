@@ -36,7 +36,7 @@ def overtakes(obs: DataFrame) -> DataFrame:
     pairs = obs.where(F.abs("x_rel") >= 2).select("trace_id", "obj_id", "t_us", "x_rel", "y_rel", x1, y1, t1)
     found = pairs.where((F.col("x_rel") > 0) != (F.col("x_rel1") > 0)).where(F.abs((F.col("y_rel") + F.col("y_rel1")) / 2) <= 8)
     t = F.col("t_us") + F.floor((F.col("t_us1") - F.col("t_us")) / 2)
-    return found.select("trace_id", "obj_id", t.alias("t_us"), F.when(F.col("x_rel") < 0, "vehicle_overtakes_ego").otherwise("ego_overtakes_vehicle").alias("direction"))
+    return found.select("trace_id", "obj_id", t.alias("t_us"), F.when(F.col("x_rel") < 0, "vehicle_overtakes_ego").otherwise("ego_overtakes_vehicle").alias("direction"), ((F.col("y_rel") + F.col("y_rel1")) / 2).alias("lateral_m"))
 
 
 def short_headways(obs: DataFrame, ego: DataFrame, offset_us: int = 0) -> DataFrame:

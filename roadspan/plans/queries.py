@@ -299,7 +299,7 @@ over AS (SELECT trace_id, obj_id, t_us + (t1 - t_us) // 2 AS t_us, CASE WHEN x_r
 
 @query(f"WITH {P.OBS}, {OVER} SELECT * FROM over")
 def overtake(spark, sf_dir):
-    return events.overtakes(P.obs(spark, sf_dir))
+    return events.overtakes(P.obs(spark, sf_dir)).drop("lateral_m")
 
 
 CUT = "cut AS (SELECT trace_id, obj_id, t_us, x_rel FROM (SELECT *, lag(y_rel) OVER (PARTITION BY trace_id, obj_id ORDER BY t_us, obs_ord) AS b FROM obs) z WHERE abs(b) > 1.9 AND abs(y_rel) <= 1.9 AND x_rel > 0 AND x_rel <= 25)"
