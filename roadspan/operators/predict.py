@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from roadspan.functions import exprs as X
 from roadspan.operators.events import by_track
+from roadspan.shared import written
 
 #: Step (s), least clip distance in frames, default speed, limits of a continuation.
 STEP_S, EDGE_FRAMES, ALONE_SPEED = 0.2, 3, 25.0
@@ -80,24 +81,31 @@ def continuation_candidates(ends: DataFrame) -> DataFrame:
     return pairs.withColumn("error", F.abs(bridge - (F.col("va") + F.col("vb")) / 2)).where(F.col("error") <= SPEED_ERROR).select("trace_id", "a", "b", "error")
 
 
-def continuations(ends: DataFrame) -> DataFrame:
-    """One-to-one links: in the order of a, each track takes the candidate of least error that is still free.
+def one_to_one(candidates: DataFrame) -> DataFrame:
+    """(trace_id, a, b): in the order of a, each takes the candidate of least error (then the smaller b) that no earlier one has.
 
-    The choice depends on the ones before it, so a trace's few candidates are
-    walked through in one group.
+    Rounds of proposals: every a asks for its best candidate, every b keeps the
+    first a that asks, and pairs of that b with later ones go, as those can
+    never have it. All b prefer the earlier a, so there is one stable outcome,
+    which is the sequential choice. A round is two grouped minima and a join;
+    it is written, and the last one removes nothing. No trace is one group.
     """
+    left = written(candidates.select("trace_id", "a", "b", "error"), "candidates")
+    n = left.count()
+    while True:
+        asked = left.groupBy("trace_id", "a").agg(F.min(F.struct("error", "b")).alias("m")).select("trace_id", "a", F.col("m.b").alias("b"))
+        held = asked.groupBy("trace_id", "b").agg(F.min("a").alias("first"))
+        left = written(left.join(held, ["trace_id", "b"], "left").where("first is null or a <= first").drop("first"), "candidates")
+        now = left.count()
+        if now == n:
+            return asked
+        n = now
+
+
+def continuations(ends: DataFrame) -> DataFrame:
+    """(trace_id, a, b): the one-to-one links of the candidates."""
+    return one_to_one(continuation_candidates(ends))
 
-    def greedy(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for a, rows in pdf.sort_values(["a", "error", "b"]).groupby("a", sort=True):
-            free = rows[~rows["b"].isin(taken)]
-            if len(free):
-                b = free.iloc[0]["b"]
-                taken.add(b)
-                out.append((key[0], a, b))
-        return pd.DataFrame(out, columns=["trace_id", "a", "b"])
-
-    return continuation_candidates(ends).groupBy("trace_id").applyInPandas(greedy, "trace_id long, a int, b int")
 
 
 def steered(glob: DataFrame, ego: DataFrame, horizon_s: float = 4.0, steer: float = 0.35) -> DataFrame:

@@ -71,3 +71,22 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EDGES = """edges AS (SELECT s_suppkey AS trace_id, n AS line_id, k * 10000000 AS t_us, CASE WHEN n = 0 THEN 1::DOUBLE ELSE -1::DOUBLE END * (2::DOUBLE + CAST((s_suppkey + k * 3) % 5 AS DOUBLE) * 0.5::DOUBLE) AS y
  FROM supplier CROSS JOIN (SELECT range AS n FROM range(0, 2)) a CROSS JOIN (SELECT range AS k FROM range(0, 5)) b)"""
+
+
+def drives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Global tracks along a straight road that break off and go on under another number: every 25th observation on, five are missing, in each fifth trace ten."""
+    order = Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_shipdate", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("n", F.row_number().over(order).cast("long") - 1)
+    s, o, n = F.col("l_suppkey"), F.col("l_linenumber"), F.col("n")
+    rows = rows.where(n % 25 < F.when(s % 5 == 0, 15).otherwise(20))
+    t = n * 400000
+    x = (o % 4 + 18).cast("double") * t / 1e6 + F.col("l_discount") * 2 + o * 6
+    return rows.select(
+        s.alias("trace_id"), (o + 10 * F.floor(n / 25)).cast("int").alias("obj_id"), n.alias("obs_ord"), t.alias("t_us"), (n + 1).cast("int").alias("frame"), x.alias("gx"), ((o % 3 - 1) * 3.5 + F.col("l_discount")).alias("gy"), F.lit(0.0).alias("heading"),
+        (x - t / 1e6 * 20.0).alias("x_rel"), ((o % 3 - 1) * 3.5 + F.col("l_discount")).alias("y_rel"), (1.7 + F.col("l_tax") * 5).alias("width"), (o % 3).cast("string").alias("lane"),
+    )
+
+
+DRIVES = """drives AS MATERIALIZED (SELECT s AS trace_id, CAST(o + 10 * (n // 25) AS INTEGER) AS obj_id, n AS obs_ord, n * 400000 AS t_us, n + 1 AS frame, CAST(o % 4 + 18 AS DOUBLE) * (n * 400000) / 1e6 + l_discount * 2 + o * 6 AS gx, (o % 3 - 1) * 3.5::DOUBLE + l_discount AS gy, 0::DOUBLE AS heading,
+ CAST(o % 4 + 18 AS DOUBLE) * (n * 400000) / 1e6 + l_discount * 2 + o * 6 - (n * 400000) / 1e6 * 20 AS x_rel, (o % 3 - 1) * 3.5::DOUBLE + l_discount AS y_rel, 1.7::DOUBLE + l_tax * 5 AS width, CAST(o % 3 AS VARCHAR) AS lane
+ FROM (SELECT *, l_suppkey AS s, l_linenumber AS o, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_shipdate, l_orderkey, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS n FROM lineitem) z WHERE n % 25 < CASE WHEN s % 5 = 0 THEN 15 ELSE 20 END)"""

@@ -671,7 +671,7 @@ def continuation_candidates(spark, sf_dir):
 
 @query()
 def continuations(spark, sf_dir):
-    return predict.continuations(predict.track_ends(_glob(ship(spark), sf_dir)))
+    return predict.continuations(predict.track_ends(_glob(spark, sf_dir)))
 
 
 @query()
