@@ -206,7 +206,7 @@ class Tree:
         return first, total
 
     def search(self, slots: np.ndarray, weights: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Best first, (documents, scores) that reach the limit; a higher limit may be sent in after each."""
+        """Best first, (documents, scores) that reach the limit; the limit, which may have risen, is sent in after each."""
         top = len(self.levels) - 1
         queue = [(-int(weights @ self.levels[top][slots, 0]), top, 0)] if self.ranges else []
         while queue:
