@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadspan.llm import _bloom
-from roadspan.llm._scratch import written
+from roadspan.llm._scratch import unused, written
 from roadspan.llm._text import NOT_ALPHANUMERIC, U64, bytes_of, gram_hashes, slices, word_hashes
 
 SEED = 5  # tokens in a seed, and in the shortest tile
 COVERAGE = 0.6
 SMALL = 200_000  # seed rows up to this number are broadcast to the exact join
+SMALL_BYTES = 1 << 25  # and items' texts up to this size
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -107,21 +108,18 @@ def _tokens(column: pa.Array) -> list[np.ndarray]:
     return [words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _seeds(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item, text, seed, places, n) of every distinct seed of each item row; items shorter than a seed have none."""
+def _seeds(items: DataFrame) -> DataFrame:
+    """(item, which, seed, places, n) of every distinct seed of each item row (item, text, which); items shorter than a seed have none."""
 
     def run(batches):
         for part in slices(batches, "text"):
             for i, words in enumerate(_tokens(part.column(1))):
                 seed, places = np.unique(gram_hashes(words, SEED), return_counts=True)
                 k = len(seed)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column(0)[i].as_py()] * k, pa.int64()), pa.array([part.column(1)[i].as_py()] * k, pa.binary()), pa.array(seed.view(np.int64)), pa.array(places.astype(np.int64)), pa.array([len(words)] * k, pa.int64())],
-                    names=["item", "item_text", "seed", "places", "n"],
-                )
+                own = [part.column(c).take(pa.array([i] * k, pa.int64())) for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(seed.view(np.int64)), pa.array(places.astype(np.int64)), pa.array([len(words)] * k, pa.int64())], names=["item", "which", "seed", "places", "n"])
 
-    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("text")).distinct()
-    return rows.mapInArrow(run, "item long, item_text binary, seed long, places long, n long")
+    return items.mapInArrow(run, "item long, which long, seed long, places long, n long")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -130,7 +128,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     digest is the SHA-256 of the document's text. Pairs whose shared seeds
     can't add up to ``COVERAGE`` are left out. Null texts share nothing.
     """
-    seeds = written(_seeds(benchmark, item_col, item_text_col), "seeds")
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("binary").alias("text")).distinct()
+    items = written(rows.withColumn("which", F.xxhash64("text")), "items")
+    seeds = written(_seeds(items), "seeds")
     shared = _bloom.share(docs, _bloom.build(seeds, F.col("seed"), 20))
 
     def scan(batches):
@@ -149,11 +149,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     found = plain.mapInArrow(scan, "id long, text binary, seeds array<long>").withColumn("row", F.monotonically_increasing_id())
     suspects = written(found, "suspects")
 
-    small = seeds.count() <= SMALL
-    exact = seeds.select("item", "seed", "places", "n", F.xxhash64("item_text").alias("which"))
-    met = suspects.select("row", F.explode("seeds").alias("seed")).join(F.broadcast(exact) if small else exact, "seed")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    small = seeds.count() <= SMALL and size <= SMALL_BYTES
+    met = suspects.select("row", F.explode("seeds").alias("seed")).join(F.broadcast(seeds) if small else seeds, "seed")
     pairs = met.groupBy("row", "item", "which", "n").agg(F.sum("places").alias("m")).where(SEED * F.col("m") >= COVERAGE * F.col("n"))
-    texts = seeds.select("item", F.xxhash64("item_text").alias("which"), "item_text").distinct()
+    texts = items.select("item", "which", F.col("text").alias("item_text"))
     pairs = pairs.join(F.broadcast(texts) if small else texts, (pairs["item"].eqNullSafe(texts["item"])) & (pairs["which"] == texts["which"])).select("row", pairs["item"], "item_text")
     per_doc = pairs.groupBy("row").agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
 
@@ -204,5 +204,6 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``docs`` without the rows of which an item is covered."""
     hits = written(overlaps(docs, benchmark, id_col, text_col, item_col).where(F.col("coverage") >= COVERAGE).select("id", "digest").distinct(), "covered")
-    keyed = docs.withColumn("__roadspan_digest", F.sha2(F.col(text_col).cast("binary"), 256))
-    return keyed.join(hits, keyed[id_col].eqNullSafe(hits["id"]) & (keyed["__roadspan_digest"] == hits["digest"]), "left_anti").drop("__roadspan_digest")
+    at = unused(docs.columns, "digest")
+    keyed = docs.withColumn(at, F.sha2(F.col(text_col).cast("binary"), 256))
+    return keyed.join(hits, keyed[id_col].eqNullSafe(hits["id"]) & (keyed[at] == hits["digest"]), "left_anti").drop(at)
