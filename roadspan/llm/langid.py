@@ -98,8 +98,9 @@ def train(docs: DataFrame, text_col: str, label_col: str, key_col: str, sample:
 def score(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
     """(index of the best language, its probability) per text, by one sparse product per order.
 
-    Neighbouring n-grams overlap and aren't independent: more than
-    ``SURE_AFTER`` of them weigh as much as that many, next to the prior.
+    The best is that of the full sum. For the probability alone more than
+    ``SURE_AFTER`` n-grams weigh as much as that many, next to the prior:
+    neighbouring ones overlap and aren't independent.
     """
     total = np.zeros((len(texts), len(model.languages)))
     n = np.zeros(len(texts))
@@ -112,7 +113,7 @@ def score(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, np
     z = total / np.maximum(n, 1)[:, None] * np.minimum(n, SURE_AFTER)[:, None] + model.prior
     p = np.exp(z - z.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
-    best = p.argmax(axis=1)
+    best = (total + model.prior).argmax(axis=1)
     return best, p[np.arange(len(texts)), best]
 
 

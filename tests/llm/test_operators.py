@@ -528,3 +528,23 @@ def test_licence_files_and_blocks(spark):
     files = spark.createDataFrame(rows, "path string, text string")
     got = {r.path: (r.licence, r.origin) for r in licenses.scan(files, spark.createDataFrame(licenses.TEMPLATES, "licence string, text string")).collect()}
     assert got == {"m/LICENSE": ("MIT", "file"), "m/src/a.py": ("MIT", "inherited"), "g/a.c": ("GPL-3.0", "header"), "s/a.c": ("MIT", "header"), "s/b.c": ("GPL-2.0-only OR MIT", "header"), "n/a.txt": ("MIT", "header"), "p/a.txt": (None, None), "v/COPYING": ("GPL-3.0", "file"), "v/x.c": ("GPL-3.0", "inherited")}
+
+
+def test_long_items_and_clashing_names(spark):
+    long = " ".join(f"w{i % 9000}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, "before " + long + " after"), (2, "something else that is clean of it"), (3, None)], "doc_id long, text string").withColumns({"__roadspan_digest": F.lit(1), "digest": F.lit(2), "which": F.lit(3), "__n": F.lit(4), "place": F.lit(5)})
+    bench = spark.createDataFrame([(7, long), (8, "five words are not many enough maybe")], "item_id long, text string")
+    left = decontam.remove(docs, bench)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 3]
+    import corpus_pipeline
+
+    twice = docs.union(docs)
+    kept = corpus_pipeline.one_of_each_group(spark, twice, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3] and {r["__n"] for r in kept.collect()} == {4}
+
+
+def test_language_is_that_of_the_full_sum():
+    model = langid.LanguageModel(["a", "b"], np.zeros((1 << langid.LOG2_BUCKETS, 2), np.float32), np.log(np.array([0.999, 0.001], np.float32)))
+    model.log_p[:, 0], model.log_p[:, 1] = -3.02, -3.0
+    best, p = langid.score(["word " * 2000, "w"], model)
+    assert list(best) == [1, 0] and 0 < p[0] < 0.5 < p[1]  # the evidence of all n-grams outweighs the prior
