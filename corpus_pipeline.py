@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadspan.llm import bpe, decontam, langid, ngram_join, toxicity
-from roadspan.llm._scratch import written
+from roadspan.llm._scratch import unused, written
 from roadspan.ship import ship
 
 
@@ -29,10 +29,10 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near copies; of rows with one id the first by text. Rows with a null id stay."""
     groups = written(ngram_join.jaccard_components(docs), "groups")
-    firsts = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    once = docs.join(firsts.where("__rows = 1").select("doc_id"), "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    again = docs.join(firsts.where("__rows > 1").select("doc_id"), "doc_id", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    firsts = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n_rows"))
+    once = docs.join(firsts.where("n_rows = 1").select("doc_id"), "doc_id", "left_semi")
+    order, at = Window.partitionBy("doc_id").orderBy("text"), unused(docs.columns, "place")
+    again = docs.join(firsts.where("n_rows > 1").select("doc_id"), "doc_id", "left_semi").withColumn(at, F.row_number().over(order)).where(F.col(at) == 1).drop(at)
     return once.union(again).union(docs.where("doc_id is null")).select(*docs.columns)
 
 
