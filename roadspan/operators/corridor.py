@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspan.functions import exprs as X
@@ -12,16 +12,25 @@ REACH_M, MARGIN_M, FLOOR_M = 40.0, 0.3, 0.05
 ON_ROAD = ["EGO lane", "1st Left", "2nd Left", "1st Right", "2nd Right"]
 
 
-def nearest_snapshots(obs: DataFrame, lines: DataFrame, bucket_us: int = 1_000_000) -> DataFrame:
+def nearest_snapshots(obs: DataFrame, lines: DataFrame) -> DataFrame:
     """Each observation with every line of its trace, at the line's snapshot that is nearest in time (ties: the earlier).
 
-    A line has a few snapshots, and the choice is made before points are unfolded.
-    lines: trace_id, line_id, t_us, points (array of x, y in the global frame).
+    Observations and snapshot times of a line meet in one sort: the last time
+    before and the first after come from running windows, and only the chosen
+    snapshot's points are joined. lines: trace_id, line_id, t_us, points
+    (array of x, y in the global frame); of snapshots with one time one counts.
     """
-    snaps = lines.select("trace_id", "line_id", F.struct(F.col("t_us").alias("ts"), "points").alias("snap"))
-    met = obs.select("trace_id", "obj_id", "obs_ord", "t_us").join(snaps, "trace_id")
-    gap = F.abs(F.col("snap.ts") - F.col("t_us"))
-    return met.groupBy("trace_id", "obj_id", "obs_ord", "line_id").agg(F.min_by("snap", F.struct(gap, "snap.ts")).alias("snap"))
+    snaps = lines.select("trace_id", "line_id", F.col("t_us").alias("ts"), "points").dropDuplicates(["trace_id", "line_id", "ts"])
+    times = snaps.select("trace_id", "line_id", F.col("ts").alias("t_us"), "ts")
+    asked = obs.select("trace_id", "obj_id", "obs_ord", "t_us").join(lines.select("trace_id", "line_id").distinct(), "trace_id")
+    line = Window.partitionBy("trace_id", "line_id")
+    # each way a running frame: one that ends at the last row would be worked out anew for every row
+    running = lambda t: F.last("ts", ignorenulls=True).over(line.orderBy(t, F.col("ts").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    before, after = running(F.col("t_us").asc()), running(F.col("t_us").desc())
+    met = asked.unionByName(times, allowMissingColumns=True).withColumns({"__a": before, "__b": after}).where("ts is null")
+    near = F.when(F.col("__b").isNull() | (F.col("t_us") - F.col("__a") <= F.col("__b") - F.col("t_us")), F.col("__a")).otherwise(F.col("__b"))
+    chosen = met.select("trace_id", "line_id", "obj_id", "obs_ord", near.alias("ts"))
+    return chosen.join(snaps, ["trace_id", "line_id", "ts"]).select("trace_id", "obj_id", "obs_ord", "line_id", F.struct("ts", "points").alias("snap"))
 
 
 def bounds(obs: DataFrame, lines: DataFrame) -> DataFrame:

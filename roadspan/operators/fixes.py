@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadspan.functions import exprs as X
 from roadspan.operators import corridor, frames, repair, validate, variants
+from roadspan.shared import written
 
 #: Fixed value: largest clamp (m).
 CLAMP_M = 1.5
@@ -27,7 +28,7 @@ def clamp_offroad(bounded: DataFrame) -> DataFrame:
     and lane-labelled boxes stay, and so do those that would move by over
     1.5 m; shifts below 5 cm are left out.
     """
-    out = corridor.excursion(bounded)
+    out = written(corridor.excursion(bounded), "excursions")  # read by the runs and by the rows that they label
     rows = run_labels(out, validate.offroad_runs(out))
     signed = F.when(F.col("side") == "left", -F.col("excursion")).when(F.col("side") == "right", F.col("excursion")).otherwise(0.0)
     departed = F.coalesce(F.col("label") == "departure", F.lit(False))
@@ -47,7 +48,8 @@ def apply_fixes(posed: DataFrame, issues: DataFrame, lines: DataFrame, strength:
     """
     pad = 500_000
     windows = issues.where("category = 'kinematic' and obj_id is not null").select("trace_id", "obj_id", (F.col("t_start") - pad).alias("t_start"), (F.col("t_end") + pad).alias("t_end"))
-    smooth = frames.reproject_relative(repair.smooth_tracks(posed, windows, strength))
+    # bounds read their rows three times
+    smooth = written(frames.reproject_relative(repair.smooth_tracks(written(posed, "posed"), windows, strength)), "smoothed")
     clamped = clamp_offroad(corridor.bounds(smooth, lines))
     clamped = clamped.withColumn("fixed", F.col("fixed") | F.col("clamped"))
     z = F.lit(0.0)

@@ -11,6 +11,7 @@ from roadspan.functions import exprs as X
 from roadspan.operators import corridor, events, fixes, frames, joins, lanes, predict, repair, road, summaries, validate, variants
 from roadspan.operators import reports as R
 from roadspan.plans import projection as P
+from roadspan.shared import written
 from roadspan.ship import ship
 from roadspan.sources import traces
 from roadspan.streaming import sessions as S
@@ -256,7 +257,7 @@ bd AS (SELECT posed.*, left_m, right_m FROM posed LEFT JOIN sd USING (trace_id,
 
 
 def _bounds(spark, sf_dir):
-    return corridor.bounds(_glob(spark, sf_dir), P.edges(spark, sf_dir))
+    return corridor.bounds(written(_glob(spark, sf_dir), "posed"), P.edges(spark, sf_dir))
 
 
 @query(f"{BASE}, {BOUNDS} SELECT trace_id, obj_id, obs_ord, {r6('left_m', 'right_m')} FROM bd")
