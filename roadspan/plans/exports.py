@@ -12,7 +12,8 @@ from roadspan.plans import queries as Q
 from roadspan.plans.queries import query, rounded
 from roadspan.shared import shared_dir, written
 from roadspan.ship import ship
-from roadspan.sources import opendrive
+from roadspan.sources import maps, opendrive
+from roadspan.sources.files import write_in_order
 
 LABELS = ["Traffic Sign", "Highly Reflective Marker", "Highway Accessories", 'Tree & "bush" <old>']
 _label = f"[{', '.join(repr(x) for x in LABELS)}][CAST(obj_id % 4 AS INTEGER) + 1]"
@@ -64,3 +65,33 @@ def opendrive_elements(spark, sf_dir):
     found = opendrive.read_elements(spark, path)
     found = found.na.fill({"number": 0, "kind": "", "name": "", **dict.fromkeys("abcde", 0.0)})
     return found.withColumn("trace_id", F.regexp_extract("path", r"trace-(\d+)\.xodr$", 1).cast("long")).drop("path").select("trace_id", "part", F.col("ord").cast("long").alias("ord"), *[c for c in found.columns if c not in ("path", "part", "ord")])
+
+
+# --- maps ---
+
+MAP_TAGS = ['{"name":"Ring","ref":"B 1","lanes":"3","maxspeed":"50"}', '{"ref":"R1","lanes":"2;3","maxspeed":"30 mph"}', "{}", '{"name":"","ref":"","lanes":"","maxspeed":"none"}']
+
+
+def _boxes(spark, sf_dir):
+    """Extents of the traces, which are spread over fifty places."""
+    poses = Q._latlon(spark, sf_dir)
+    return summaries.extents(poses.withColumn("lat", F.col("lat") + F.col("trace_id") % 50 * 0.002))
+
+
+@query(f"""{Q.LATLON}, lm AS (SELECT trace_id, seq, lat + trace_id % 50 * 0.002::DOUBLE AS lat, lon FROM ll),
+g AS (SELECT trace_id, arg_min(lat, seq) AS lat0, arg_min(lon, seq) AS lon0, round(min(lat) - 100 / 111320.0::DOUBLE, 4) AS a, min(lon) AS b FROM lm GROUP BY 1),
+w AS (SELECT trace_id, lat0, lon0, w, k, a + w * 0.0005::DOUBLE AS lat, round(b - 100 / (111320 * greatest(0.1, cos(radians(lat0)))), 4) + k * 0.001::DOUBLE AS lon FROM g CROSS JOIN (SELECT range AS w FROM range(0, 4)) x CROSS JOIN (SELECT range AS k FROM range(0, 5)) y WHERE trace_id % 50 % 5 <> 0)
+SELECT trace_id, w + 1 AS way_id, CAST(k AS INTEGER) AS k, coalesce(['Ring', 'R1', NULL, NULL][w + 1], '') AS name, CASE WHEN w = 0 THEN 3 ELSE 0 END AS lanes, round(CASE w WHEN 0 THEN 50.0::DOUBLE WHEN 1 THEN 30 * 1.60934::DOUBLE ELSE 0.0::DOUBLE END, 6) AS maxspeed_kph,
+round(radians(lon - lon0) * cos(radians(lat0)) * 6378137, 4) + 0 AS x, round(radians(lat - lat0) * 6378137, 4) + 0 AS y FROM w""")
+def map_overlay(spark, sf_dir):
+    """A map per box, written as files of which each fifth is broken, read again and laid over the traces."""
+    folder = f"{shared_dir(spark)}/maps-{uuid.uuid4().hex}"
+    boxes = _boxes(ship(spark), sf_dir)
+    made = boxes.withColumn("key", maps.box_key(*map(F.col, maps.BOX))).groupBy("key").agg(F.min(F.round("min_lat", 4)).alias("a"), F.min(F.round("min_lon", 4)).alias("b"), F.min(F.col("trace_id") % 50 % 5).alias("m"))
+    w, k = F.sequence(F.lit(0), F.lit(3)), F.sequence(F.lit(0), F.lit(4))
+    ways = F.transform(w, lambda w: F.struct((w + 1).alias("id"), F.transform(k, lambda k: F.array(F.col("a") + w * 0.0005, F.col("b") + k * 0.001)).alias("points"), F.from_json(F.get(F.array(*map(F.lit, MAP_TAGS)), w), "map<string,string>").alias("tags")))
+    text = F.to_json(F.struct(F.lit("osm").alias("provider"), ways.alias("ways")))
+    files = made.select(maps.map_path(folder, "osm", F.col("key")).alias("path"), F.lit(0).alias("o"), F.encode(F.when(F.col("m") == 0, F.substring(text, 1, 40)).otherwise(text), "UTF-8").alias("data"))
+    write_in_order(files, ["o"]).write.format("noop").mode("overwrite").save()
+    out = maps.overlay(boxes, maps.read_maps(spark, folder)).na.fill({"name": "", "lanes": 0, "maxspeed_kph": 0.0})
+    return out.select("trace_id", "way_id", "k", "name", "lanes", F.round("maxspeed_kph", 6).alias("maxspeed_kph"), *((F.round(c, 4) + 0.0).alias(c) for c in ("x", "y")))
