@@ -37,14 +37,21 @@ def interp_asof(obs: DataFrame, ego: DataFrame, offset_us: int = 0) -> DataFrame
 def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], tolerance_us: int = 300_000) -> DataFrame:
     """Each left row with the right row of equal keys that is nearest in time, at most ``tolerance_us`` away.
 
-    Times meet by equi-join on buckets of the tolerance's width, so no key's
-    rows are paired off as a whole. Ties go to the earlier time, then to the
-    largest ordinal. left: keys, id columns, t_us; right: keys, t_us, ord and
-    payload columns, which the result holds as the struct ``near``.
+    Both sides are put together and sorted once per key, forth and back: running
+    windows bring the last right row up to each time and the first from it on,
+    so nothing is paired off and repeated left rows stay. Ties go to the
+    earlier time, then to the largest ordinal; rows without a time, left rows
+    without a partner and null keys are left out. left: keys, id columns, t_us;
+    right: keys, t_us, ord and payload columns, which the result holds as the
+    struct ``near``.
     """
-    t, width = F.col("t_us"), F.lit(tolerance_us)
-    l = left.withColumn("__row", F.struct(*left.columns)).withColumn("__b", F.floor(t / width))  # noqa: E741
-    r = right.select(*keys, F.struct(*right.columns).alias("near"), F.explode(F.array(*(F.floor(t / width) + d for d in (-1, 0, 1)))).alias("__b"))
-    gap = F.abs(F.col("near.t_us") - F.col("t_us"))
-    best = l.join(r, [*keys, "__b"]).where(gap <= tolerance_us).groupBy("__row").agg(F.min_by("near", F.struct(gap, "near.t_us", -F.col("near.ord"))).alias("near"))
-    return best.select("__row.*", "near")
+    known = " and ".join(f"{k} is not null" for k in [*keys, "t_us"])
+    part = [F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]
+    r = right.where(known).select(*part, F.col("t_us").alias("__t"), F.lit(0).alias("__k"), F.col("ord").cast("long").alias("__ord"), F.struct(*right.columns).alias("__r"))
+    l = left.where(known).select(*part, F.col("t_us").alias("__t"), F.lit(1).alias("__k"), F.struct(*left.columns).alias("__l"))  # noqa: E741
+    w = Window.partitionBy(*(f"__key{i}" for i in range(len(keys))))
+    so_far = lambda t: F.last("__r", ignorenulls=True).over(w.orderBy(t, "__k", "__ord").rowsBetween(Window.unboundedPreceding, 0))
+    met = r.unionByName(l, allowMissingColumns=True).withColumns({"__a": so_far(F.col("__t")), "__b": so_far(F.desc("__t"))}).where("__k = 1")
+    before, after = F.col("__t") - F.col("__a.t_us"), F.col("__b.t_us") - F.col("__t")
+    near = F.when(F.col("__b").isNull() | (before <= after), F.col("__a")).otherwise(F.col("__b"))
+    return met.withColumn("near", near).where(F.abs(F.col("near.t_us") - F.col("__t")) <= tolerance_us).select("__l.*", "near")
