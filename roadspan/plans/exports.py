@@ -95,3 +95,21 @@ def map_overlay(spark, sf_dir):
     write_in_order(files, ["o"]).write.format("noop").mode("overwrite").save()
     out = maps.overlay(boxes, maps.read_maps(spark, folder)).na.fill({"name": "", "lanes": 0, "maxspeed_kph": 0.0})
     return out.select("trace_id", "way_id", "k", "name", "lanes", F.round("maxspeed_kph", 6).alias("maxspeed_kph"), *((F.round(c, 4) + 0.0).alias(c) for c in ("x", "y")))
+
+
+# --- road edges ---
+
+
+@query(f"""WITH {P.EGO}, e AS (SELECT trace_id, l AS line_id, seq AS ord, x_m AS x, y_m + CASE WHEN l = 0 THEN 4.1 ELSE -7.3 END::DOUBLE AS y, CASE WHEN l = 0 THEN 'left' ELSE 'right' END AS side FROM ego CROSS JOIN (SELECT range AS l FROM range(0, 2)) r WHERE seq % 7 = 0),
+g AS (SELECT *, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, sqrt((lead(x) OVER w - x) ** 2 + (lead(y) OVER w - y) ** 2) AS seg FROM e WINDOW w AS (PARTITION BY trace_id, line_id ORDER BY ord)),
+c AS (SELECT *, sum(seg) OVER (PARTITION BY trace_id, line_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS s1 FROM g WHERE seg >= 0.000001),
+t AS (SELECT *, unnest(range(CAST(floor(s0 / 4) AS BIGINT) + 1, CAST(ceil(s1 / 4) AS BIGINT))) AS k FROM (SELECT *, coalesce(lag(s1) OVER (PARTITION BY trace_id, line_id ORDER BY ord), 0) AS s0 FROM c) z),
+p AS (SELECT trace_id, line_id, k, x + dx * (k * 4 - s0) / seg AS px, y + dy * (k * 4 - s0) / seg AS py, CASE WHEN side = 'left' THEN 1.1 ELSE -1.1 END::DOUBLE / seg AS f, dx, dy FROM t)
+SELECT trace_id, line_id, k, round(px, 5) + 0 AS x, round(py, 5) + 0 AS y, round(px - dy * f, 5) + 0 AS x_end, round(py + dx * f, 5) + 0 AS y_end FROM p""")
+def edge_ticks(spark, sf_dir):
+    """Ticks along a left and a right edge beside each seventh pose."""
+    line = F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))
+    left = F.col("line_id") == 0
+    edges = P.ego(spark, sf_dir).where("seq % 7 = 0").select("trace_id", line.alias("line_id"), F.col("seq").alias("ord"), F.col("x_m").alias("x"), "y_m")
+    edges = edges.withColumns({"y": F.col("y_m") + F.when(left, 4.1).otherwise(-7.3), "side": F.when(left, "left").otherwise("right")})
+    return road.edge_ticks(edges).withColumns({c: F.round(c, 5) + 0.0 for c in ("x", "y", "x_end", "y_end")})
