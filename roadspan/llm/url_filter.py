@@ -16,7 +16,8 @@ from roadspan.llm import _bloom
 from roadspan.llm._scratch import unused
 
 LOG2_BYTES = 20
-SMALL = 50_000  # rules up to this number are broadcast to the exact join
+SMALL = 8 << 20  # bytes of rules up to which they are broadcast to the exact join
+PARTS = 16  # parts that the rows of one url are dealt to when they meet its verdict
 LENGTHS = 4096  # most distinct path lengths in a list
 UNLISTED = "allow"
 
@@ -38,7 +39,10 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
     the path starts with the rule's; the longest (host and path together, then
     the longer host) wins. No rule: null and ``allow``. Null urls have empty
     host and path, which fit no rule with a host. Rules with null or empty
-    host fit nothing; of repeated rules the smallest verdict holds.
+    host fit nothing; of repeated rules the smallest verdict holds. Repeated
+    pages are judged alike and kept, an empty table gives an empty one, without
+    rules all is allowed. A very long url has a candidate for each label of its
+    host and listed length of path, whatever its own length.
     """
     spark = pages.sparkSession
     base = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host(F.col(url_col)), "path": path(F.col(url_col))})
@@ -46,7 +50,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
     lengths = sorted(r[0] for r in listed.select(F.length("p")).distinct().limit(LENGTHS + 1).collect())
     if len(lengths) > LENGTHS:
         raise ValueError(f"rules have over {LENGTHS} distinct path lengths")
-    size = listed.count()
+    size = listed.agg(F.sum(F.octet_length("h") + F.octet_length("p") + F.octet_length(F.coalesce("verdict", F.lit(""))) + 64)).first()[0] or 0
     shared = _bloom.share(pages, _bloom.build(listed, F.xxhash64("h", "p"), LOG2_BYTES))
 
     def probe(batches):
@@ -65,5 +69,9 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
     hits = passed.join(F.broadcast(listed) if size <= SMALL else listed, ["h", "p"])
     won = unused([*base.columns, "rule", "verdict"], "won")
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(F.concat("h", "p")), F.length("h"), F.concat("h", "p").alias("rule"), F.col("verdict").alias("v"))).alias(won))
-    judged = base.join(best, ["host", "path"], "left").withColumns({"rule": F.col(f"{won}.rule"), "verdict": F.coalesce(f"{won}.v", F.lit(UNLISTED))})
+    # rows of a common url are dealt to parts that all know its verdict; rows without a host have none to meet and stay spread
+    part = unused([*base.columns, "rule", "verdict"], "part")
+    dealt = base.withColumn(part, F.when(F.col("host") == "", F.spark_partition_id()).otherwise(F.pmod(F.spark_partition_id(), F.lit(PARTS))))
+    spread = best.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    judged = dealt.join(spread, ["host", "path", part], "left").withColumns({"rule": F.col(f"{won}.rule"), "verdict": F.coalesce(f"{won}.v", F.lit(UNLISTED))})
     return judged.select(*base.columns, "rule", "verdict")

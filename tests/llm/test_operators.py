@@ -252,6 +252,13 @@ def test_url_filter(spark):
     tied = spark.createDataFrame([("allow", "b.org", "/x"), ("block", "a.b.org", ""), ("block", "c.org", "/"), ("allow", "c.org", "/")], "verdict string, host string, path string")
     again = spark.createDataFrame([(1, "http://a.b.org/x"), (1, "http://a.b.org/x"), (2, "http://c.org/")], "page_id long, url string")
     assert _rows(url_filter.judge(again, tied), "page_id", "rule", "verdict") == [(1, "a.b.org", "block"), (1, "a.b.org", "block"), (2, "c.org/", "allow")]
+    # most rows without a host, a third of one url, in many partitions, a long url, and columns named as working ones
+    many = spark.range(0, 3000, 1, 40).selectExpr("id as page_id", "case id % 3 when 0 then 'http://a.b.org/x' when 1 then null else 'no host' end as url", "'clash' as part", "'clash' as _part")
+    long = spark.createDataFrame([(-1, "http://c.org/" + "y" * 300_000)], "page_id long, url string").withColumns({"part": F.lit("clash"), "_part": F.lit("clash")})
+    judged = url_filter.judge(many.union(long), tied)
+    assert judged.columns == ["page_id", "url", "part", "_part", "host", "path", "rule", "verdict"]
+    counts = {(r.rule, r.verdict, r.part): r["count"] for r in judged.groupBy("rule", "verdict", "part").count().collect()}
+    assert counts == {("a.b.org", "block", "clash"): 1000, ("c.org/", "allow", "clash"): 1, (None, "allow", "clash"): 2000}
 
 
 def test_language(spark, docs):
