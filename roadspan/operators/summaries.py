@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadspan.shared import written
+
 
 def count_by(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -25,9 +27,17 @@ def lead_vehicle(obs: DataFrame) -> DataFrame:
 
 
 def issue_report(issues: DataFrame) -> DataFrame:
-    """Counts per trace for the report: total and by severity."""
-    n = lambda s: F.count_if(F.col("severity") == s).alias(s)
-    return issues.groupBy("trace_id").agg(F.count("*").alias("total"), n("high"), n("medium"), n("low"))
+    """Counts per trace for the report: total, by severity, fixed and unfixed, and a map by category.
+
+    Issues may carry a boolean ``fixed``; without it, or where it is null, they are unfixed. A null category is the empty one.
+    """
+    n = lambda s: F.sum(F.when(F.col("severity") == s, F.col("n")).otherwise(0)).alias(s)
+    done = F.coalesce("fixed", F.lit(False)) if "fixed" in issues.columns else F.lit(False)
+    counts = issues.groupBy("trace_id", F.coalesce("category", F.lit("")).alias("category"), "severity", done.alias("done")).agg(F.count("*").alias("n"))
+    per = counts.groupBy("trace_id", "category").agg(F.sum("n").alias("total"), n("high"), n("medium"), n("low"), F.sum(F.when(F.col("done"), F.col("n")).otherwise(0)).alias("fixed"))
+    sums = [F.sum(c).alias(c) for c in ("total", "high", "medium", "low", "fixed")]
+    named = F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "total")))).alias("by_category")  # a handful of categories
+    return per.groupBy("trace_id").agg(*sums, named).withColumn("unfixed", F.col("total") - F.col("fixed"))
 
 
 def severity_rollup(issues: DataFrame) -> DataFrame:
@@ -65,6 +75,25 @@ def neighbours(rows: DataFrame, group: str, key: str, order: str) -> DataFrame:
     return rows.select(group, key, F.coalesce(F.lag(key).over(w), F.last(key).over(whole)).alias("previous"), F.coalesce(F.lead(key).over(w), F.first(key).over(whole)).alias("next"))
 
 
+def neighbours_in_all(rows: DataFrame, key: str, order: str, like: str | None = None) -> DataFrame:
+    """(key, previous, next) in the order of the whole table, or of the rows whose key holds ``like``, wrapping around at its ends.
+
+    The order is without regard to case, then by name and key. Rows are sorted by ranges, so no task holds them
+    all; only the first and last key of each range, one row a range, are put side by side.
+    """
+    kept = rows.select(F.col(key).alias("__key"), F.lower(order).alias("__low"), F.col(order).alias("__name"))
+    kept = kept.where(F.contains("__low", F.lit(like.lower()))) if like else kept
+    by = ["__low", "__name", "__key"]
+    ranged = written(kept.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, *by).withColumn("__part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("__part").orderBy(*by)
+    ends = ranged.groupBy("__part").agg(F.min_by("__key", F.struct(*by)).alias("__first"), F.max_by("__key", F.struct(*by)).alias("__last"))
+    across = Window.partitionBy(F.lit(0)).orderBy("__part")  # one row a range
+    whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sides = ends.select("__part", F.coalesce(F.lag("__last").over(across), F.last("__last").over(whole)).alias("__before"), F.coalesce(F.lead("__first").over(across), F.first("__first").over(whole)).alias("__after"))
+    near = ranged.withColumns({"__lag": F.lag("__key").over(w), "__lead": F.lead("__key").over(w)}).join(F.broadcast(sides), "__part")
+    return near.select(F.col("__key").alias(key), F.coalesce("__lag", "__before").alias("previous"), F.coalesce("__lead", "__after").alias("next"))
+
+
 def gap_clusters(values: DataFrame, keys: list[str], value: str, gap: float) -> DataFrame:
     """One-dimensional clusters of values at most ``gap`` apart: size and upper-middle element."""
     w = Window.partitionBy(*keys).orderBy(value)

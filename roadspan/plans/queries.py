@@ -234,9 +234,15 @@ def issue_counts(spark, sf_dir):
     return summaries.count_by(_issues(spark, sf_dir), "trace_id", "category", "severity")
 
 
-@query(f"{ALL_ISSUES} SELECT trace_id, count(*) AS total, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM iss GROUP BY 1")
+@query(f"""{ALL_ISSUES}, mk AS (SELECT *, t_end - t_start < 100000 AS fixed FROM iss),
+bc AS (SELECT trace_id, string_agg(category || '=' || n, ',' ORDER BY category) AS by_category FROM (SELECT trace_id, category, count(*) AS n FROM iss GROUP BY ALL) z GROUP BY 1)
+SELECT trace_id, count(*) AS total, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low,
+count(*) FILTER (fixed) AS fixed, count(*) FILTER (NOT fixed) AS unfixed, any_value(by_category) AS by_category FROM mk JOIN bc USING (trace_id) GROUP BY 1""")
 def issue_report_counts(spark, sf_dir):
-    return summaries.issue_report(_issues(spark, sf_dir))
+    """Issues of under 0.1 s count as fixed here."""
+    report = summaries.issue_report(_issues(spark, sf_dir).withColumn("fixed", F.expr("t_end - t_start < 100000")))
+    shown = F.transform(F.map_entries("by_category"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return report.withColumn("by_category", F.array_join(shown, ","))
 
 
 @query(f"{ALL_ISSUES} SELECT category, severity, count(*) AS n FROM iss GROUP BY ROLLUP (category, severity)")
@@ -420,6 +426,13 @@ def trace_neighbor(spark, sf_dir):
     return summaries.neighbours(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_nationkey", "s_suppkey", "s_name")
 
 
+@query("""SELECT c_custkey, coalesce(lag(c_custkey) OVER w, last(c_custkey) OVER a) AS previous, coalesce(lead(c_custkey) OVER w, first(c_custkey) OVER a) AS next FROM customer WHERE contains(lower(c_name), '7')
+WINDOW w AS (ORDER BY lower(c_name), c_name, c_custkey), a AS (ORDER BY lower(c_name), c_name, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def name_neighbors(spark, sf_dir):
+    """Previous and next over the whole order of those names that hold a 7."""
+    return summaries.neighbours_in_all(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey", "c_name", "7")
+
+
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50")
 def manifest_tail(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id", "event_type")
