@@ -2,55 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from roadspan.functions import exprs as X
+from pyspark.sql import types as T
 
 #: Reach along x (m), margin and floor of an excursion (m), lane labels of vehicles on the road.
 REACH_M, MARGIN_M, FLOOR_M = 40.0, 0.3, 0.05
+#: Rows by points of a snapshot that are compared at once.
+BLOCK = 1 << 18
 ON_ROAD = ["EGO lane", "1st Left", "2nd Left", "1st Right", "2nd Right"]
 
 
-def nearest_snapshots(obs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Each observation with every line of its trace, at the line's snapshot that is nearest in time (ties: the earlier).
-
-    Observations and snapshot times of a line meet in one sort: the last time
-    before and the first after come from running windows, and only the chosen
-    snapshot's points are joined. lines: trace_id, line_id, t_us, points
-    (array of x, y in the global frame); of snapshots with one time one counts.
-    """
-    snaps = lines.select("trace_id", "line_id", F.col("t_us").alias("ts"), "points").dropDuplicates(["trace_id", "line_id", "ts"])
-    times = snaps.select("trace_id", "line_id", F.col("ts").alias("t_us"), "ts")
-    asked = obs.select("trace_id", "obj_id", "obs_ord", "t_us").join(lines.select("trace_id", "line_id").distinct(), "trace_id")
-    line = Window.partitionBy("trace_id", "line_id")
-    # each way a running frame: one that ends at the last row would be worked out anew for every row
-    running = lambda t: F.last("ts", ignorenulls=True).over(line.orderBy(t, F.col("ts").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-    before, after = running(F.col("t_us").asc()), running(F.col("t_us").desc())
-    met = asked.unionByName(times, allowMissingColumns=True).withColumns({"__a": before, "__b": after}).where("ts is null")
-    near = F.when(F.col("__b").isNull() | (F.col("t_us") - F.col("__a") <= F.col("__b") - F.col("t_us")), F.col("__a")).otherwise(F.col("__b"))
-    chosen = met.select("trace_id", "line_id", "obj_id", "obs_ord", near.alias("ts"))
-    return chosen.join(snaps, ["trace_id", "line_id", "ts"]).select("trace_id", "obj_id", "obs_ord", "line_id", F.struct("ts", "points").alias("snap"))
-
-
 def bounds(obs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``obs`` (with ex, ey, eyaw) and the innermost border to the left (y > 0) and right, in the ego's frame at its time; null without one."""
-    snap = nearest_snapshots(obs, lines).join(obs.select("trace_id", "obj_id", "obs_ord", "x_rel", "ex", "ey", "eyaw"), ["trace_id", "obj_id", "obs_ord"])
+    """``obs`` (with ex, ey, eyaw) and the innermost border to the left (y > 0) and right, in the ego's frame at its time; null without one.
+
+    Each line counts with its snapshot that is nearest in time (ties: the
+    earlier), and of that with the point nearest along x, the first of equals,
+    if it is in reach. lines: trace_id, line_id, t_us, points (array of x, y in
+    the global frame); of snapshots with one time one counts.
 
-    def own(p):
-        x, y = X.global_to_body(p["x"], p["y"], F.col("ex"), F.col("ey"), F.col("eyaw"))
-        return F.struct(F.abs(x - F.col("x_rel")).alias("gap"), y.alias("y"))
+    A trace's rows and lines meet by one exchange on the trace. Points of a
+    snapshot are turned for blocks of rows at once, so what is held at a time
+    is bounded; a trace is one recording of bounded length.
+    """
+    turned = obs.withColumns({"__cos": F.cos("eyaw"), "__sin": F.sin("eyaw")})
+    named = lines.where("trace_id is not null").select("trace_id", "line_id", F.col("t_us").alias("ts"), "points")
 
-    # the point nearest along x, the first of equals, if it is in reach
-    def nearer(acc, p):
-        return F.when(acc.isNull() | (p["gap"] < acc["gap"]), p).otherwise(acc)
+    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+        floats = lambda c: rows.column(c).cast(pa.float64()).to_numpy().astype(float)
+        x_rel, ex, ey, cos, sin = map(floats, ("x_rel", "ex", "ey", "__cos", "__sin"))
+        left, right = np.full(len(rows), np.inf), np.full(len(rows), -np.inf)
+        t = rows.column("t_us").fill_null(np.iinfo(np.int64).min // 4).to_numpy()
+        ids, times = own.column("line_id").to_pylist(), own.column("ts").to_pylist()
+        points = own.column("points").combine_chunks()
+        snaps = {}
+        for i in np.flatnonzero(points.is_valid()):
+            if times[i] is not None:
+                snaps.setdefault(ids[i], {}).setdefault(times[i], i)
+        for found in snaps.values():
+            at = np.array(sorted(found), dtype=np.int64)
+            # a snapshot holds from the first time that is nearer to it than to the one before
+            near = np.searchsorted((at[:-1] + at[1:]) // 2 + 1, t, side="right")
+            for k in np.unique(near):
+                p = points[int(found[int(at[k])])].values
+                px, py = (p.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y"))
+                of = np.flatnonzero(near == k)
+                for r in np.array_split(of, 1 + len(of) * len(px) // BLOCK) if len(px) else ():
+                    dx, dy, c, s = px - ex[r, None], py - ey[r, None], cos[r, None], sin[r, None]
+                    gap = np.abs(dx * c + dy * s - x_rel[r, None])
+                    gap[np.isnan(gap)] = np.inf
+                    j = (np.arange(len(r)), gap.argmin(axis=1))
+                    y = np.where(gap[j] <= REACH_M, (dy * c - dx * s)[j], np.nan)
+                    left[r] = np.fmin(left[r], np.where(y > 0, y, np.nan))
+                    right[r] = np.fmax(right[r], np.where(y <= 0, y, np.nan))
+        out = rows.drop_columns(["__cos", "__sin"])
+        for name, v in (("left_m", left), ("right_m", right)):
+            out = out.append_column(name, pa.array(v, mask=~np.isfinite(v)))
+        return out
 
-    points = F.transform("snap.points", own)
-    best = F.aggregate(points, F.get(F.slice(points, 1, 1), F.lit(0)), nearer)
-    near = snap.withColumn("b", best).where(F.col("b.gap") <= REACH_M)
-    y = F.col("b.y")
-    sides = near.groupBy("trace_id", "obj_id", "obs_ord").agg(F.min(F.when(y > 0, y)).alias("left_m"), F.max(F.when(y <= 0, y)).alias("right_m"))
-    return obs.join(sides, ["trace_id", "obj_id", "obs_ord"], "left")
+    schema = T.StructType([*obs.schema, T.StructField("left_m", T.DoubleType()), T.StructField("right_m", T.DoubleType())])
+    return turned.groupBy("trace_id").cogroup(named.groupBy("trace_id")).applyInArrow(run, schema)
 
 
 def excursion(rows: DataFrame) -> DataFrame:

@@ -13,13 +13,6 @@ from roadspan.shared import written
 CLAMP_M = 1.5
 
 
-def run_labels(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """``rows`` with the label of the off-road run that they are in, else null."""
-    spans = runs.select("trace_id", "obj_id", F.col("t_start").alias("__a"), F.col("t_end").alias("__b"), "label")
-    inside = rows.where("excursion > 0").select("trace_id", "obj_id", "obs_ord", "t_us").join(spans, ["trace_id", "obj_id"]).where("t_us between __a and __b")
-    return rows.join(inside.select("trace_id", "obj_id", "obs_ord", "label"), ["trace_id", "obj_id", "obs_ord"], "left")
-
-
 def clamp_offroad(bounded: DataFrame) -> DataFrame:
     """Boxes slightly outside of the corridor moved back to its edge, along the ego's y axis and at a limited rate.
 
@@ -28,8 +21,7 @@ def clamp_offroad(bounded: DataFrame) -> DataFrame:
     and lane-labelled boxes stay, and so do those that would move by over
     1.5 m; shifts below 5 cm are left out.
     """
-    out = written(corridor.excursion(bounded), "excursions")  # read by the runs and by the rows that they label
-    rows = run_labels(out, validate.offroad_runs(out))
+    rows = validate.run_labels(corridor.excursion(bounded))
     signed = F.when(F.col("side") == "left", -F.col("excursion")).when(F.col("side") == "right", F.col("excursion")).otherwise(0.0)
     departed = F.coalesce(F.col("label") == "departure", F.lit(False))
     rows = rows.withColumns({"departed": departed, "too_large": ~departed & (F.abs(signed) > CLAMP_M)})
@@ -48,7 +40,6 @@ def apply_fixes(posed: DataFrame, issues: DataFrame, lines: DataFrame, strength:
     """
     pad = 500_000
     windows = issues.where("category = 'kinematic' and obj_id is not null").select("trace_id", "obj_id", (F.col("t_start") - pad).alias("t_start"), (F.col("t_end") + pad).alias("t_end"))
-    # bounds read their rows three times
     smooth = written(frames.reproject_relative(repair.smooth_tracks(written(posed, "posed"), windows, strength)), "smoothed")
     clamped = clamp_offroad(corridor.bounds(smooth, lines))
     clamped = clamped.withColumn("fixed", F.col("fixed") | F.col("clamped"))
@@ -58,7 +49,10 @@ def apply_fixes(posed: DataFrame, issues: DataFrame, lines: DataFrame, strength:
 
 
 def fix_summary(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(trace_id, obj_id, n_fixed, dropped, departures, too_large) per vehicle that anything was done to or declined for."""
+    """(trace_id, obj_id, n_fixed, dropped, departures, too_large) per vehicle that anything was done to or declined for.
+
+    before: all observations; only their trace_id and obj_id are read.
+    """
     had = before.groupBy("trace_id", "obj_id").agg(F.count("*").alias("had"))
     did = after.groupBy("trace_id", "obj_id").agg(F.count("*").alias("have"), F.count_if("fixed").alias("n_fixed"), F.count_if("departed").alias("departures"), F.count_if("too_large").alias("too_large"))
     rows = had.join(did, ["trace_id", "obj_id"]).withColumn("dropped", F.col("had") - F.col("have"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspan.functions import exprs as X
@@ -12,6 +12,8 @@ from roadspan.operators.joins import nearest_within
 
 #: Least time and length (m) of a course.
 COURSE_US, COURSE_M = 1_000_000, 1.5
+#: What a run's judgement reads of a row.
+RUN_COLUMNS = ("trace_id", "obj_id", "obs_ord", "t_us", "excursion", "side", "gx", "gy", "zrot")
 
 
 def _worst(*levels):
@@ -78,27 +80,27 @@ def pair_overlaps(glob: DataFrame) -> DataFrame:
     return near.where(close & hit).select("trace_id", "obj_id", "other", "t_us").distinct()
 
 
-def offroad_runs(rows: DataFrame) -> DataFrame:
-    """Runs of consecutive observations with ``excursion`` > 0: bounds, peak, its side, the turn, and whether the track ends in it.
-
-    A departure peaks at 4 m or more, or at 2 m and lasts to the track's end or
-    turns by 10 degrees. The turn is between the course of at least 1 s before
-    the run and the run's own; where either has under 1.5 m (or ``rows`` has no
-    gx, gy) it is the largest angle to the ego's axis.
-    """
+def _marked(rows: DataFrame) -> DataFrame:
+    """``rows`` with the number of the run (``__run``) that they are in or behind, and what a run's judgement needs of each."""
     whole = Window.partitionBy("trace_id", "obj_id")
     off = F.col("excursion") > 0
     new = F.when(off & ~F.coalesce(F.lag(off).over(by_track()), F.lit(False)), 1).otherwise(0)
     placed = {"gx", "gy"} <= set(rows.columns)
     at = F.struct("t_us", "obs_ord", *(F.col(c) if placed else F.lit(None).cast("double").alias(c) for c in ("gx", "gy")))
     earlier = Window.partitionBy("trace_id", "obj_id").orderBy("t_us").rangeBetween(Window.unboundedPreceding, -COURSE_US)
-    marked = rows.withColumns({"__new": new, "__last": F.max("t_us").over(whole), "__at": at, "__base": F.coalesce(F.max(at).over(earlier), F.min(at).over(whole))})
-    marked = marked.withColumn("__run", F.sum("__new").over(by_track().rowsBetween(Window.unboundedPreceding, 0)))
-    runs = marked.where(off).groupBy("trace_id", "obj_id", "__run").agg(
-        F.min("t_us").alias("t_start"), F.max("t_us").alias("t_end"), F.max("excursion").alias("peak_m"), F.max_by("side", F.struct("excursion", -F.col("obs_ord"))).alias("side"), (F.max("t_us") == F.max("__last")).alias("to_end"),
-        F.min(F.struct("__at", "__base")).alias("__a"), F.max("__at").alias("__b"), F.max(X.axis_angle(F.col("zrot"))).alias("__axis"),
-    )
+    marked = rows.withColumns({"__off": F.coalesce(off, F.lit(False)), "__new": new, "__last": F.max("t_us").over(whole), "__at": at, "__base": F.coalesce(F.max(at).over(earlier), F.min(at).over(whole))})
+    return marked.withColumn("__run", F.sum("__new").over(by_track().rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _of_run() -> dict[str, Column]:
+    """Aggregates over the rows of one run."""
+    return {
+        "t_start": F.min("t_us"), "t_end": F.max("t_us"), "peak_m": F.max("excursion"), "side": F.max_by("side", F.struct("excursion", -F.col("obs_ord"))), "to_end": F.max("t_us") == F.max("__last"),
+        "__a": F.min(F.struct("__at", "__base")), "__b": F.max("__at"), "__axis": F.max(X.axis_angle(F.col("zrot"))),
+    }
+
 
+def _judged(runs: DataFrame) -> DataFrame:
     def course(a, b):
         dx, dy = F.col(f"{b}.gx") - F.col(f"{a}.gx"), F.col(f"{b}.gy") - F.col(f"{a}.gy")
         return F.when(F.hypot(dx, dy) >= COURSE_M, F.degrees(F.atan2(dy, dx)))
@@ -108,6 +110,27 @@ def offroad_runs(rows: DataFrame) -> DataFrame:
     return runs.withColumn("label", F.when((F.col("peak_m") >= 4) | (F.col("peak_m") >= 2) & (F.col("to_end") | (F.col("turn_deg") >= 10)), "departure").otherwise("noise"))
 
 
+def offroad_runs(rows: DataFrame) -> DataFrame:
+    """Runs of consecutive observations with ``excursion`` > 0: bounds, peak, its side, the turn, and whether the track ends in it.
+
+    A departure peaks at 4 m or more, or at 2 m and lasts to the track's end or
+    turns by 10 degrees. The turn is between the course of at least 1 s before
+    the run and the run's own; where either has under 1.5 m (or ``rows`` has no
+    gx, gy) it is the largest angle to the ego's axis.
+    """
+    return _judged(_marked(rows).where("__off").groupBy("trace_id", "obj_id", "__run").agg(*(v.alias(k) for k, v in _of_run().items())))
+
+
+def run_labels(rows: DataFrame) -> DataFrame:
+    """``rows`` with the label of the off-road run (``offroad_runs``) that they are part of, else null. Windows only: no join, no exchange of its own."""
+    one = Window.partitionBy("trace_id", "obj_id", "__run", "__off")
+    known = {"peak_m", "to_end", "__a", "__b", "__axis"}
+    marked = _marked(rows.select(F.struct(*rows.columns).alias("__row"), *(c for c in rows.columns if c in RUN_COLUMNS)))
+    parts = {k: v for k, v in _of_run().items() if k in known and k != "to_end"} | {"__end": F.max("t_us"), "__till": F.max("__last")}
+    runs = marked.withColumns({k: v.over(one) for k, v in parts.items()}).withColumn("to_end", F.col("__end") == F.col("__till"))
+    return _judged(runs).select("__row.*", F.when(F.col("__off"), F.col("label")).alias("label"))
+
+
 def issues(obs_global: DataFrame, ego: DataFrame, excursions: DataFrame) -> DataFrame:
     """(trace_id, category, severity, obj_id, t_start, t_end) of all rules; excursions: see ``offroad_runs``.
 

@@ -72,5 +72,7 @@ def rate_limited(corrections: DataFrame, keys: list[str], time: str, value: str,
     w = Window.partitionBy(*keys).orderBy(time, *(order or []))
     gain = F.col(time) / 1e6 * per_second
     forward = F.min(F.abs(F.col(value)) - gain).over(w.rowsBetween(Window.unboundedPreceding, 0)) + gain
-    backward = F.min(F.col("__size") + gain).over(w.rowsBetween(0, Window.unboundedFollowing)) - gain
+    # from the end on: a frame that ends at the last row would be worked out anew for every row
+    back = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in (time, *(order or []))))
+    backward = F.min(F.col("__size") + gain).over(back.rowsBetween(Window.unboundedPreceding, 0)) - gain
     return corrections.withColumn("__size", forward).withColumn(value, F.signum(value) * backward).drop("__size")

@@ -11,7 +11,6 @@ from roadspan.functions import exprs as X
 from roadspan.operators import corridor, events, fixes, frames, joins, lanes, predict, repair, road, summaries, validate, variants
 from roadspan.operators import reports as R
 from roadspan.plans import projection as P
-from roadspan.shared import written
 from roadspan.ship import ship
 from roadspan.sources import traces
 from roadspan.streaming import sessions as S
@@ -263,7 +262,7 @@ bd AS (SELECT posed.*, left_m, right_m FROM posed LEFT JOIN sd USING (trace_id,
 
 
 def _bounds(spark, sf_dir):
-    return corridor.bounds(written(_glob(spark, sf_dir), "posed"), P.edges(spark, sf_dir))
+    return corridor.bounds(_glob(spark, sf_dir), P.edges(spark, sf_dir))
 
 
 @query(f"{BASE}, {BOUNDS} SELECT trace_id, obj_id, obs_ord, {r6('left_m', 'right_m')} FROM bd")
@@ -582,9 +581,8 @@ def clamp_offroad(spark, sf_dir):
 sm AS (SELECT trace_id, obj_id, count(*) FILTER (clamped AND (NOT tail OR n = 1)) AS n_fixed, count(*) FILTER (tail AND n > 1) AS dropped, count(*) FILTER (departed AND (NOT tail OR n = 1)) AS departures, count(*) FILTER (too_large AND (NOT tail OR n = 1)) AS too_large FROM tb GROUP BY 1, 2)
 SELECT * FROM sm WHERE n_fixed + dropped + departures + too_large > 0""")
 def fix_summary(spark, sf_dir):
-    bounded = _bounds(spark, sf_dir)
-    after = variants.trim_trailing(fixes.clamp_offroad(bounded).withColumn("fixed", F.col("clamped")), F.abs("x_rel") < 20)
-    return fixes.fix_summary(bounded, after)
+    after = variants.trim_trailing(fixes.clamp_offroad(_bounds(spark, sf_dir)).withColumn("fixed", F.col("clamped")), F.abs("x_rel") < 20)
+    return fixes.fix_summary(P.obs(spark, sf_dir), after)
 
 
 @query()

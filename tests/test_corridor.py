@@ -38,3 +38,38 @@ def test_nearest_snapshot_and_rotation(spark):
 def test_without_lines(spark):
     r = corridor.excursion(corridor.bounds(_obs(spark, 50), _lines(spark, 4).limit(0))).first()
     assert r.left_m is None and r.excursion == 0
+
+
+def test_equals_loops_and_has_no_join(spark):
+    """All snapshots of several lines and all their points, against loops; rows without a pose or trace, broken points; one meeting of rows and lines."""
+    import random
+
+    rnd = random.Random(5)
+    own = [(t, o, i, rnd.choice([None, *range(0, 9000, 700)]), rnd.uniform(-30, 30), 0.0, 1.8, "x", rnd.choice([None, 1.0, 2.0, 3.0]), rnd.uniform(-3, 3), rnd.uniform(-3, 3)) for i, (t, o) in enumerate([(1, 1), (1, 2), (2, 1), (None, 1)] * 40)]
+    obs = spark.createDataFrame(own, "trace_id long, obj_id int, obs_ord long, t_us long, x_rel double, y_rel double, width double, lane string, ex double, ey double, eyaw double")
+    snaps = [(1, n, t, [(rnd.uniform(-80, 80), rnd.uniform(-9, 9)) for _ in range(rnd.choice([0, 1, 30]))]) for n in range(4) for t in rnd.sample(range(0, 9000, 350), 5)] + [(1, 9, 0, None), (3, 0, 0, [(0.0, 1.0)]), (None, 0, 0, [(0.0, 1.0)])]
+    lines = spark.createDataFrame(snaps, "trace_id long, line_id int, t_us long, points array<struct<x:double,y:double>>")
+    want = {}
+    for t, _, i, at, x, _, _, _, ex, ey, yaw in own:
+        ys = []
+        for n in range(4):
+            of = sorted((s for s in snaps if s[0] == t and s[1] == n and t is not None), key=lambda s: (abs(s[2] - (at or 0)), s[2]) if at is not None else s[2])
+            turned = [(abs((px - ex) * math.cos(yaw) + (py - ey) * math.sin(yaw) - x), (py - ey) * math.cos(yaw) - (px - ex) * math.sin(yaw)) for px, py in (of[0][3] if of and ex is not None else [])]
+            near = min(turned, key=lambda g: g[0], default=(99, 0))
+            ys += [near[1]] if near[0] <= 40 else []
+        want[i] = (min((y for y in ys if y > 0), default=None), max((y for y in ys if y <= 0), default=None))
+    out = corridor.bounds(obs, lines)
+    got = {r.obs_ord: (r.left_m, r.right_m) for r in out.collect()}
+    short = lambda d: {k: tuple(v if v is None else round(v, 9) for v in p) for k, p in d.items()}
+    assert short(got) == short(want) and any(a for a, _ in want.values())
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_of_runs_without_a_join(spark):
+    """Rows that share a time with another run's end keep the label of their own run, once each."""
+    from roadspan.operators import validate
+
+    rows = [(1, 1, i, t, e, "left", 0.0) for i, (t, e) in enumerate([(0, 1.0), (5, 5.0), (5, 0.0), (5, 1.0), (9, 0.0)])]
+    out = validate.run_labels(spark.createDataFrame(rows, "trace_id long, obj_id int, obs_ord long, t_us long, excursion double, side string, zrot double"))
+    assert [r.label for r in sorted(out.collect(), key=lambda r: r.obs_ord)] == ["departure", "departure", None, "noise", None]
+    assert out.columns == ["trace_id", "obj_id", "obs_ord", "t_us", "excursion", "side", "zrot", "label"] and "Join" not in out._jdf.queryExecution().executedPlan().toString()
