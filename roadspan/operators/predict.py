@@ -136,7 +136,8 @@ def steered(glob: DataFrame, ego: DataFrame, horizon_s: float = 4.0, steer: floa
                     out.append((r.trace_id, r.obj_id, step, r.t_us + step * int(STEP_S * 1e6), x, y))
             yield pd.DataFrame(out, columns=["trace_id", "obj_id", "step", "t_us", "gx", "gy"])
 
-    return plan.join(path, "trace_id").mapInPandas(run, "trace_id long, obj_id int, step int, t_us long, gx double, gy double")
+    # a merge: paths unfold from few bytes, so that their size isn't known before, and must not be broadcast
+    return plan.join(path.hint("merge"), "trace_id").mapInPandas(run, "trace_id long, obj_id int, step int, t_us long, gx double, gy double")
 
 
 def _corners(x: float, y: float, yaw: float, length: float, width: float) -> list[tuple[float, float]]:

@@ -66,7 +66,7 @@ def elements(roads: DataFrame, geometry: DataFrame, sections: DataFrame, objects
     length = geometry.groupBy("trace_id").agg(F.max(F.col("s") + F.col("length")).alias("length"))
     placed = objects.where("s is not null and t is not null")
     counts = placed.groupBy("trace_id").agg(F.count("*").alias("n"))
-    frame = roads.join(length, "trace_id").join(counts, "trace_id", "left").withColumn("name", _escaped(F.col("name")))
+    frame = roads.join(length.hint("merge"), "trace_id").join(counts.hint("merge"), "trace_id", "left").withColumn("name", _escaped(F.col("name")))
     head = F.format_string(
         f'<?xml version="1.0" encoding="UTF-8"?>\n<OpenDRIVE>\n  <header revMajor="{MAJOR}" revMinor="{MINOR}" name="%s" version="1.00" north="0" south="0" east="0" west="0"/>\n'
         '  <road name="%s" length="%.3f" id="1" junction="-1">\n    <planView>\n', "name", "name", "length",
@@ -92,7 +92,7 @@ def elements(roads: DataFrame, geometry: DataFrame, sections: DataFrame, objects
         placed.select("trace_id", *row(OBJECT, zero, F.col("obj_id"), thing)),
     ]
     all_rows = made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
-    body = frame.select("trace_id", "path").join(all_rows, "trace_id").select("path", *ORDER, "text")
+    body = frame.select("trace_id", "path").join(all_rows.hint("merge"), "trace_id").select("path", *ORDER, "text")
     return frame_rows.unionByName(body).select("path", *ORDER, F.encode("text", "UTF-8").alias("data"))
 
 
