@@ -54,3 +54,15 @@ def test_nearest_of_tracks_equals_the_general_join(spark, seed):
     assert plain(out, "obs_ord") == plain(want, "ord") != []
     plan = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_limit_of_speed_is_compared_as_in_sql(spark):
+    """Steps of which hypot and the root of squares lie on different sides of 45 m/s: flags follow the root, as the SQL does."""
+    from roadspan.operators import validate
+
+    odd = spark.range(200_000).select((18 * F.cos("id")).alias("x"), (18 * F.sin("id")).alias("y")).where("(hypot(x, y) / 0.4D > 45) != (sqrt(x * x + y * y) / 0.4D > 45)").limit(40).collect()
+    assert odd
+    rows = [r for i, p in enumerate(odd) for r in ((1, i, 0, 0, 0.0, 0.0, 0.0), (1, i, 1, 400_000, p.x, p.y, 0.0))]
+    glob = spark.createDataFrame(rows, "trace_id long, obj_id int, obs_ord long, t_us long, gx double, gy double, heading double")
+    got = {r.obj_id for r in validate.speed_flags(validate.track_steps(glob)).collect()}
+    assert got == {i for i, p in enumerate(odd) if (p.x * p.x + p.y * p.y) ** 0.5 / 0.4 > 45}
