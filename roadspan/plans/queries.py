@@ -267,7 +267,7 @@ bd AS (SELECT posed.*, left_m, right_m FROM posed LEFT JOIN sd USING (trace_id,
 
 
 def _bounds(spark, sf_dir):
-    return corridor.bounds(_glob(spark, sf_dir), P.edges(spark, sf_dir))
+    return corridor.bounds(_glob(ship(spark), sf_dir).drop("es"), P.edges(spark, sf_dir))
 
 
 @query(f"{BASE}, {BOUNDS} SELECT trace_id, obj_id, obs_ord, {r6('left_m', 'right_m')} FROM bd")

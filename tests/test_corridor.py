@@ -65,6 +65,25 @@ def test_equals_loops_and_has_no_join(spark):
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_traces_are_streamed_in_batches(spark):
+    """Batches that hold several traces and traces that go over several batches give the same; no group of its own is set up for a trace."""
+    at = "trace_id long, obj_id int, obs_ord long, t_us long, x_rel double, y_rel double, width double, lane string, ex double, ey double, eyaw double"
+    obs = spark.createDataFrame([(t, 1, i, i * 1000, 0.0, 0.0, 1.8, "x", 0.0, 0.0, 0.0) for t in [None, *range(20)] for i in range(t % 9 if t else 3)], at)
+    lines = spark.createDataFrame([(t, n, k * 5000, [(0.0, (t + 1.0 + k) * s)]) for t in range(20) if t != 7 for n, s in ((0, 1), (1, -1)) for k in (0, 1)], "trace_id long, line_id int, t_us long, points array<struct<x:double,y:double>>")
+    y = lambda r: None if r.trace_id is None or r.trace_id == 7 else r.trace_id + 1.0 + (r.t_us > 2500)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (size, "5"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            out = corridor.bounds(obs, lines)
+            rows = out.collect()
+            assert len(rows) == obs.count() and all((r.left_m, r.right_m) == (y(r), None if y(r) is None else -y(r)) for r in rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
+
+
 def test_labels_of_runs_without_a_join(spark):
     """Rows that share a time with another run's end keep the label of their own run, once each."""
     from roadspan.operators import validate
