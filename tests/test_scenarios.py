@@ -91,3 +91,13 @@ def test_a_second_change_keeps_the_first_place(spark):
     posed = _posed(spark).withColumns({"orig_x_m": F.lit(-1.0), "orig_y_m": F.lit(-2.0), "orig_heading": F.lit(5.0)})
     variants = spark.createDataFrame([(1, "k", 1, 0.5, None, None, None, None)], "trace_id long, kind string, obj_id int, gap double, `from` double, `to` double, lateral double, compress double")
     assert {(r.orig_x_m, r.orig_y_m, r.orig_heading) for r in alternatives.perturbed(posed, variants).collect()} == {(-1.0, -2.0, 5.0)}
+
+
+def test_neighbours_of_variants_are_found_once(spark, monkeypatch):
+    """However many variants a trace has, its rows are asked once about the nearest in time."""
+    posed, asked = _posed(spark), []
+    variants = spark.createDataFrame([(1, f"v{i}", 2, 0.5 + i / 10, None, None, None, None) for i in range(6)], "trace_id long, kind string, obj_id int, gap double, `from` double, `to` double, lateral double, compress double")
+    near = alternatives.nearest_of_tracks
+    monkeypatch.setattr(alternatives, "nearest_of_tracks", lambda rows: asked.append(rows.count()) or near(rows))
+    alternatives.issue_deltas(posed, alternatives.perturbed(posed, variants), _excursion, variants)
+    assert asked == [posed.count()]
