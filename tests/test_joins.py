@@ -66,3 +66,17 @@ def test_limit_of_speed_is_compared_as_in_sql(spark):
     glob = spark.createDataFrame(rows, "trace_id long, obj_id int, obs_ord long, t_us long, gx double, gy double, heading double")
     got = {r.obj_id for r in validate.speed_flags(validate.track_steps(glob)).collect()}
     assert got == {i for i, p in enumerate(odd) if (p.x * p.x + p.y * p.y) ** 0.5 / 0.4 > 45}
+
+
+def test_issues_at_a_limit_of_speed_are_those_of_sql(spark):
+    """The whole issue list and its counts at 60 m/s, where hypot would take medium for high or the reverse."""
+    from roadspan.operators import summaries, validate
+    from roadspan.plans.queries import _excursions
+
+    odd = spark.range(200_000).select((24 * F.cos("id")).alias("x"), (24 * F.sin("id")).alias("y")).where("(hypot(x, y) / 0.4D > 60) != (sqrt(x * x + y * y) / 0.4D > 60)").limit(40).collect()
+    assert odd
+    rows = [r for i, p in enumerate(odd, 1) for r in ((i, 1, 0, 0, 50.0, 0.0, 0.0, 4.0, 2.0, 0.0, 0.0, 0.0), (i, 1, 1, 400_000, 50.0, 0.0, 0.0, 4.0, 2.0, p.x, p.y, 0.0))]
+    glob = spark.createDataFrame(rows, "trace_id long, obj_id int, obs_ord long, t_us long, x_rel double, y_rel double, zrot double, length double, width double, gx double, gy double, heading double")
+    ego = spark.createDataFrame([(1, 0, 0, 0.0, 0.0, 0.0, 0.0)], "trace_id long, seq long, t_us long, x_m double, y_m double, speed double, heading_deg double")
+    counts = summaries.count_by(validate.issues(glob, ego, _excursions(glob)), "trace_id", "category", "severity").collect()
+    assert {(r.trace_id, r.severity, r.n) for r in counts} == {(i, "high" if (p.x * p.x + p.y * p.y) ** 0.5 / 0.4 > 60 else "medium", 1) for i, p in enumerate(odd, 1)}
