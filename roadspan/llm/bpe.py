@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -45,33 +46,38 @@ class BpeModel:
     """Vocabulary, merges and the automaton over both; picklable, with caches that stay in each worker.
 
     Tokens are numbered by rank inside: the single bytes, then the merges in order.
+    Tables are flat arrays and a pair is one number, as every worker of an executor
+    holds a model; the tokens' spellings are one string of bytes.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]) -> None:
         of = byte_characters()
         raw = lambda t: bytes(of[c] for c in t)
-        self.tokens: list[bytes] = [bytes([b]) for b in range(256)]
+        tokens: list[bytes] = [bytes([b]) for b in range(256)]
         char = {b: c for c, b in of.items()}
-        self.ids: list[int] = [vocab[char[b]] for b in range(256)]
-        rank = {t: i for i, t in enumerate(self.tokens)}
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.parts: list[tuple[int, int]] = [(i, i) for i in range(256)]
+        self.ids = array("i", [vocab[char[b]] for b in range(256)])
+        rank = {t: i for i, t in enumerate(tokens)}
+        self.pairs: dict[int, int] = {}
+        self.first, self.second = array("i", range(256)), array("i", range(256))  # the two that a merge makes a token of
         for a, b in merges:
             x, y = raw(a), raw(b)
             if x + y in rank:
                 raise ValueError(f"two merges make {a + b!r}; the order of such a vocabulary is not a rank")
-            self.pairs[rank[x], rank[y]] = rank[x + y] = len(self.tokens)
-            self.parts.append((rank[x], rank[y]))
-            self.tokens.append(x + y)
+            self.pairs[rank[x] << 20 | rank[y]] = rank[x + y] = len(tokens)
+            self.first.append(rank[x])
+            self.second.append(rank[y])
+            tokens.append(x + y)
             self.ids.append(vocab[a + b])
         self.special = dict(special)
         size = max([*vocab.values(), *special.values()]) + 1
-        self.spelled: list[bytes] = [b""] * size
+        spelled = [b""] * size
         for t, i in vocab.items():
-            self.spelled[i] = raw(t)
+            spelled[i] = raw(t)
         for t, i in special.items():
-            self.spelled[i] = t.encode()
-        self._automaton()
+            spelled[i] = t.encode()
+        self.spelled = b"".join(spelled)
+        self.sizes = np.array([len(t) for t in spelled], np.int64)
+        self._automaton(tokens)
         self._fresh()
 
     @classmethod
@@ -88,13 +94,13 @@ class BpeModel:
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         return cls({t: i for t, i in model["vocab"].items() if t not in special}, merges, special)
 
-    def _automaton(self) -> None:
+    def _automaton(self, tokens: list[bytes]) -> None:
         """States are prefixes of tokens; ``step`` has the trie's edges, ``back`` the longest proper suffix that is a state."""
         self.step: dict[int, int] = {}
         end: dict[int, int] = {}
         depth_first: list[list[tuple[int, int, int]]] = []
         states = 1
-        for t, spelled in enumerate(self.tokens):
+        for t, spelled in enumerate(tokens):
             s = 0
             for d, b in enumerate(spelled):
                 n = self.step.get(s << 8 | b)
@@ -106,9 +112,9 @@ class BpeModel:
                     depth_first[d].append((n, s, b))
                 s = n
             end[s] = t
-        self.back = [0] * states
-        self.longest = [-1] * states  # longest token that is a suffix of the state
-        self.shorter = [-1] * len(self.tokens)  # next shorter token that is a suffix of the token
+        self.back = array("i", [0]) * states
+        self.longest = array("i", [-1]) * states  # longest token that is a suffix of the state
+        self.shorter = array("i", [-1]) * len(tokens)  # next shorter token that is a suffix of the token
         for level in depth_first:
             for n, s, b in level:
                 f = self.back[s]
@@ -123,12 +129,12 @@ class BpeModel:
                     self.longest[n] = t
                 else:
                     self.longest[n] = below
-        self.length = [len(t) for t in self.tokens]
+        self.length = array("i", map(len, tokens))
         # a token that its own bytes aren't encoded to never ends an encoding
-        self.own = [True] * len(self.tokens)
+        self.own = bytearray([True]) * len(tokens)
         self.known: dict[int, bool] = {}
-        for t in range(256, len(self.tokens)):
-            self.own[t] = self.compatible(*self.parts[t], before=t)
+        for t in range(256, len(tokens)):
+            self.own[t] = self.compatible(self.first[t], self.second[t], before=t)
         self.known = {}
 
     def compatible(self, left: int, right: int, before: int | None = None) -> bool:
@@ -138,18 +144,18 @@ class BpeModel:
         border; a pair there that merges earlier than what was unmade would
         have been merged. ``before``: only merges earlier than this one count.
         """
-        most = len(self.tokens) if before is None else before
-        pairs, parts = self.pairs, self.parts
+        most = len(self.length) if before is None else before
+        pairs, first, second = self.pairs, self.first, self.second
         while True:
-            merged = pairs.get((left, right))
+            merged = pairs.get(left << 20 | right)
             if merged is not None and merged < most:
                 return False
             if left > right and left >= 256:
-                most, left = left, parts[left][1]
+                most, left = left, second[left]
             elif right >= 256:
-                most, right = right + 1, parts[right][0]
+                most, right = right + 1, first[right]
             elif left >= 256:
-                most, left = left, parts[left][1]
+                most, left = left, second[left]
             else:
                 return True
 
@@ -193,12 +199,11 @@ class BpeModel:
         self.known, self.new, self.old = {}, {}, {}
         self.words = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.flat = np.frombuffer(b"".join(self.spelled), np.uint8)
-        self.sizes = np.array([len(t) for t in self.spelled], np.int64)
+        self.flat = np.frombuffer(self.spelled, np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "new", "old", "words", "cut", "flat", "sizes", "starts")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "new", "old", "words", "cut", "flat", "starts")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -279,6 +284,7 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
     schema = base.select("*", F.lit(None).cast("array<int>").alias(ids_col), F.lit("").alias(decoded_col)).schema
 
     def run(batches):
+        pa.default_memory_pool().release_unused()  # workers are used again: what an earlier stage freed goes back
         for batch in slices(batches, text_col, 1 << 19):
             ids = _ids(model.value, batch.column(batch.schema.get_field_index(text_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, _texts(model.value, ids)], names=[*batch.schema.names, ids_col, decoded_col])

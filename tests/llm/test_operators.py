@@ -555,3 +555,22 @@ def test_language_is_that_of_the_full_sum():
     model.log_p[:, 0], model.log_p[:, 1] = -3.02, -3.0
     best, p = langid.score(["word " * 2000, "w"], model)
     assert list(best) == [1, 0] and 0 < p[0] < 0.5 < p[1]  # the evidence of all n-grams outweighs the prior
+
+
+def test_bpe_model_is_flat_in_a_worker():
+    """A worker's copy of the public vocabulary is held in arrays of machine numbers, not in an object per entry; ids are the same."""
+    import gc
+    import pickle
+    import tracemalloc
+
+    import public_tokenizers
+
+    sent = pickle.dumps(bpe.BpeModel.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    gc.collect()
+    tracemalloc.start()
+    model = pickle.loads(sent)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 28e6
+    text = "Flat tables, the same ids: naïve  déjà-vu 12345 你好\n"
+    assert model.decode_batch(np.frombuffer(model.encode(text), np.int32).astype(np.int64), np.array([0, len(model.encode(text)) // 4])) == [text]
