@@ -2,7 +2,7 @@
 
 The constant-velocity plan of a track's ends is relational. In the step models
 each step depends on the one before; without the governor tracks are
-independent, with it a trace is one group.
+independent, with it a trace's ends and what is near them in time are taken together.
 """
 
 from __future__ import annotations
@@ -10,9 +10,12 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspan.functions import exprs as X
@@ -41,14 +44,19 @@ def _speed(a, b):
     return F.when(dt > 0, F.hypot(b["gx"] - a["gx"], b["gy"] - a["gy"]) / dt).otherwise(0.0)
 
 
-def end_plan(ends: DataFrame) -> DataFrame:
-    """Speed and heading (radians) at a track's last observation; from motion above 0.1 m/s, else from its box."""
+def _end() -> dict[str, Column]:
+    """What ``end_plan`` says, from ``penultimate``, ``last`` and ``n``."""
     a, b = F.col("penultimate"), F.col("last")
     speed = F.when(F.col("n") < 2, F.lit(ALONE_SPEED)).otherwise(_speed(a, b))
     moved = F.atan2(b["gy"] - a["gy"], b["gx"] - a["gx"])
     heading = F.when((F.col("n") >= 2) & (speed > 0.1), moved).otherwise(F.radians(b["heading"]))
     horizon = F.when(b["x_rel"] < 0, HORIZON_BEHIND).otherwise(1.0)
-    return ends.select("trace_id", "obj_id", b["t_us"].alias("t_us"), b["gx"].alias("gx"), b["gy"].alias("gy"), speed.alias("speed"), heading.alias("yaw"), horizon.alias("reach"))
+    return {"t_us": b["t_us"], "gx": b["gx"], "gy": b["gy"], "speed": speed, "yaw": heading, "reach": horizon}
+
+
+def end_plan(ends: DataFrame) -> DataFrame:
+    """Speed and heading (radians) at a track's last observation; from motion above 0.1 m/s, else from its box."""
+    return ends.select("trace_id", "obj_id", *(v.alias(k) for k, v in _end().items()))
 
 
 def extrapolate(glob: DataFrame, horizon_s: float = 4.0) -> DataFrame:
@@ -118,8 +126,6 @@ def steered(glob: DataFrame, ego: DataFrame, horizon_s: float = 4.0, steer: floa
     path = ego.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("t_us", "x_m", "y_m"))).alias("path"))
 
     def run(batches):
-        import numpy as np
-
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
@@ -161,10 +167,8 @@ def _touch(a: tuple, b: tuple) -> bool:
 class _Scene:
     """Boxes of a trace's tracks by time; predictions are added as they are made."""
 
-    def __init__(self, obs: pd.DataFrame) -> None:
+    def __init__(self) -> None:
         self.tracks: dict[int, tuple[list[int], list[tuple]]] = {}
-        for o, rows in obs.sort_values(["t_us", "obs_ord"]).groupby("obj_id"):
-            self.tracks[int(o)] = (rows["t_us"].tolist(), list(zip(rows["gx"], rows["gy"], [math.radians(h) for h in rows["heading"]], rows["length"], rows["width"], strict=True)))
 
     def add(self, obj: int, t: int, box: tuple) -> None:
         times, boxes = self.tracks[obj]
@@ -177,9 +181,83 @@ class _Scene:
             if o == obj:
                 continue
             i = bisect.bisect_left(times, t)
-            near = min((j for j in (i - 1, i) if 0 <= j < len(times)), key=lambda j: abs(times[j] - t), default=None)
-            if near is not None and abs(times[near] - t) <= NEAR_US:
-                yield boxes[near]
+            if i and (i == len(times) or t - times[i - 1] <= times[i] - t):
+                i -= 1  # of two as near the earlier
+            if i < len(times) and abs(times[i] - t) <= NEAR_US:
+                yield boxes[i]
+
+
+#: Columns of a trace's rows in ``governed``: poses (without obj_id) first, then each track in order of time.
+_INTEGERS, _FLOATS = ("t_us", "end_us"), ("x", "y", "heading", "length", "width", "speed", "yaw", "reach")
+
+
+def _governed(trace: int, rows: dict[str, np.ndarray], horizon_s: float) -> list[tuple]:
+    """The steps of one trace, see ``governed``."""
+    n = int(rows["is_pose"].sum())
+    if not 0 < n < len(rows["is_pose"]):
+        return []
+    px, py = rows["x"][:n], rows["y"][:n]
+    pt, xs, ys, pyaw = (rows[c][:n].tolist() for c in ("t_us", "x", "y", "heading"))
+    obj, times = rows["obj_id"][n:], rows["t_us"][n:].tolist()
+    boxes = list(zip(*(rows[c][n:].tolist() for c in ("x", "y")), np.radians(rows["heading"][n:]).tolist(), *(rows[c][n:].tolist() for c in ("length", "width")), strict=True))
+    scene, out, heap = _Scene(), [], []
+    bounds = [0, *(np.flatnonzero(obj[1:] != obj[:-1]) + 1).tolist(), len(obj)]
+    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        o, last = int(obj[a]), boxes[b - 1]
+        scene.tracks[o] = (times[a:b], boxes[a:b])
+        end, speed, yaw, reach = (rows[c][n + b - 1].item() for c in ("end_us", "speed", "yaw", "reach"))
+        state = {"obj": o, "x": last[0], "y": last[1], "yaw": yaw, "box": last[2], "v": speed, "cruise": speed, "step": 0, "most": max(1, round(horizon_s * reach / STEP_S)), "size": last[3:]}
+        heapq.heappush(heap, (end + int(STEP_S * 1e6), k, state))
+    count = len(heap)
+    while heap:
+        t, _, s = heapq.heappop(heap)
+        if t >= pt[-1]:
+            continue
+        i = int(np.argmin((px - s["x"]) ** 2 + (py - s["y"]) ** 2))
+        a, b = max(0, i - 1), min(n - 1, i + 1)
+        yaw = s["yaw"]
+        if math.hypot(xs[b] - xs[a], ys[b] - ys[a]) > 1e-9:
+            tangent = math.atan2(ys[b] - ys[a], xs[b] - xs[a])
+            yaw += STEER * math.atan2(math.sin(tangent - yaw), math.cos(tangent - yaw))
+        turn = STEER * math.atan2(math.sin(yaw - s["box"]), math.cos(yaw - s["box"]))
+        cap = math.radians(TURN_CAP) * STEP_S
+        box_yaw = s["box"] + max(-cap, min(cap, turn))
+        j = max(0, bisect.bisect_right(pt, t) - 1)
+        k = min(j + 1, n - 1)
+        f = (t - pt[j]) / (pt[k] - pt[j]) if t > pt[j] and k > j else 0.0
+        ego_yaw = pyaw[j] + ((pyaw[k] - pyaw[j] + 180) % 360 - 180) * f
+        around = [*scene.others(s["obj"], t), (xs[j] + (xs[k] - xs[j]) * f, ys[j] + (ys[k] - ys[j]) * f, math.radians(ego_yaw), X.EGO_LENGTH, X.EGO_WIDTH)]
+        c, d = math.cos(yaw), math.sin(yaw)
+
+        def at(v, s=s, c=c, d=d):
+            return s["x"] + v * STEP_S * c, s["y"] + v * STEP_S * d
+
+        def blocked(v, margin, at=at, yaw=yaw, s=s, c=c, d=d, around=around):
+            x, y = at(v)
+            own = (x, y, yaw, s["size"][0] + 2 * margin, s["size"][1] + 2 * margin)
+            across = math.hypot(own[3], own[4])
+            for q in around:
+                dx, dy = q[0] - x, q[1] - y
+                if dx * c + dy * d > 0 and math.hypot(dx, dy) <= (across + math.hypot(q[3], q[4])) / 2 and _touch(own, q):
+                    return True
+            return False
+
+        v = s["v"]
+        if blocked(v, MARGIN_M):
+            v = max(0.0, v - BRAKE * STEP_S)
+            after = v
+            if blocked(v, 0.0):
+                continue
+        else:
+            after = min(s["cruise"], v + RECOVER * STEP_S)
+        x, y = at(v)
+        s |= {"x": x, "y": y, "yaw": yaw, "box": box_yaw, "v": after, "step": s["step"] + 1}
+        scene.add(s["obj"], t, (x, y, box_yaw, *s["size"]))
+        out.append((trace, s["obj"], s["step"], t, x, y, v))
+        if s["step"] < s["most"]:
+            count += 1
+            heapq.heappush(heap, (t + int(STEP_S * 1e6), count, s))
+    return out
 
 
 def governed(glob: DataFrame, ego: DataFrame, horizon_s: float = 4.0) -> DataFrame:
@@ -189,70 +267,51 @@ def governed(glob: DataFrame, ego: DataFrame, horizon_s: float = 4.0) -> DataFra
     of 1 m against boxes ahead, the ego's at that very time; a blocked track
     brakes and takes the step at the lower speed, and ends where its box would
     still touch another. Free tracks regain their speed. Steps are bound to
-    each other across a trace's tracks, so a trace is one group; traces are
-    independent. Nothing is predicted from the ego's last pose on.
+    each other across a trace's tracks; traces are independent. Nothing is
+    predicted from the ego's last pose on.
+
+    No step looks at boxes more than 0.3 s before the first one, so of the
+    observations only those from there on and each track's last one are moved.
+    Ends are found by windows over the rows themselves: ``glob`` is read once.
+    A task streams through its traces in sorted Arrow batches of many of them;
+    held at a time are a batch and one trace's poses and such observations.
     """
-    plan = end_plan(track_ends(glob))
-    boxes = glob.select("trace_id", "obj_id", "obs_ord", "t_us", "gx", "gy", "heading", "length", "width")
-    both = boxes.join(plan.select("trace_id", "obj_id", F.col("t_us").alias("end_us"), "speed", "yaw", "reach"), ["trace_id", "obj_id"])
-    poses = ego.select("trace_id", "t_us", "x_m", "y_m", F.pmod(F.col("heading_deg") + 90, F.lit(360.0)).alias("yaw_deg"))
-
-    def run(key, obs: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        names = ["trace_id", "obj_id", "step", "t_us", "gx", "gy", "speed"]
-        if not len(obs) or not len(path):
-            return pd.DataFrame([], columns=names)
-        path = path.sort_values("t_us")
-        pt, px, py, pyaw = (path[c].to_numpy() for c in ("t_us", "x_m", "y_m", "yaw_deg"))
-        scene, out, heap = _Scene(obs), [], []
-        for n, (o, rows) in enumerate(obs.sort_values(["obj_id", "t_us", "obs_ord"]).groupby("obj_id")):
-            r = rows.iloc[-1]
-            state = {"obj": int(o), "x": r.gx, "y": r.gy, "yaw": r.yaw, "box": math.radians(r.heading), "v": r.speed, "cruise": r.speed, "step": 0, "most": max(1, round(horizon_s * r.reach / STEP_S)), "size": (r.length, r.width)}
-            heapq.heappush(heap, (int(r.end_us) + int(STEP_S * 1e6), n, state))
-        count = len(heap)
-        while heap:
-            t, _, s = heapq.heappop(heap)
-            if t >= pt[-1]:
+    track = Window.partitionBy("trace_id", "obj_id").orderBy(F.desc("t_us"), F.desc("obs_ord")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    point = F.struct("t_us", "gx", "gy", "heading", "x_rel")
+    tracks = glob.where("trace_id is not null and obj_id is not null").select("trace_id", "obj_id", "obs_ord", "t_us", "gx", "gy", "heading", "x_rel", "length", "width")
+    tracks = tracks.withColumns({"last": F.first(point).over(track), "penultimate": F.nth_value(point, 2).over(track), "n": F.count("*").over(track)})
+    end = _end()
+    boxes = tracks.select("trace_id", "obj_id", "obs_ord", "t_us", F.col("gx").alias("x"), F.col("gy").alias("y"), "heading", "length", "width", end["t_us"].alias("end_us"), *(end[c].alias(c) for c in ("speed", "yaw", "reach")))
+    boxes = boxes.withColumn("__from", F.min("end_us").over(Window.partitionBy("trace_id")) + int(STEP_S * 1e6) - NEAR_US)
+    seen = boxes.where("t_us >= __from or t_us = end_us").drop("__from")
+    poses = ego.where("trace_id is not null and t_us is not null").select("trace_id", "t_us", F.col("x_m").alias("x"), F.col("y_m").alias("y"), F.pmod(F.col("heading_deg") + 90, F.lit(360.0)).alias("heading"))
+    rows = seen.unionByName(poses, allowMissingColumns=True).repartition("trace_id").sortWithinPartitions("trace_id", F.asc_nulls_first("obj_id"), "t_us", "obs_ord")
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        kinds = {"trace_id": pa.int64(), "obj_id": pa.int32(), "step": pa.int32(), "t_us": pa.int64(), "gx": pa.float64(), "gy": pa.float64(), "speed": pa.float64()}
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    def whole(trace: int, parts: list[dict]) -> list[tuple]:
+        return _governed(trace, {c: np.concatenate([p[c] for p in parts]) if len(parts) > 1 else v for c, v in parts[0].items()}, horizon_s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trace, parts = None, []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            i = int(np.argmin((px - s["x"]) ** 2 + (py - s["y"]) ** 2))
-            a, b = max(0, i - 1), min(len(px) - 1, i + 1)
-            yaw = s["yaw"]
-            if math.hypot(px[b] - px[a], py[b] - py[a]) > 1e-9:
-                tangent = math.atan2(py[b] - py[a], px[b] - px[a])
-                yaw += STEER * math.atan2(math.sin(tangent - yaw), math.cos(tangent - yaw))
-            turn = STEER * math.atan2(math.sin(yaw - s["box"]), math.cos(yaw - s["box"]))
-            cap = math.radians(TURN_CAP) * STEP_S
-            box_yaw = s["box"] + max(-cap, min(cap, turn))
-            j = max(0, int(np.searchsorted(pt, t, side="right")) - 1)
-            k = min(j + 1, len(pt) - 1)
-            f = (t - pt[j]) / (pt[k] - pt[j]) if t > pt[j] and k > j else 0.0
-            ego_yaw = pyaw[j] + ((pyaw[k] - pyaw[j] + 180) % 360 - 180) * f
-            around = [*scene.others(s["obj"], t), (px[j] + (px[k] - px[j]) * f, py[j] + (py[k] - py[j]) * f, math.radians(ego_yaw), X.EGO_LENGTH, X.EGO_WIDTH)]
-
-            def at(v, s=s, yaw=yaw):
-                return s["x"] + v * STEP_S * math.cos(yaw), s["y"] + v * STEP_S * math.sin(yaw)
-
-            def blocked(v, margin, at=at, yaw=yaw, s=s, around=around):
-                x, y = at(v)
-                own = (x, y, yaw, s["size"][0] + 2 * margin, s["size"][1] + 2 * margin)
-                return any((q[0] - x) * math.cos(yaw) + (q[1] - y) * math.sin(yaw) > 0 and _touch(own, q) for q in around)
-
-            v = s["v"]
-            if blocked(v, MARGIN_M):
-                v = max(0.0, v - BRAKE * STEP_S)
-                after = v
-                if blocked(v, 0.0):
-                    continue
-            else:
-                after = min(s["cruise"], v + RECOVER * STEP_S)
-            x, y = at(v)
-            s |= {"x": x, "y": y, "yaw": yaw, "box": box_yaw, "v": after, "step": s["step"] + 1}
-            scene.add(s["obj"], t, (x, y, box_yaw, *s["size"]))
-            out.append((key[0], s["obj"], s["step"], t, x, y, v))
-            if s["step"] < s["most"]:
-                count += 1
-                heapq.heappush(heap, (t + int(STEP_S * 1e6), count, s))
-        return pd.DataFrame(out, columns=names)
-
-    return both.groupBy("trace_id").cogroup(poses.groupBy("trace_id")).applyInPandas(run, "trace_id long, obj_id int, step int, t_us long, gx double, gy double, speed double")
+            ids, obj = batch.column("trace_id").to_numpy(), batch.column("obj_id")
+            cols = {"is_pose": obj.is_null().to_numpy(zero_copy_only=False), "obj_id": obj.fill_null(0).to_numpy()}
+            cols |= {c: batch.column(c).fill_null(0).to_numpy() for c in _INTEGERS} | {c: batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in _FLOATS}
+            starts, out = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist()], []
+            for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
+                if parts and trace != ids[a]:
+                    out += whole(trace, parts)
+                    parts = []
+                trace = ids[a].item()
+                parts.append({c: v[a:b] for c, v in cols.items()})
+            if out:
+                yield made(out)
+        if parts and (out := whole(trace, parts)):
+            yield made(out)
+
+    return rows.mapInArrow(run, "trace_id long, obj_id int, step int, t_us long, gx double, gy double, speed double")

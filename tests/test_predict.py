@@ -79,3 +79,24 @@ def test_governor_leaves_a_tailgater_alone(spark):
     rows = [(1, 0, 22, 20), (1, 1, 42, 20), (2, 0, 0, 20), (2, 1, 20, 20)]  # the leader steps first
     got = predict.governed(_boxed(ship(spark), rows), _far_ego(spark), 4.0)
     assert {r.obj_id: (r.n, r.v) for r in got.groupBy("obj_id").agg(F.count("*").alias("n"), F.min("speed").alias("v")).collect()} == {1: (20, 20.0), 2: (20, 20.0)}
+
+
+def test_governed_traces_are_streamed_and_cut_anywhere(spark):
+    """Several traces, batches that end inside of them, boxes long before the ends: equal steps, no group of its own for each trace."""
+    moving, parked = [(1, 0, 100, 5), (1, 1, 130, 5)], [(2, 0.2 * i, 200, 5) for i in range(40)]
+    one, ego = _boxed(ship(spark), moving + parked), _far_ego(spark)
+    glob = one.unionByName(one.withColumn("trace_id", F.lit(2).cast("long"))).unionByName(one.where("obj_id = 1").withColumn("trace_id", F.lit(3).cast("long")))
+    poses = ego.crossJoin(spark.range(1, 5).withColumnRenamed("id", "k")).withColumn("trace_id", F.col("k")).drop("k")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, found = spark.conf.get(name), []
+    try:
+        for n in ("7", "10000"):
+            spark.conf.set(name, n)
+            out = predict.governed(glob, poses, 6.0)
+            found.append(sorted(map(tuple, out.collect())))
+    finally:
+        spark.conf.set(name, before)
+    assert found[0] == found[1] and {r[0] for r in found[0]} == {1, 2, 3}
+    assert [r[1:] for r in found[0] if r[0] == 1] == [r[1:] for r in found[0] if r[0] == 2] == sorted(tuple(r)[1:] for r in predict.governed(one, ego, 6.0).collect())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "MapInArrow" in plan
