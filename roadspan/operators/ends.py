@@ -10,11 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadspan.operators.predict import ALONE_SPEED, EDGE_FRAMES, HORIZON_BEHIND, STEP_S, _speed, continuation_candidates, one_to_one, track_ends
+from roadspan.shared import written
 
 STILL_MPS = 0.1  # fixed value: below it the box's own heading counts
 
 
-def bounded_ends(glob: DataFrame, links: DataFrame, clips: DataFrame, backward: bool = True, forward: bool = True) -> DataFrame:
+def framed_ends(glob: DataFrame) -> DataFrame:
+    """``track_ends`` with the frames of a track's first and last observation: first_frame, last_frame."""
+    at = F.struct("t_us", "obs_ord", "frame")
+    return track_ends(glob, F.min(at)["frame"].alias("first_frame"), F.max(at)["frame"].alias("last_frame"))
+
+
+def bounded_ends(glob: DataFrame, links: DataFrame, clips: DataFrame, backward: bool = True, forward: bool = True, ends: DataFrame | None = None) -> DataFrame:
     """(trace_id, obj_id, direction, t_us, gx, gy, speed, yaw, reach, bound_us): the ends from which a track is to be predicted.
 
     glob: observations with frame; links: continuations (a, b); clips: per trace
@@ -22,10 +29,9 @@ def bounded_ends(glob: DataFrame, links: DataFrame, clips: DataFrame, backward:
     first three frames has nothing before it, one that reaches the last three
     nothing after; one that continues another isn't predicted backward, and
     where a track is continued its prediction ends before the successor's first
-    observation. Other bounds are the recording's.
+    observation. Other bounds are the recording's. ends: ``framed_ends`` of glob, where they are there already.
     """
-    frames = glob.groupBy("trace_id", "obj_id").agg(F.min(F.struct("t_us", "obs_ord", "frame")).alias("f"), F.max(F.struct("t_us", "obs_ord", "frame")).alias("l")).select("trace_id", "obj_id", F.col("f.frame").alias("first_frame"), F.col("l.frame").alias("last_frame"))
-    ends = track_ends(glob).join(frames, ["trace_id", "obj_id"]).join(clips, "trace_id", "left")
+    ends = (framed_ends(glob) if ends is None else ends).join(clips, "trace_id", "left")
     starts = ends.select("trace_id", F.col("obj_id").alias("b"), F.col("first.t_us").alias("next_us"))
     after = links.join(starts, ["trace_id", "b"]).select("trace_id", F.col("a").alias("obj_id"), "next_us")
     ends = ends.join(after, ["trace_id", "obj_id"], "left").join(links.select("trace_id", F.col("b").alias("obj_id"), F.lit(True).alias("follows")), ["trace_id", "obj_id"], "left")
@@ -61,6 +67,7 @@ def predict_ends(ends: DataFrame, horizon_s: float = 4.0, horizon_m: float | Non
 
 
 def linked_ends(glob: DataFrame, clips: DataFrame, **choices) -> DataFrame:
-    """``bounded_ends`` with the links that the tracks themselves give."""
-    links = one_to_one(continuation_candidates(track_ends(glob)))
-    return bounded_ends(glob, links, clips, **choices)
+    """``bounded_ends`` with the links that the tracks themselves give. Ends, one row a track, are worked out once and written."""
+    ends = written(framed_ends(glob), "ends")
+    links = one_to_one(continuation_candidates(ends))
+    return bounded_ends(glob, links, clips, ends=ends, **choices)

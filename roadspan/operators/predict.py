@@ -30,13 +30,13 @@ HORIZON_BEHIND = 3.0
 BRAKE, RECOVER, MARGIN_M, STEER, TURN_CAP, NEAR_US = 5.0, 2.0, 1.0, 0.35, 10.0, 300_000
 
 
-def track_ends(glob: DataFrame) -> DataFrame:
-    """Per track its first two and last two observations as structs, and what a plan needs of them."""
+def track_ends(glob: DataFrame, *also: Column) -> DataFrame:
+    """Per track its first two and last two observations as structs, and what a plan needs of them; ``also``: further aggregates."""
     point = F.struct("t_us", "gx", "gy", "heading", "x_rel", "y_rel", "width", "lane")
     w = by_track()
     rows = glob.withColumns({"__p": point, "__n": F.row_number().over(w), "__m": F.row_number().over(Window.partitionBy("trace_id", "obj_id").orderBy(F.desc("t_us"), F.desc("obs_ord")))})
     pick = lambda cond, name: F.max_by("__p", F.when(F.expr(cond), 1)).alias(name)
-    return rows.groupBy("trace_id", "obj_id").agg(pick("__n = 1", "first"), pick("__n = 2", "second"), pick("__m = 2", "penultimate"), pick("__m = 1", "last"), F.count("*").alias("n"))
+    return rows.groupBy("trace_id", "obj_id").agg(pick("__n = 1", "first"), pick("__n = 2", "second"), pick("__m = 2", "penultimate"), pick("__m = 1", "last"), F.count("*").alias("n"), *also)
 
 
 def _speed(a, b):

@@ -55,3 +55,11 @@ def test_eligibility_distance_and_single_observations(spark):
     # 2 m a step: 3 steps; 5 m a step alone: 1; backward until the recording's begin, which isn't reached
     assert n == {(1, 1): 3, (2, -1): 4, (5, -1): 1, (5, 1): 1}
     assert ends.bounded_ends(glob, none, clips.withColumn("total_frames", F.lit(None).cast("int")), backward=False).count() == 3
+
+
+def test_linked_ends_are_worked_out_once(spark):
+    glob = _tracks(spark, [(3, 7, 70, 210, 5), (3, 8, 80, 240, 5), (4, 9.3, 93, 279, 5), (4, 10.3, 103, 309, 5)])
+    clips = spark.createDataFrame([(1, 0, 60_000_000, 600)], "trace_id long, t0_us long, t1_us long, total_frames int")
+    out = ends.linked_ends(glob, clips)
+    assert {(r.obj_id, r.direction): (r.speed, r.bound_us) for r in out.collect()} == {(3, -1): (30.0, 0), (3, 1): (30.0, 9_300_000), (4, 1): (30.0, 60_000_000)}
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()  # observations aren't read again
