@@ -10,9 +10,14 @@ EARTH_RADIUS_M = 6378137.0
 EGO_LENGTH, EGO_WIDTH, EGO_HEIGHT = 4.9, 1.9, 1.5
 
 
+def turn_of(a: Column) -> Column:
+    """Angle in [0, 360), by SQL's arithmetic: pmod differs in the last bit, and limits are compared exactly."""
+    return (a % 360.0 + 360.0) % 360.0
+
+
 def wrap_degrees(a: Column) -> Column:
     """Angle in [-180, 180)."""
-    return F.pmod(a + 180.0, F.lit(360.0)) - 180.0
+    return turn_of(a + 180.0) - 180.0
 
 
 def wrap_radians(a: Column) -> Column:
@@ -45,7 +50,7 @@ def global_to_body(x: Column, y: Column, ex: Column, ey: Column, yaw: Column) ->
 
 
 def global_heading(yaw: Column, zrot: Column) -> Column:
-    return F.pmod(F.degrees(yaw + zrot), F.lit(360.0))
+    return turn_of(F.degrees(yaw + zrot))
 
 
 def zrot_of_heading(heading_deg: Column, yaw: Column) -> Column:

@@ -85,7 +85,7 @@ def pair_overlaps(glob: DataFrame) -> DataFrame:
     """
     near = nearest_of_tracks(glob.select("trace_id", "obj_id", "obs_ord", "t_us", "gx", "gy", "heading", "length", "width"))
     n = lambda c: F.col(f"near.{c}")
-    close = F.hypot(F.col("gx") - n("gx"), F.col("gy") - n("gy")) <= (F.hypot("length", "width") + F.hypot(n("length"), n("width"))) / 2
+    close = F.hypot(F.col("gx") - n("gx"), F.col("gy") - n("gy")) <= (F.hypot("length", "width") + F.hypot(n("length"), n("width"))) / 2 + 1e-6  # corners that touch are left to the test
     hit = X.boxes_overlap(F.col("gx"), F.col("gy"), F.radians("heading"), F.col("length"), F.col("width"), n("gx"), n("gy"), F.radians(n("heading")), n("length"), n("width"))
     return near.where(close & hit).select("trace_id", "obj_id", "other", "t_us").distinct()
 
@@ -113,7 +113,7 @@ def _of_run() -> dict[str, Column]:
 def _judged(runs: DataFrame) -> DataFrame:
     def course(a, b):
         dx, dy = F.col(f"{b}.gx") - F.col(f"{a}.gx"), F.col(f"{b}.gy") - F.col(f"{a}.gy")
-        return F.when(F.hypot(dx, dy) >= COURSE_M, F.degrees(F.atan2(dy, dx)))
+        return F.when(F.sqrt(dx * dx + dy * dy) >= COURSE_M, F.degrees(F.atan2(dy, dx)))
 
     turn = F.coalesce(F.abs(X.wrap_degrees(course("__a.__at", "__b") - course("__a.__base", "__a.__at"))), F.col("__axis"))
     runs = runs.withColumn("turn_deg", turn).drop("__run", "__a", "__b", "__axis")

@@ -80,3 +80,16 @@ def test_issues_at_a_limit_of_speed_are_those_of_sql(spark):
     ego = spark.createDataFrame([(1, 0, 0, 0.0, 0.0, 0.0, 0.0)], "trace_id long, seq long, t_us long, x_m double, y_m double, speed double, heading_deg double")
     counts = summaries.count_by(validate.issues(glob, ego, _excursions(glob)), "trace_id", "category", "severity").collect()
     assert {(r.trace_id, r.severity, r.n) for r in counts} == {(i, "high" if (p.x * p.x + p.y * p.y) ** 0.5 / 0.4 > 60 else "medium", 1) for i, p in enumerate(odd, 1)}
+
+
+def test_turns_at_a_limit_of_yaw_rate_are_those_of_sql(spark):
+    """Turns of which pmod and SQL's remainders lie on different sides of 15 degrees a second."""
+    from roadspan.operators import validate
+
+    wrapped = "abs(((h + 6 - h + 180) % 360 + 360) % 360 - 180) / 0.4D > 15"
+    odd = spark.range(200_000).select((F.col("id") * 0.0018).alias("h")).where(f"(abs(pmod(h + 6 - h + 180, 360) - 180) / 0.4D > 15) != ({wrapped})").limit(40).collect()
+    assert odd
+    rows = [r for i, p in enumerate(odd) for r in ((1, i, 0, 0, 0.0, 0.0, p.h), (1, i, 1, 400_000, 0.0, 0.0, p.h + 6))]
+    glob = spark.createDataFrame(rows, "trace_id long, obj_id int, obs_ord long, t_us long, gx double, gy double, heading double")
+    got = {r.obj_id for r in validate.yaw_rate_flags(validate.track_steps(glob)).collect()}
+    assert got == {i for i, p in enumerate(odd) if abs((((p.h + 6) - p.h + 180) % 360 + 360) % 360 - 180) / 0.4 > 15}
