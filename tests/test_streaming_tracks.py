@@ -83,3 +83,49 @@ def test_late_and_silent(spark, store, tmp_path):
     got = _replay(spark, make, [spark.createDataFrame([row("pose", 4, 0)], tracks.ROWS)], at)
     assert {(r.trace_id, r.t_us, r.es) for r in got.where("kind = 'at' and trace_id > 1").collect()} == {(2, 50, 10.0), (3, 60, None)}
     assert got.where("kind = 'at' and trace_id = 1").count() == 20
+
+
+def test_state_is_read_and_written_once():
+    """A recording's micro-batch costs one read and one write of state whatever it holds, and its timer is set once; rows come packed by recording."""
+    import pyarrow as pa
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, v):
+            calls.append("update")
+            self.held = v
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, _):
+            calls.append("register")
+
+        def deleteTimer(self, _):
+            calls.append("delete")
+
+    class Now:
+        def getCurrentProcessingTimeInMs(self):
+            return 5
+
+    one = tracks.Headways(DELAY, 1000)
+    one.init(Handle())
+    row = lambda kind, t=None, o=None, x=None: (kind, 1, t, 0, o, x, 0.0, 0.0, 0.0, 10.0, 0.0)
+    names = [f.split() for f in tracks.ROWS.split(", ")]
+    types = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+    out = []
+    for rows in ([row("pose", t * 1_000_000) for t in range(9)] + [row("obs", t * 500_000, 7, 4.0) for t in range(17)], [row("obs", 1, 7, 4.0)], [row("end")]):
+        batch = pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(zip(*rows, strict=True), names, strict=True)], names=[n for n, _ in names])
+        packed = list(tracks._packed([batch]))  # noqa: SLF001
+        assert [b.num_rows for b in packed] == [1]
+        out += one.handleInputRows((1,), iter([type("R", (), {"rows": packed[0].column(1)[0].as_py()})]), Now())
+    assert calls == ["get", "register", "update", "get", "update", "get", "delete", "update"]
+    assert [tuple(r) for r in out] == [("late", 1, 7, 1, 1, None, None, None), ("episode", 1, 7, 0, 8_000_000, 0.4, 4.0, True)]
