@@ -13,12 +13,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadspan.functions import exprs as X
+from roadspan.operators import road
 from roadspan.operators.events import by_track
 from roadspan.shared import written
 
@@ -26,6 +27,8 @@ from roadspan.shared import written
 STEP_S, EDGE_FRAMES, ALONE_SPEED = 0.2, 3, 25.0
 GAP_S, SIDE_M, WIDTH_M, SPEED_ERROR = 3.0, 2.0, 0.6, 8.0
 HORIZON_BEHIND = 3.0
+#: Most rows of a batch that is given back.
+OUT = 1 << 15
 #: Fixed values of the governor: braking and recovery (m/s2), margin (m), steering share, heading cap (deg/s), nearest box in time (us).
 BRAKE, RECOVER, MARGIN_M, STEER, TURN_CAP, NEAR_US = 5.0, 2.0, 1.0, 0.35, 10.0, 300_000
 
@@ -119,31 +122,57 @@ def continuations(ends: DataFrame) -> DataFrame:
 def steered(glob: DataFrame, ego: DataFrame, horizon_s: float = 4.0, steer: float = 0.35) -> DataFrame:
     """Forward positions of a model that turns toward the ego path's nearest tangent by ``steer`` of the difference in each step.
 
-    Needs a trace's whole ego path at every step, so it runs per trace; without
-    the governor, tracks don't see each other.
+    Needs a trace's whole ego path at every step; without the governor, tracks
+    don't see each other. A task streams through the ends of its traces' tracks
+    in Arrow batches; a trace's path comes with its first track
+    (``road.carried``). Held at a time are a batch and one trace's path.
     """
     plan = end_plan(track_ends(glob))
-    path = ego.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("t_us", "x_m", "y_m"))).alias("path"))
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                px, py = np.array([p["x_m"] for p in r.path]), np.array([p["y_m"] for p in r.path])
-                x, y, yaw = r.gx, r.gy, r.yaw
-                for step in range(1, max(1, round(horizon_s * r.reach / STEP_S)) + 1):
-                    i = int(np.argmin((px - x) ** 2 + (py - y) ** 2))
-                    a, b = max(0, i - 1), min(len(px) - 1, i + 1)
-                    if math.hypot(px[b] - px[a], py[b] - py[a]) > 1e-9:
-                        tangent = math.atan2(py[b] - py[a], px[b] - px[a])
-                        yaw += steer * math.atan2(math.sin(tangent - yaw), math.cos(tangent - yaw))
-                    x += r.speed * STEP_S * math.cos(yaw)
-                    y += r.speed * STEP_S * math.sin(yaw)
-                    out.append((r.trace_id, r.obj_id, step, r.t_us + step * int(STEP_S * 1e6), x, y))
-            yield pd.DataFrame(out, columns=["trace_id", "obj_id", "step", "t_us", "gx", "gy"])
-
-    # a merge: paths unfold from few bytes, so that their size isn't known before, and must not be broadcast
-    return plan.join(path.hint("merge"), "trace_id").mapInPandas(run, "trace_id long, obj_id int, step int, t_us long, gx double, gy double")
+    path = ego.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("t_us", "x_m", "y_m"))).alias("__path"))
+    path = path.select("trace_id", F.transform("__path", lambda p: F.struct(p["x_m"].alias("x_m"), p["y_m"].alias("y_m"))).alias("__path"))
+    schema = T.StructType([*(plan.schema[c] for c in ("trace_id", "obj_id")), *T.StructType.fromDDL("step int, t_us long, gx double, gy double")])
+    step_us = int(STEP_S * 1e6)
+
+    def steps(x: float, y: float, speed: float, yaw: float, n: int, px: np.ndarray, py: np.ndarray, xs: list[float], ys: list[float]) -> Iterator[tuple[float, float]]:
+        for _ in range(n):
+            i = int(np.argmin((px - x) ** 2 + (py - y) ** 2))
+            a, b = max(0, i - 1), min(len(xs) - 1, i + 1)
+            if math.hypot(xs[b] - xs[a], ys[b] - ys[a]) > 1e-9:
+                tangent = math.atan2(ys[b] - ys[a], xs[b] - xs[a])
+                yaw += steer * math.atan2(math.sin(tangent - yaw), math.cos(tangent - yaw))
+            x += speed * STEP_S * math.cos(yaw)
+            y += speed * STEP_S * math.sin(yaw)
+            yield x, y
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        poses, last = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, at = batch.column("__n").to_numpy(), batch.column("t_us").to_pylist()
+            ends = [batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False).tolist() for c in ("gx", "gy", "speed", "yaw", "reach")]
+            row, step, t_us, x, y = [], [], [], [], []
+            for a, b in road.traces_of(n, last):
+                if n[a] == 1 and (poses := road.packed_of(batch.column("__path"), a, ("x_m", "y_m"))):
+                    poses = poses["x_m"], poses["y_m"], poses["x_m"].tolist(), poses["y_m"].tolist()
+                if poses is None:
+                    continue
+                for k in range(a, b):
+                    gx, gy, speed, yaw, reach = (v[k] for v in ends)
+                    most = max(1, round(horizon_s * reach / STEP_S))
+                    places = list(steps(gx, gy, speed, yaw, most, *poses))
+                    row += [k] * most
+                    step += range(1, most + 1)
+                    t_us += (None if at[k] is None else at[k] + i * step_us for i in range(1, most + 1))
+                    x += (p[0] for p in places)
+                    y += (p[1] for p in places)
+            last = int(n[-1])
+            made = batch.select(["trace_id", "obj_id"]).take(pa.array(row, pa.int64()))
+            for name, v, kind in (("step", step, pa.int32()), ("t_us", t_us, pa.int64()), ("gx", x, pa.float64()), ("gy", y, pa.float64())):
+                made = made.append_column(name, pa.array(v, kind))
+            yield from (made.slice(i, OUT) for i in range(0, made.num_rows, OUT))
+
+    return road.carried(plan, path, "__path").mapInArrow(run, schema)
 
 
 def _corners(x: float, y: float, yaw: float, length: float, width: float) -> list[tuple[float, float]]:

@@ -100,3 +100,32 @@ def test_governed_traces_are_streamed_and_cut_anywhere(spark):
     assert [r[1:] for r in found[0] if r[0] == 1] == [r[1:] for r in found[0] if r[0] == 2] == sorted(tuple(r)[1:] for r in predict.governed(one, ego, 6.0).collect())
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" not in plan and "MapInArrow" in plan
+
+
+def test_steered_paths_are_streamed_and_cut_anywhere(spark):
+    """Several traces, one without poses, batches that end inside of them: equal steps; a trace's path isn't repeated for each of its tracks."""
+    ego = spark.createDataFrame([(t, i, i * 100_000, 10.0, float(i), math.sin(i / 9) * 5, 270.0) for t in (1, 3) for i in range(200)], "trace_id long, seq long, t_us long, speed double, x_m double, y_m double, heading_deg double")
+    rows = [(o, k, 7.0 * o + 10 * k, 5 - o, 1.8, "a") for o in range(1, 10) for k in (0, 1)]
+    one = _glob(ship(spark), rows)
+    glob = one.unionByName(one.withColumn("trace_id", F.lit(2).cast("long"))).unionByName(one.withColumn("trace_id", F.lit(3).cast("long")))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, found = spark.conf.get(name), []
+    try:
+        for n in ("4", "10000"):
+            spark.conf.set(name, n)
+            out = predict.steered(glob, ego)
+            found.append(sorted(map(tuple, out.collect())))
+    finally:
+        spark.conf.set(name, before)
+    assert found[0] == found[1] and {r[0] for r in found[0]} == {1, 3}
+    assert [r[1:] for r in found[0] if r[0] == 1] == [r[1:] for r in found[0] if r[0] == 3]
+    path, x, y, yaw = [(float(i), math.sin(i / 9) * 5) for i in range(200)], 17.0, 0.0, 0.0
+    for _, obj, step, t_us, gx, gy in (r for r in found[0] if r[:2] == (1, 1)):
+        i = min(range(200), key=lambda k: (path[k][0] - x) ** 2 + (path[k][1] - y) ** 2)  # noqa: B023
+        (ax, ay), (bx, by) = path[max(0, i - 1)], path[min(199, i + 1)]
+        tangent = math.atan2(by - ay, bx - ax)
+        yaw += 0.35 * math.atan2(math.sin(tangent - yaw), math.cos(tangent - yaw))
+        x, y = x + 10 * 0.2 * math.cos(yaw), y + 10 * 0.2 * math.sin(yaw)
+        assert t_us == 1_000_000 + step * 200_000 and math.isclose(gx, x, abs_tol=1e-9) and math.isclose(gy, y, abs_tol=1e-9)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
