@@ -800,7 +800,7 @@ def match_way(spark, sf_dir):
 def lane_sections(spark, sf_dir):
     """Lane sections of every trace, from markings every metre whose number and distance vary along the road."""
     ego = P.ego(ship(spark), sf_dir)
-    line = road.reference_line(ego)
+    line = written(road.reference_line(ego), "line")  # read by four projections
     s = F.col("trace_id")
     marks = ego.select("trace_id", F.col("x_m").alias("x"), F.explode(F.array(*map(F.lit, (-2, -1, 0, 1)))).alias("n"))
     marks = marks.withColumn("k", F.floor(F.col("x") / 120)).where((F.col("n") > -2) | ((s + F.col("k")) % 3 > 0))
