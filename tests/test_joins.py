@@ -93,3 +93,37 @@ def test_turns_at_a_limit_of_yaw_rate_are_those_of_sql(spark):
     glob = spark.createDataFrame(rows, "trace_id long, obj_id int, obs_ord long, t_us long, gx double, gy double, heading double")
     got = {r.obj_id for r in validate.yaw_rate_flags(validate.track_steps(glob)).collect()}
     assert got == {i for i, p in enumerate(odd) if abs((((p.h + 6) - p.h + 180) % 360 + 360) % 360 - 180) / 0.4 > 15}
+
+
+def test_pairs_of_tracks_are_streamed_and_cut_anywhere(spark, monkeypatch):
+    """Batches that end inside of traces, nested columns, a limit of distance: equal pairs, which no window sorts; places that are missing stay."""
+    from roadspan.operators import joins
+    from roadspan.ship import ship
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice([1, 1, 2]), rnd.choice([1, 2, 3, 7]), n, rnd.choice(range(0, 400, 13)), rnd.uniform(0, 9), rnd.choice([None, 1.0]), 2.0, [(n, "a")] if n % 3 else None) for n in range(150)]
+    frame = ship(spark).createDataFrame(rows, "trace_id long, obj_id int, obs_ord long, t_us long, x double, y double, reach double, moved array<struct<n:int,s:string>>")
+    name, found = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    try:
+        for n in ("7", "10000"):
+            spark.conf.set(name, n)
+            out = joins.nearest_of_tracks(frame, 20)
+            found.append(sorted(map(tuple, out.collect()), key=repr))
+    finally:
+        spark.conf.set(name, before)
+    assert found[0] == found[1] != [] and out.columns == [*frame.columns, "other", "near"]
+    close = sorted(map(tuple, joins.nearest_of_tracks(frame, 20, ("x", "y", "reach")).collect()), key=repr)
+    assert close == [r for r in found[0] if r[5] is None or r[-1]["y"] is None or abs(r[4] - r[-1]["x"]) <= 2] != found[0]
+    plan = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("Sort [") == 1 and "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["reports", "worst_active_issue"])
+def test_observations_are_made_once(spark, monkeypatch, name):
+    """All passes read the written ones, instead of sorting line items anew."""
+    from roadspan.plans import projection, queries
+
+    made, obs = [], projection.obs
+    monkeypatch.setattr(projection, "obs", lambda *a: made.append(a) or obs(*a))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0 and len(made) == 1
